@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._staging import table
+from .license_scan import scan_licenses
+from .near_dedup import NearDup, near_duplicates
 from .source_mix import mix_sources
 from .url_filter import Rule, judge_urls
 
@@ -13,6 +15,14 @@ URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Ru
 MIX = {"weights": [5.0, 2.0, 1.0], "total_share": 1.5, "cap": 2.0}
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), NearDup(width=4))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), **MIX)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -23,5 +33,5 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op5_source_mix": op5_source_mix, "op8_url_filter": op8_url_filter}
+QUERIES = {"op1_license_scan": op1_license_scan, "op4_near_dedup": op4_near_dedup, "op5_source_mix": op5_source_mix, "op8_url_filter": op8_url_filter}
 ORACLE_SQL: dict[str, str] = {}
