@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -30,7 +29,7 @@ class NearDup:
     bands: int = 32
     band_rows: int = 4
     batch: int = 16
-    miss: float = 1e-9
+    miss: float = 1e-6
     block: int = 512
 
     @property
@@ -38,7 +37,6 @@ class NearDup:
         return self.bands * self.band_rows
 
 
-@lru_cache
 def least_matches(places: int, batch: int, threshold: float, miss: float) -> tuple[int, ...]:
     """For the first 1, 2, ... batches of places, the fewest matches at which a pair stays a candidate.
 
@@ -57,11 +55,11 @@ def least_matches(places: int, batch: int, threshold: float, miss: float) -> tup
     return tuple(out)
 
 
-def still_similar(left: np.ndarray, right: np.ndarray, how: NearDup) -> np.ndarray:
-    """Places of the signature pairs (rows of two equal-shaped arrays) that no batch gives up."""
+def still_similar(left: np.ndarray, right: np.ndarray, how: NearDup, fewest: tuple[int, ...]) -> np.ndarray:
+    """Places of the signature pairs (rows of two equal-shaped arrays) that no batch gives up; fewest: least_matches."""
     alive = np.arange(len(left))
     matches = np.zeros(len(left), dtype=np.int32)
-    for k, least in enumerate(least_matches(how.places, how.batch, how.num / how.den, how.miss)):
+    for k, least in enumerate(fewest):
         at = slice(k * how.batch, (k + 1) * how.batch)
         matches = matches + (left[alive, at] == right[alive, at]).sum(axis=1, dtype=np.int32)
         stay = matches >= least
@@ -115,13 +113,14 @@ def _sets(how: NearDup):
 
 def _hopeful(how: NearDup):
     """Keeps the pairs whose sizes allow the threshold and whose signatures no batch gives up."""
+    fewest = least_matches(how.places, how.batch, how.num / how.den, how.miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, how.places) for c in (2, 3))
-            keep = pa.array(still_similar(left, right, how))
+            keep = pa.array(still_similar(left, right, how, fewest))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
     return run
@@ -143,34 +142,62 @@ def _linked(how: NearDup):
     return run
 
 
-def _across(how: NearDup):
-    """Hopeful pairs of one block: members of the bucket's lesser components against a block of all members."""
+def _pairs(group: pa.Table, how: NearDup, fewest: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """In one block, each member x of the lesser components with the others that may be linked to it across
+    components, likeliest first. A pair that shares an earlier band is left to that band's bucket."""
+    few = group.column("few").to_numpy().astype(bool)
+    ids, comps, sizes = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
+    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, how.places)
+    band = group.column("band")[0].as_py()
+    before = sigs[:, : band * how.band_rows].reshape(len(sigs), band, how.band_rows)
+    ys = np.flatnonzero(~few)
+    for x in np.flatnonzero(few):
+        fits = (comps[ys] != comps[x]) & (np.minimum(sizes[ys], sizes[x]) * how.den >= np.maximum(sizes[ys], sizes[x]) * how.num)
+        y = ys[fits]
+        y = y[still_similar(np.broadcast_to(sigs[x], (len(y), how.places)), sigs[y], how, fewest)]
+        if len(y) and band:
+            y = y[~(before[y] == before[x]).all(axis=2).any(axis=1)]
+        if len(y):
+            yield x, y[np.argsort(-(sigs[y] == sigs[x]).sum(axis=1), kind="stable")]
+
+
+def _involved(how: NearDup):
+    """The rows of a block that any hopeful pair needs."""
+    fewest = least_matches(how.places, how.batch, how.num / how.den, how.miss)
 
     def run(group: pa.Table) -> pa.Table:
-        few = group.column("few").to_numpy().astype(bool)
-        ids, comps, sizes = (group.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, how.places)
-        xs, ys = np.flatnonzero(few), np.flatnonzero(~few)
-        found: dict[str, list[np.ndarray]] = {"a": [], "b": [], "ca": [], "cb": [], "same": []}
-        for x in xs:
-            fits = (comps[ys] != comps[x]) & (ids[ys] != ids[x])
-            fits &= (np.minimum(sizes[ys], sizes[x]) * how.den >= np.maximum(sizes[ys], sizes[x]) * how.num)
-            y = ys[fits]
-            y = y[still_similar(np.broadcast_to(sigs[x], (len(y), how.places)), sigs[y], how)]
-            if len(y):
-                same = (sigs[y] == sigs[x]).sum(axis=1)
-                for k, v in (("a", np.full(len(y), ids[x])), ("b", ids[y]), ("ca", np.full(len(y), comps[x])), ("cb", comps[y]), ("same", same)):
-                    found[k].append(v.astype(np.int64))
-        return pa.table({k: pa.array(np.concatenate(v) if v else np.empty(0, np.int64)) for k, v in found.items()})
+        need = np.zeros(group.num_rows, dtype=bool)
+        for x, y in _pairs(group, how, fewest):
+            need[x] = need[y] = True
+        return group.filter(pa.array(need))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
-    """The pairs (a, b) that the full sets link, as (u, v)."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_left", "set_right").mapInArrow(_linked(how), "u long, v long")
+def _across(how: NearDup):
+    """One confirmed link for each member of a lesser component and each other component in the block.
+
+    The components are connected by confirmed links already, so one link between a member and a component says as
+    much as all of them.
+    """
+    fewest = least_matches(how.places, how.batch, how.num / how.den, how.miss)
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, comps = (group.column(c).to_numpy() for c in ("doc_id", "component"))
+        sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
+        u, v = [], []
+        for x, ys in _pairs(group, how, fewest):
+            done = set()
+            for y in ys.tolist():
+                if comps[y] not in done:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if how.den * both >= how.num * (len(sets[x]) + len(sets[y]) - both):
+                        done.add(comps[y])
+                        u.append(ids[x])
+                        v.append(ids[y])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,10 +207,10 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "do
     Texts with equal sets form a class; only its smallest id goes on. 2. Classes that share a band meet in a bucket.
     Each bucket first offers the pairs of its smallest id with the others, so a group of thousands of near copies
     costs as many pairs as it has members. Sequential Bayesian verification drops candidates batch by batch of
-    signature places; survivors are confirmed on their full sets. 3. Buckets that still hold several components offer
-    all pairs across them: members outside the bucket's largest component against all others, block by block, so no
-    task sees more than a block. The likeliest pair for each member and component is confirmed first, then whatever
-    still lies across components. Components are the closure of confirmed links.
+    signature places; survivors are confirmed on their full sets. 3. Buckets that still hold several components compare
+    all pairs across them: members outside the bucket's largest component against all others, in blocks of bounded
+    size dealt over all tasks. Signatures alone pass first; the sets of what they leave are joined and confirmed in
+    the block, and only a link per member and component leaves it. Components are the closure of confirmed links.
 
     Null and empty texts have the empty set, are linked with nothing and kept. Rows that repeat an id share its
     component. Rows with a null id have a null component and are kept. An empty table gives no rows. Other columns
@@ -211,11 +238,18 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "do
         .mapInArrow(_hopeful(how), "a long, b long")
     )
     stars = staged(near(members.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()), "stars")
-    # any document of a bucket with candidates may come up in step 3, and their sets are read several times
+    # any document of a bucket may come up in step 3, so the sets of all of them are kept
     wanted = members.select("doc_id").distinct()
-    sets = staged(texts.join(reps.select("doc_id").join(wanted, "doc_id", "left_semi"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(how), "doc_id long, shingles binary"), "sets")
+    sets = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(how), "doc_id long, shingles binary")
+    sets = staged(sets, "sets")
     links = staged(_confirmed(stars, sets, how), "links")
-    return _rest(spark, signed, classes, reps, members, stars, sets, links, how, id_col)
+    links = staged(links.unionByName(_leftovers(reps, members, sets, links, how)), "links")
+
+    class_of = _components(classes.select(F.col("class_id").alias("doc_id")).distinct(), links)
+    named = classes.join(class_of.withColumnRenamed("doc_id", "class_id"), "class_id").select("set_a", "set_b", F.col("component").alias("component_id"))
+    out = signed.drop("sig").join(named, ["set_a", "set_b"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _components(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -223,30 +257,22 @@ def _components(ids: DataFrame, links: DataFrame) -> DataFrame:
     return ids.join(found, "doc_id", "left").select(*ids.columns, F.coalesce("component", "doc_id").alias("component"))
 
 
-def _rest(spark, signed, classes, reps, members, stars, sets, links, how, id_col) -> DataFrame:
+def _leftovers(reps: DataFrame, members: DataFrame, sets: DataFrame, links: DataFrame, how: NearDup) -> DataFrame:
+    """Confirmed links across components that the stars left apart."""
     labelled = staged(_components(members.select("doc_id").distinct(), links), "labels")
-    here = members.select("band", "key", "doc_id", "m").join(labelled, "doc_id")
+    here = members.select("band", "key", "doc_id").join(labelled, "doc_id")
     sized = here.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-    most = sized.groupBy("band", "key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("top"), F.count(F.lit(1)).alias("parts"))
-    open_ = here.drop("m").join(most.where("parts > 1"), ["band", "key"]).join(reps, "doc_id")
+    whole = sized.groupBy("band", "key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("top"), F.count(F.lit(1)).alias("parts")
+    )
+    mixed = staged(here.join(whole.where("parts > 1"), ["band", "key"]).join(reps, "doc_id"), "mixed")
     blocks, chunks = F.ceil(F.col("all") / how.block), F.ceil((F.col("all") - F.col("top")) / how.block)
-    deal = lambda n: F.pmod(F.xxhash64("doc_id"), n)
-    every = open_.withColumn("i", deal(blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int")))).withColumn("few", F.lit(False))
-    some = open_.where("component <> largest").withColumn("j", deal(chunks).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))).withColumn("few", F.lit(True))
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("long")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))
+    every = mixed.withColumn("i", deal(blocks)).withColumn("j", upto(chunks)).withColumn("few", F.lit(False))
+    some = mixed.where("component <> largest").withColumn("i", upto(blocks)).withColumn("j", deal(chunks)).withColumn("few", F.lit(True))
     cols = ["band", "key", "i", "j", "few", "doc_id", "component", "n_shingles", "sig"]
-    across = every.select(*cols).unionByName(some.select(*cols)).groupBy("band", "key", "i", "j").applyInArrow(_across(how), "a long, b long, ca long, cb long, same long")
-    # a pair may meet in several buckets and from both sides
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(F.col("a") < F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb"), "same")
-    across = staged(across.distinct().join(stars, ["a", "b"], "left_anti"), "across")
-    sides = across.select("a", "b", F.col("a").alias("x"), F.col("cb").alias("c"), "same").unionByName(across.select("a", "b", F.col("b").alias("x"), F.col("ca").alias("c"), "same"))
-    best = sides.groupBy("x", "c").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    first = staged(links.unionByName(_confirmed(best, sets, how)), "links")
-    labelled = staged(_components(labelled.select("doc_id"), first), "labels")
-    la, lb = labelled.toDF("a", "la"), labelled.toDF("b", "lb")
-    left = across.select("a", "b").join(best, ["a", "b"], "left_anti").join(la, "a").join(lb, "b").where("la <> lb").select("a", "b")
-    last = staged(first.unionByName(_confirmed(left, sets, how)), "links")
-    class_of = staged(_components(classes.select(F.col("class_id").alias("doc_id")).distinct(), last), "components")
-    named = classes.join(class_of.withColumnRenamed("doc_id", "class_id"), "class_id").select("set_a", "set_b", F.col("component").alias("component_id"))
-    out = signed.drop("sig").join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    at = cols[:4]
+    dealt = every.select(*cols).unionByName(some.select(*cols))
+    needed = staged(dealt.groupBy(*at).applyInArrow(_involved(how), dealt.schema), "needed")
+    return needed.join(sets, "doc_id").groupBy(*at).applyInArrow(_across(how), "u long, v long")

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._staging import table
+from .fingerprint import edited_fingerprints
+from .language_id import from_pages, identify_languages
 from .license_scan import scan_licenses
+from .line_dedup import dedup_lines
 from .near_dedup import NearDup, near_duplicates
+from .quality import score_quality
 from .source_mix import mix_sources
 from .url_filter import Rule, judge_urls
 
@@ -19,6 +24,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: lang is their declaration, source their host."""
+    docs = table(spark, sf_dir, "documents")
+    given = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("site"))
+    return identify_languages(given).select(F.col("id").alias("doc_id"), "language", F.round("probability", 6).alias("probability"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: the html element's lang is the declaration; hosts are grouped under their last two labels."""
+    return identify_languages(from_pages(table(spark, sf_dir, "pages"))).select(F.col("id").alias("page_id"), "language", F.round("probability", 6).alias("probability"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(width=4))
 
@@ -28,10 +45,32 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op4_near_dedup": op4_near_dedup, "op5_source_mix": op5_source_mix, "op8_url_filter": op8_url_filter}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_language_id": op2_language_id,
+    "language_id_pages": language_id_pages,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_source_mix": op5_source_mix,
+    "op6_fingerprint": op6_fingerprint,
+    "op7_quality": op7_quality,
+    "op8_url_filter": op8_url_filter,
+    "op10_line_dedup": op10_line_dedup,
+}
 ORACLE_SQL: dict[str, str] = {}
