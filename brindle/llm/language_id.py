@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._staging import staged
 from ._words import rows
@@ -124,7 +125,7 @@ def identify_languages(rows_: DataFrame, how: Fusion = Fusion()) -> DataFrame:
         return texts.select("id", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), "declared", "host")
     k = len(langs)
     shared = spark.sparkContext.broadcast((langs, table))
-    schema = texts.drop("text").schema.add("text_log", "array<double>")
+    schema = texts.drop("text").schema.add("text_log", T.ArrayType(T.DoubleType()))
     scored = staged(texts.mapInArrow(_likelihoods(shared, how), schema), "likelihoods").withColumn("soft", _soft(F.col("text_log")))
 
     part = lambda i: F.col("soft")[i]

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._staging import table
+from .decontaminate import find_leaks
 from .fingerprint import edited_fingerprints
 from .language_id import from_pages, identify_languages
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .near_dedup import NearDup, near_duplicates
-from .quality import score_quality
+from .quality import judge_quality
+from .secret_scan import scan_secrets, span_digest
 from .source_mix import mix_sources
 from .url_filter import Rule, judge_urls
 
@@ -36,6 +38,10 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(from_pages(table(spark, sf_dir, "pages"))).select(F.col("id").alias("page_id"), "language", F.round("probability", 6).alias("probability"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(width=4))
 
@@ -50,7 +56,7 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +64,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -66,11 +76,13 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "language_id_pages": language_id_pages,
+    "op3_secret_scan": op3_secret_scan,
     "op4_near_dedup": op4_near_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_fingerprint": op6_fingerprint,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
+    "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
