@@ -54,7 +54,7 @@ def c_literal(value: Column) -> Column:
         F.when(d.rlike("^0x[0-9a-f]{1,15}$"), F.conv(F.substr(d, F.lit(3)), 16, 10))
         .when(d.rlike("^0b[01]{1,62}$"), F.conv(F.substr(d, F.lit(3)), 2, 10))
         .when(d.rlike("^0[0-7]{1,20}$"), F.conv(d, 8, 10))
-        .when(d.rlike("^[0-9]{1,18}$"), d)
+        .when(d.rlike("^(0|[1-9][0-9]{0,17})$"), d)
     )
     return number.cast("bigint") * sign
 
