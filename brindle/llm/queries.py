@@ -85,4 +85,42 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _host_path(url: str) -> tuple[str, str, str]:
+    """DuckDB expressions of a URL's host, path and address."""
+    rest = f"coalesce(CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END, '')"
+    host = f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+    address = f"CASE WHEN {host} <> '' THEN {host} || substr(regexp_extract({rest}, '^([^#]*)', 1), length({host}) + 1) END"
+    return host, path, address
+
+
+def _rule_sql(field: str) -> str:
+    ordered = sorted(URL_RULES, key=lambda r: -len(r.text))
+    return "CASE " + " ".join(f"WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, field)}'" for r in ordered) + " END"
+
+
+def _attribute_sql(name: str) -> str:
+    return f"""regexp_extract(tag, '(?is)\\b{name}\\s*=\\s*["'']?\\s*([^"''>\\s]+)', 1)"""
+
+
+def _url_sql() -> str:
+    host, path, address = _host_path("url")
+    _, _, to_address = _host_path("target")
+    site = f"regexp_extract(url, '^(.*?)://', 1) || '://' || {host}"
+    return f"""WITH RECURSIVE base AS (SELECT page_id, url, html, {host} AS host, {path} AS path, {address} AS node FROM pages),
+tags AS (SELECT url, path, node, unnest(regexp_extract_all(html, '(?i)(<(?:link|meta)\\b[^>]*>)', 1)) AS tag FROM base WHERE node IS NOT NULL),
+found AS (SELECT url, path, node, CASE WHEN lower({_attribute_sql("rel")}) = 'canonical' THEN {_attribute_sql("href")} WHEN lower({_attribute_sql("http-equiv")}) = 'refresh' THEN {_attribute_sql("url")} END AS t FROM tags),
+whole AS (SELECT node, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN {site} || t
+  WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$') THEN NULL ELSE {site} || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || t END AS target FROM found WHERE t IS NOT NULL),
+one AS (SELECT node AS u, {to_address} AS v FROM whole WHERE target IS NOT NULL),
+edges AS (SELECT DISTINCT u, v FROM one WHERE v IS NOT NULL AND u <> v UNION SELECT DISTINCT v, u FROM one WHERE v IS NOT NULL AND u <> v),
+reach(a, b) AS (SELECT u, v FROM edges UNION SELECT a, v FROM reach JOIN edges ON u = b),
+judged AS (SELECT a, {_rule_sql("verdict")} AS verdict FROM (SELECT a, regexp_extract(b, '^([^/?]*)', 1) AS host, regexp_extract(b, '^[^/?]*([^?]*)', 1) AS path FROM reach)),
+groups AS (SELECT a, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' END AS verdict FROM judged GROUP BY 1)
+SELECT page_id, host, path, {_rule_sql("text")} AS rule, coalesce({_rule_sql("verdict")}, g.verdict, 'allow') AS verdict FROM base LEFT JOIN groups g ON g.a = node"""
+
+
+#: The others rest on hashes, models or searches that SQL has no equal of; their tests hold them against plain Python.
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": _url_sql()}
