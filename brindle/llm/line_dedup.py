@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._staging import staged
-from ._words import STEP, WordHash, mix, rows
+from ._words import STEP, mix, rows
 
 #: The inverse of STEP modulo 2 ** 64.
 BACK = np.uint64(pow(int(STEP), -1, 2**64))
@@ -22,29 +23,57 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[tuple[list[int], list[str | None]]]:
+    """Ids and texts of consecutive rows, up to about so many characters or one text at a time."""
+    ids, texts, size = [], [], 0
+    for part in rows(batches, "doc_id", "text", size=64):
+        for i, t in part:
+            if texts and size + len(t or "") > chars:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(i)
+            texts.append(t)
+            size += len(t or "")
+    if texts:
+        yield ids, texts
+
+
 class Lines:
     """The lines of some texts that have at least `least` words, and hashes of any run of their words.
 
-    A run's hash is the polynomial sum of its word hashes, so that of a line without one word comes from two prefixes.
+    Texts are worked on as one array of bytes. A word's hash is a polynomial sum of random values of its bytes, mixed;
+    a run's hash the polynomial sum of its word hashes, so that of a line without one word comes from two prefixes.
     """
 
-    def __init__(self, texts: list[str | None], memo: WordHash, least: int):
-        counts, places, docs, words = [], [], [], []
-        for d, text in enumerate(texts):
-            for i, line in enumerate((text or "").split("\n")):
-                own = line.encode().lower().split()
-                if len(own) >= least:
-                    counts.append(len(own))
-                    places.append(i)
-                    docs.append(d)
-                    words += own
-        self.hashes = memo.of(words)
-        self.n = np.array(counts, dtype=np.int64)
-        self.line, self.doc = np.array(places, dtype=np.int64), np.array(docs, dtype=np.int64)
-        self.end = np.cumsum(self.n)
+    #: A random value for each byte, with A-Z as a-z; blanks part words.
+    VALUES = np.random.default_rng(20240301).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    VALUES[65:91] = VALUES[97:123]
+    BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+    def __init__(self, texts: list[str | None], least: int):
+        parts = [(t or "").encode() for t in texts]
+        raw = np.frombuffer(b"\n".join(parts), np.uint8)
+        inside = np.concatenate(([False], ~self.BLANK[raw], [False]))
+        turn = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = turn[::2], turn[1::2]
+        power, back = _powers(STEP, len(raw)), _powers(BACK, len(raw))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.VALUES[raw] * power[:-1])))
+        hashes = mix((sums[end] - sums[start]) * back[start] ^ (end - start).astype(np.uint64))
+
+        breaks = np.flatnonzero(raw == 10)
+        line_of = np.searchsorted(breaks, start)
+        counts = np.bincount(line_of, minlength=len(breaks) + 1)
+        lines_in = np.array([p.count(b"\n") + 1 for p in parts], dtype=np.int64)
+        doc_of = np.repeat(np.arange(len(parts)), lines_in)
+        first = np.cumsum(lines_in) - lines_in
+        kept = np.flatnonzero(counts >= least)
+        self.n, self.doc = counts[kept].astype(np.int64), doc_of[kept]
+        self.line = kept - first[self.doc]
+        self.end = np.cumsum(counts)[kept]
         self.start = self.end - self.n
-        self.power, self.back = _powers(STEP, len(words)), _powers(BACK, len(words))
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hashes * self.power[1:])))
+        self.hashes = hashes
+        self.power, self.back = power, back  # at least as many bytes as words
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[1 : len(hashes) + 1])))
 
     def run(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.back[start]
@@ -61,63 +90,104 @@ class Lines:
             out.append(mix(self.run(self.end - h, self.end) ^ (tag + np.uint64(1))))
         return out
 
+    def variants(self, i: int) -> np.ndarray:
+        """Keys of line i whole and without each of its words; of equal neighbours the same."""
+        a, b = self.start[i], self.end[i]
+        whole = self.run(a, b)
+        left = (self.sums[a:b] - self.sums[a]) * self.back[a]
+        right = (self.sums[b] - self.sums[a + 1 : b + 1]) * self.back[a + 1]
+        return np.concatenate((mix(np.array([whole ^ np.uint64(b - a)])), mix((left + right) ^ np.uint64(b - a - 1))))
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    """A set of hashes in which others may seem to be, never the other way round: one bit each of a power of two."""
+
+    bits: np.ndarray
 
-def _deletions(words: np.ndarray) -> np.ndarray:
-    """Keys of a line without each of its words; of equal neighbours the same."""
-    n = len(words)
-    power, back = _powers(STEP, n), _powers(BACK, 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[1:])))
-    left = sums[:-1] + (sums[-1] - sums[1:]) * back[1]
-    return mix(left ^ np.uint64(n - 1))
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.view(np.uint64) & np.uint64(8 * len(self.bits) - 1)
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+def bitmap(keys: DataFrame, most_bits: int) -> Bitmap:
+    """The bitmap of a long column `key`: about 32 bits for each key, at most most_bits whatever the input's size.
+
+    Bits are gathered 64 at a time by a grouped OR. When there are more keys than bits, more lines than needed pass:
+    that costs work, not results.
+    """
+    n = keys.count()
+    size = 64
+    while size < min(32 * n, most_bits):
+        size *= 2
+    at = F.col("key").bitwiseAND(F.lit(size - 1))
+    words = keys.select(F.call_function("shiftright", at, F.lit(6)).alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b"))).alias("v")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return Bitmap(out.view(np.uint8))
 
 
 def _probe(least: int):
     """A row per line: its place, its key and the keys of its halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
-        for part in rows(batches, "doc_id", "text"):
+        for doc_ids, texts in _chunks(batches):
             with np.errstate(over="ignore"):
-                found = Lines([t for _, t in part], memo, least)
+                found = Lines(texts, least)
                 halves = np.stack([h.view(np.int64) for h in found.halves()], axis=1)
-                ids = pa.array([i for i, _ in part], pa.int64()).take(pa.array(found.doc))
+                ids = pa.array(doc_ids, pa.int64()).take(pa.array(found.doc))
                 offsets = pa.array(np.arange(0, 4 * len(found.n) + 1, 4, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(found.line), pa.array(found.keys().view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(halves.ravel()))], ["doc_id", "line", "key", "halves"])
 
     return run
 
 
-def _spell(least: int):
-    """A row per line: its key and its word hashes."""
+def _hopeful(found: Lines, halves: Bitmap, seen: set[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(line, key, its variants) of the lines that may share a half, each key once per task."""
+    keys = found.keys().view(np.int64)
+    hit = np.zeros(len(keys), bool)
+    for h in found.halves():
+        hit |= halves.has(h)
+    for i in np.flatnonzero(hit).tolist():
+        k = int(keys[i])
+        if k not in seen:
+            if len(seen) < 2_000_000:  # repeats beyond these only cost their variants again
+                seen.add(k)
+            yield i, k, found.variants(i).view(np.int64)
+
+
+def _neighbours(least: int, halves):
+    """(variant, key) of hopeful lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
-        for part in rows(batches, "doc_id", "text"):
+        seen: set[int] = set()
+        for _, texts in _chunks(batches):
             with np.errstate(over="ignore"):
-                found = Lines([t for _, t in part], memo, least)
-                # 64 bits a word fold to 32 here, which makes the shuffle half as large
-                small = (found.hashes >> np.uint64(32)).astype("<u4").tobytes()
-                words = [small[4 * a : 4 * b] for a, b in zip(found.start.tolist(), found.end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys().view(np.int64)), pa.array(words, pa.binary())], ["key", "words"])
+                found = list(_hopeful(Lines(texts, least), halves.value, seen))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v for _, _, v in found])), pa.array(np.repeat(np.array([k for _, k, _ in found]), [len(v) for _, _, v in found]))], ["variant", "key"])
 
     return run
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The whole line (at = -1) and the line without each word, as (variant, at, key, first)."""
-    for part in rows(batches, "key", "words", "first"):
-        variant, place, of = [], [], []
-        with np.errstate(over="ignore"):
-            for i, (_, raw, _) in enumerate(part):
-                words = mix(np.frombuffer(raw, "<u4").astype(np.uint64))
-                whole = np.concatenate((np.zeros(1, np.uint64), words * _powers(STEP, len(words))[1:])).sum(dtype=np.uint64)
-                variant.append(np.concatenate(([mix(np.array([whole ^ np.uint64(len(words))]))[0]], _deletions(words))))
-                place.append(np.arange(-1, len(words), dtype=np.int32))
-                of.append(np.full(len(words) + 1, i, dtype=np.int64))
-        if of:
-            of = pa.array(np.concatenate(of))
-            key, first = pa.array([k for k, _, _ in part], pa.int64()), pa.array([f for _, _, f in part], pa.decimal128(38, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(variant).view(np.int64)), pa.array(np.concatenate(place)), key.take(of), first.take(of)], ["variant", "at", "key", "first"])
+def _spell(least: int, halves, shared):
+    """(key, variants array<struct<variant, at>>, words) of hopeful lines that may share a variant; at = -1: the whole line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, texts in _chunks(batches):
+            out = []
+            with np.errstate(over="ignore"):
+                lines = Lines(texts, least)
+                for i, k, variants in _hopeful(lines, halves.value, seen):
+                    at = np.flatnonzero(shared.value.has(variants))
+                    if len(at):
+                        out.append((k, [{"variant": int(variants[p]), "at": int(p) - 1} for p in at], lines.hashes[lines.start[i] : lines.end[i]].tobytes()))
+            kind = pa.list_(pa.struct([("variant", pa.int64()), ("at", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], kind), pa.array([r[2] for r in out], pa.binary())], ["key", "variants", "words"])
+
+    return run
 
 
 def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
@@ -136,7 +206,7 @@ def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in rows(batches, "key", "words", "other"):
-        good = [k for k, a, b in part if within_one_edit(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"))]
+        good = [k for k, a, b in part if within_one_edit(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))]
         yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], ["key"])
 
 
@@ -156,7 +226,7 @@ def _rewrite(names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, least: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 5, most_bits: int = 1 << 28) -> DataFrame:
     """docs (doc_id, text and others) with repeated lines taken out of text, and n_lines, n_dropped.
 
     Lines are what newlines part; their words are what blanks part, A-Z lower-cased. A line of at least `least` words
@@ -165,31 +235,35 @@ def dedup_lines(docs: DataFrame, least: int = 5) -> DataFrame:
 
     1. Each line gives its key and four half keys; equal keys are equal lines, and the earliest place of each key comes
     from a grouped minimum, so a line in a third of all documents is one row per task. Lines one edit apart share a
-    half, so only lines that share a half with a different line go on. 2. These emit the whole line and the line
-    without each word, hashed. Substitutes at place p are equal without word p; an insertion is a line without one
-    word equal to a whole line. A grouped minimum over each variant gives every line its earliest neighbour: no pairs
-    within a group are made. 3. The edit distance to that neighbour is verified on the word sequences.
+    half. The halves that different lines share make a bitmap of at most most_bits, which is sent to executors.
+    2. Lines with a half in it emit themselves and themselves without each word, hashed; variants that different lines
+    share make a second bitmap, and only lines with such a variant go on, with their words. 3. Substitutes at
+    place p are equal without word p; an insertion is a line without one word equal to a whole line. A grouped minimum
+    over each variant gives every line its earliest neighbour: no pairs within a group are made. 4. The edit
+    distance to that neighbour is verified on the word sequences. The bitmaps may let lines pass that needn't, and
+    never hold one back, so a full bitmap costs work, not results.
 
     Null text stays null. Rows that repeat a doc_id count as one document and lose the same line numbers. Rows with a
     null doc_id keep all lines and take none from others. An empty table gives no rows. Columns named n_lines or
-    n_dropped are replaced.
+    n_dropped are replaced. A text is worked on whole, with about 60 bytes of memory for each of its own.
     """
     docs = docs.drop("n_lines", "n_dropped", "_gone", "_doc")
-    names = docs.columns
+    names, spark = docs.columns, docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     lines = staged(texts.mapInArrow(_probe(least), "doc_id long, line long, key long, halves array<long>"), "lines")
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(10**9).cast("decimal(11,0)") + F.col("line").cast("decimal(10,0)")
-    placed = lines.withColumn("place", place.cast("decimal(38,0)"))
+    placed = lines.select("doc_id", "line", "key", place.cast("decimal(38,0)").alias("place"))
     first = staged(placed.groupBy("key").agg(F.min("place").alias("first")), "first")
 
-    # each distinct line once: its first place, where several rows of a document may lie
-    distinct = placed.join(first, "key").where("place = first").select("key", F.explode(F.array_distinct("halves")).alias("half")).distinct()
-    shared = distinct.groupBy("half").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("half")
-    hopeful = staged(distinct.join(shared, "half", "left_semi").select("key").distinct(), "hopeful")
-
-    spelt = texts.mapInArrow(_spell(least), "key long, words binary").join(hopeful, "key", "left_semi").dropDuplicates(["key"])
+    differ = lambda rows_, by: rows_.groupBy(by).agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select(F.col(by).alias("key"))
+    halves = bitmap(staged(differ(lines.select("key", F.explode(F.array_distinct("halves")).alias("half")), "half"), "halves"), most_bits)
+    halves = spark.sparkContext.broadcast(halves)
+    shared = bitmap(staged(differ(texts.mapInArrow(_neighbours(least, halves), "variant long, key long"), "variant"), "shared"), most_bits)
+    shared = spark.sparkContext.broadcast(shared)
+    spelt = texts.mapInArrow(_spell(least, halves, shared), "key long, variants array<struct<variant:long,at:int>>, words binary").dropDuplicates(["key"])
     spelt = staged(spelt.join(first, "key"), "spelt")
-    variants = staged(spelt.mapInArrow(_variants, "variant long, at int, key long, first decimal(38,0)"), "variants")
+
+    variants = spelt.select("key", "first", F.explode("variants").alias("v")).select("key", "first", "v.variant", "v.at")
     same_place = variants.where("at >= 0").groupBy("variant", "at").agg(F.min("first").alias("early"))
     either = variants.groupBy("variant").agg(F.min(F.when(F.col("at") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("first"))).alias("part"))
     swapped = variants.where("at >= 0").join(same_place, ["variant", "at"]).where("early < first").select("key", "early")
