@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ._staging import table
 from .decontaminate import find_leaks
-from .fingerprint import edited_fingerprints
+from .fingerprint import SimHash, edited_fingerprints, fingerprints, near_fingerprints
 from .language_id import from_pages, identify_languages
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
@@ -55,6 +55,12 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document whose id is divisible by 20, the documents within three bits of 64."""
+    prints = fingerprints(table(spark, sf_dir, "documents"), SimHash(bits=64))
+    return near_fingerprints(prints, prints.where("doc_id % 20 = 0"), radius=3)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels")).drop("text")
 
@@ -80,6 +86,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_fingerprint": op6_fingerprint,
+    "fingerprint_search": fingerprint_search,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
