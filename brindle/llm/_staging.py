@@ -31,6 +31,18 @@ def staged(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that cross to Python at a time at most: texts are long, and both sides hold a whole batch.
+TEXT_ROWS = 512
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch to TEXT_ROWS rows, unless it is lower already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

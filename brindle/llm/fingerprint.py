@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._staging import shuffle_partitions, staged
+from ._staging import bound_batches, shuffle_partitions, staged
 from ._words import WordHash, blank_words, mix, rows, shingles
 
 
@@ -119,6 +119,7 @@ def edited_fingerprints(docs: DataFrame, how: SimHash = SimHash(), rows_per_rang
     Null texts are empty. Rows with a null doc_id come last, rows that repeat an id in the order of a hash of their
     texts. A single document is its own next; so is the last one where no id is set. An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = picked.where("doc_id is not null").select("doc_id")

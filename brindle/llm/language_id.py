@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._staging import staged
+from ._staging import bound_batches, staged
 from ._words import rows
 
 #: Country suffixes and the language that most pages under them are in.
@@ -117,6 +117,7 @@ def identify_languages(rows_: DataFrame, how: Fusion = Fusion()) -> DataFrame:
     Null, empty and very short texts rest on the other evidence. Without any labelled row the language is null.
     Repeated rows count and are judged each. An empty table gives no rows.
     """
+    bound_batches(rows_.sparkSession)
     spark = rows_.sparkSession
     clean = lambda c: F.nullif(F.regexp_extract(F.lower(F.trim(c)), r"^([a-z]{2,3})", 1), F.lit(""))
     texts = rows_.select("id", F.col("text").cast("string").alias("text"), clean(F.col("declared").cast("string")).alias("declared"), F.col("host").cast("string").alias("host"), F.col("site").cast("string").alias("site"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._staging import bound_batches
 from ._words import rows
 
 #: The phrases that every scan counts, and their labels.
@@ -196,6 +197,7 @@ def scan_licenses(docs: DataFrame, least: int = 4, gap: int = 6, cover: float =
     texts of any length need nothing shared, and there is no shuffle. An empty table gives no rows.
     """
 
+    bound_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(least=least, gap=gap, cover=cover)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._staging import staged
+from ._staging import bound_batches, staged
 from ._words import STEP, mix, rows
 
 #: The inverse of STEP modulo 2 ** 64.
@@ -23,7 +23,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[tuple[list[int], list[str | None]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 250_000) -> Iterator[tuple[list[int], list[str | None]]]:
     """Ids and texts of consecutive rows, up to about so many characters or one text at a time."""
     ids, texts, size = [], [], 0
     for part in rows(batches, "doc_id", "text", size=64):
@@ -247,6 +247,7 @@ def dedup_lines(docs: DataFrame, least: int = 5, most_bits: int = 1 << 28) -> Da
     null doc_id keep all lines and take none from others. An empty table gives no rows. Columns named n_lines or
     n_dropped are replaced. A text is worked on whole, with about 60 bytes of memory for each of its own.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped", "_gone", "_doc")
     names, spark = docs.columns, docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")

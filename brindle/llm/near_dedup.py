@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
-from ._staging import staged
+from ._staging import bound_batches, staged
 from ._words import WordHash, blank_words, rows, shingles
 
 
@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "do
     component. Rows with a null id have a null component and are kept. An empty table gives no rows. Other columns
     are ignored. Two different texts are taken for equal only if 128 bits of digest agree.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(texts.mapInArrow(_sign(how), SIGNED), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
