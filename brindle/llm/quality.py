@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._staging import bound_batches, staged
 from ._words import STEP, WordHash, mix, rows
@@ -19,19 +19,19 @@ START = np.uint64(1)
 
 @dataclass(frozen=True)
 class Quality:
-    """max_docs, max_words bound the trusted sample that the model is fitted on (documents in the order of a seeded
-    hash until either is reached); every document is scored. calibration of the trusted documents in the sample are kept out
-    of the counts to find the thresholds: per language the quantile of their scores plus slack nats a word; languages
-    with fewer than least_docs of them use all languages together. prior words of the language's usual score
-    are added to every document, so that a few words decide nothing."""
-
-    max_docs: int = 8000
-    max_words: int = 1_500_000
+    """calibration of the trusted documents are kept out of the counts, by a hash of their id, to find the thresholds:
+    per language the quantile of their scores plus slack nats a word; languages with fewer than least_docs of them use
+    all languages together. prior words of the language's usual score are added to every document, so that a few words
+    decide nothing. hot: so many of the commonest words and word pairs each are looked up where texts are read.
+    shard_chars: characters of text whose grams meet in one shard of the count tables."""
+
     calibration: float = 0.3
     quantile: float = 0.995
     slack: float = 0.25
     least_docs: int = 30
     prior: float = 12.0
+    hot: int = 50_000
+    shard_chars: int = 8_000_000
     seed: int = 7
 
 
@@ -69,21 +69,25 @@ def _less(n: Column, d: list[float]) -> Column:
 
 
 def _order(counts: DataFrame, context: list[str], lower: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(grams with p, contexts with gamma) of one order from its counts n and the next lower order's p."""
+    """(grams with n, p and gain, contexts with gamma) of one order from its counts n and the next lower order's p.
+
+    gain is log p less what the lower order gives, so that a text's log probability is a sum over its grams."""
     d = _discounts(counts)
     all_ = counts.groupBy(*context) if context else counts.groupBy()
     contexts = all_.agg(F.sum("n").alias("total"), F.sum(_less(F.col("n"), d)).alias("held")).withColumn("gamma", F.col("held") / F.col("total"))
     whole = counts.join(contexts, context) if context else counts.crossJoin(F.broadcast(contexts))  # one row
-    whole = whole.join(lower.withColumnRenamed("p", "below"), on) if on else whole.crossJoin(F.broadcast(lower.withColumnRenamed("p", "below")))  # one row
+    lower = lower.select(*on, F.col("p").alias("below"))
+    whole = whole.join(lower, on) if on else whole.crossJoin(F.broadcast(lower))  # one row
     p = (F.col("n") - _less(F.col("n"), d)) / F.col("total") + F.col("gamma") * F.col("below")
-    return whole.select(*counts.columns[:-1], p.alias("p")), contexts.select(*context, "gamma")
+    whole = whole.withColumn("p", p).withColumn("gain", F.log("p") - F.log("gamma") - F.log("below"))
+    return whole.select(*counts.columns, "p", "gain"), contexts.select(*context, "gamma")
 
 
-def train(texts: DataFrame) -> dict[str, np.ndarray]:
-    """Sorted keys and log probabilities of the trusted texts' 1-, 2- and 3-grams, and log weights of contexts.
+def tables(texts: DataFrame) -> tuple[float, dict[str, DataFrame]]:
+    """log P of a word never seen, and p1, p2, p3 (grams with n, p, gain), g2, g3 (contexts with gamma) of the texts.
 
     Counts are grouped sums sharded by gram; continuation counts, context totals and lower orders meet them by joins on
-    the same keys. The result has as many entries as the bounded sample has words at most, three times over.
+    the same keys. All of it grows with the texts and stays distributed.
     """
     spark = texts.sparkSession
     tri = staged(texts.mapInArrow(_grams, "a long, b long, c long").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), "tri")
@@ -97,13 +101,20 @@ def train(texts: DataFrame) -> dict[str, np.ndarray]:
     p2, g2 = staged(p2, "p2"), staged(g2, "g2")
     p3, g3 = _order(tri, ["a", "b"], p2, ["b", "c"])
     gamma = g1.first()
-    model = {"unseen": np.array([np.log(floor.first()[0] * (gamma[0] if gamma and gamma[0] else 1.0))])}
-    for name, df, value in (("p1", p1, "p"), ("p2", p2, "p"), ("p3", p3, "p"), ("g2", g2, "gamma"), ("g3", g3, "gamma")):
+    unseen = float(np.log(floor.first()[0] * (gamma[0] if gamma and gamma[0] else 1.0)))
+    return unseen, {"p1": p1, "p2": p2, "p3": p3, "g2": g2, "g3": g3}
+
+
+def train(texts: DataFrame) -> dict[str, np.ndarray]:
+    """The tables of a few texts as arrays in memory: sorted keys and logs, as log_probabilities takes them."""
+    unseen, found = tables(texts)
+    model = {"unseen": np.array([unseen])}
+    for name, df in found.items():
         got = df.toArrow()
         with np.errstate(over="ignore"):
-            keys = _key(*(got.column(c).to_numpy().view(np.uint64) for c in df.columns[:-1])) if got.num_rows else np.empty(0, np.uint64)
+            keys = _key(*(got.column(c).to_numpy().view(np.uint64) for c in df.columns if c in ("a", "b", "c"))) if got.num_rows else np.empty(0, np.uint64)
         at = np.argsort(keys)
-        model[name + "k"], model[name] = keys[at], np.log(got.column(value).to_numpy()[at]).astype(np.float32)
+        model[name + "k"], model[name] = keys[at], np.log(got.column("p" if name[0] == "p" else "gamma").to_numpy()[at]).astype(np.float32)
     return model
 
 
@@ -136,72 +147,219 @@ def log_probabilities(model: dict[str, np.ndarray], words: np.ndarray) -> np.nda
     return out
 
 
-def _scored(shared):
-    """Adds n_words and loss (nats) to rows that have a text."""
+def _packed(keys: np.ndarray) -> bytes:
+    """The lower six bytes of each key; the shard stands for the others."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
+
+
+def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16)).astype(np.int32)
+
+
+TABLE = "shard int, keys binary, gain binary, gamma binary"
+ENTRIES = "shard int, rid binary, size binary, keys binary, times binary"
+
+
+def _table(words: tuple[str, ...], shards: int):
+    """Rows (words, gain, gamma) as one row for each shard and 500,000 grams."""
+
+    def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(batches)
+        with np.errstate(over="ignore"):
+            keys = _key(*(whole.column(c).to_numpy().view(np.uint64) for c in words))
+        shard = _shards(keys, shards)
+        at = np.argsort(shard, kind="stable")
+        keys, values = keys[at], [whole.column(c).to_numpy()[at].astype(np.float32) for c in ("gain", "gamma")]
+        own, start = np.unique(shard[at], return_index=True)
+        cuts = list(zip(start, [*start[1:], len(at)], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([_packed(keys[i:j]) for i, j in cuts], pa.binary()), *(pa.array([v[i:j].tobytes() for i, j in cuts], pa.binary()) for v in values)], TABLE.replace(" int", "").replace(" binary", "").split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, model = WordHash(), shared.value
+        held, n = [], 0
         for batch in batches:
-            n, loss = [], []
-            for part in rows(iter([batch]), "text", size=64):
-                for (text,) in part:
-                    words = (text or "").encode().split()
-                    n.append(len(words))
-                    loss.append(float(-log_probabilities(model, memo.of(words)).sum()) if words else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(loss, pa.float64())], [*batch.schema.names, "n_words", "loss"])
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 500_000:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
 
     return run
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, how: Quality) -> DataFrame:
-    """(doc_id, lang, text, held) of labelled good, not toxic documents, in a seeded order up to the bounds; held: for thresholds."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_id")).distinct()
-    mark = F.xxhash64(F.lit(how.seed), F.col("_id"))
-    n = good.count()
-    # twice the bound by hash, so that the exact choice below sorts no more than that
-    share = min(1.0, 2.0 * how.max_docs / max(1, n))
-    rank = F.pmod(mark, F.lit(1_000_003)) / 1_000_003.0
-    some = good.where(rank < share).withColumn("_mark", mark)
-    some = some.orderBy("_mark", "_id").limit(how.max_docs)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(some, F.col("doc_id") == F.col("_id"))
-    picked = staged(picked.where("text is not null").dropDuplicates(["doc_id"]).drop("_id"), "trusted")
-    words = picked.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
-    if words > how.max_words:
-        picked = picked.where(F.pmod(F.xxhash64(F.lit(how.seed + 1), "doc_id"), F.lit(1_000_003)) < int(1_000_003 * how.max_words / words))
-    return picked.withColumn("held", F.pmod(F.xxhash64(F.lit(how.seed + 2), "doc_id"), F.lit(1000)) < int(1000 * how.calibration))
+def _entries(shared, shards: int):
+    """Each text's distinct grams outside the hot ones, a row for each shard and batch; times is 2 * occurrences, plus 1
+    if one of them ends the text and so is no context. A row of shard -1 has what hot grams and unseen words add."""
+
+    def grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = np.concatenate((np.full(2, START), h))
+        keys = np.concatenate((_key(p[1:]), _key(p[:-1], p[1:]), _key(p[:-2], p[1:-1], p[2:])))
+        last = np.zeros(len(keys), np.int64)
+        last[[len(p) - 2, 2 * len(p) - 3]] = 1
+        at = np.argsort(keys, kind="stable")
+        keys, last = keys[at], last[at]
+        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[start], 2 * np.diff(np.append(start, len(keys))) + np.add.reduceat(last, start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, (unseen, known, gain, gamma) = WordHash(), shared.value
+        for part in rows(batches, "rid", "text", size=512):
+            rids, counts, base, keys, times, sizes = [], [], [], [], [], []
+            with np.errstate(over="ignore"):
+                for rid, text in part:
+                    h = memo.of(text.encode().split()) if text else ()
+                    if not len(h):
+                        continue
+                    k, t = grams(h)
+                    at = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
+                    hit = known[at] == k if len(known) else np.zeros(len(k), bool)
+                    n, m = (t[hit] >> 1), (t[hit] >> 1) - (t[hit] & 1)
+                    rids.append(rid)
+                    counts.append(len(h))
+                    base.append(-(unseen * len(h) + float((n * gain[at[hit]] + m * gamma[at[hit]]).sum())))
+                    keys.append(k[~hit])
+                    times.append(t[~hit])
+                    sizes.append(len(keys[-1]))
+            if not rids:
+                continue
+            rid, k, t = np.array(rids, np.int64), np.concatenate(keys), np.concatenate(times).astype(np.uint32)
+            doc = np.repeat(np.arange(len(rid)), sizes)
+            shard = _shards(k, shards)
+            at = np.argsort(shard, kind="stable")
+            shard, k, t, doc = shard[at], k[at], t[at], doc[at]
+            out = [(-1, rid.tobytes(), b"", np.array(counts, np.int64).tobytes(), np.array(base).tobytes())]
+            own, start = np.unique(shard, return_index=True)
+            for s, i, j in zip(own.tolist(), start, [*start[1:], len(at)], strict=True):
+                first = np.flatnonzero(np.concatenate(([True], doc[i + 1 : j] != doc[i : j - 1])))
+                out.append((s, rid[doc[i:j][first]].tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), _packed(k[i:j]), t[i:j].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ENTRIES.replace(" int", "").replace(" binary", "").split(", "))
+
+    return run
+
+
+SUMS = "rid long, copies long, n_words long, loss double"
+
+
+def _sums(shared, shards: int):
+    """Of one shard: for each text in it, what its grams add to the loss."""
+
+    def run(entries: pa.Table, table: pa.Table) -> pa.Table:
+        keys, gain, gamma = (np.concatenate([kind(x) for x in table.column(c).to_pylist()]) if table.num_rows else np.empty(0) for c, kind in (("keys", _unpacked), ("gain", lambda x: np.frombuffer(x, np.float32)), ("gamma", lambda x: np.frombuffer(x, np.float32))))
+        at = np.argsort(keys, kind="stable")
+        keys, gain, gamma = keys[at], gain[at], gamma[at]
+        if len(keys):  # a pair has one row as a gram and one as a context
+            start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, gain, gamma = keys[start], np.add.reduceat(gain, start), np.add.reduceat(gamma, start)
+        rids, loss = [np.empty(0, np.int64)], [np.empty(0)]
+        for batch in entries.select(["rid", "size", "keys", "times"]).to_batches(max_chunksize=64):
+            for rid, size, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k, t, size = _unpacked(k), np.frombuffer(t, np.uint32).astype(np.int64), np.frombuffer(size, np.uint32).astype(np.int64)
+                found = np.zeros(len(k))
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                    n = t >> 1
+                    found = np.where(keys[at] == k, n * gain[at] + (n - (t & 1)) * gamma[at], 0.0)
+                rids.append(np.frombuffer(rid, np.int64))
+                loss.append(-np.add.reduceat(found, np.concatenate(([0], np.cumsum(size)[:-1]))))
+        rid, loss = np.concatenate(rids), np.concatenate(loss)
+        none = pa.array(np.zeros(len(rid), np.int64))
+        return pa.table([pa.array(rid), none, none, pa.array(loss)], names=["rid", "copies", "n_words", "loss"])
+
+    return run
+
+
+def _bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rid, n, base in zip(*(batch.column(c).to_pylist() for c in ("rid", "keys", "times")), strict=True):
+            rid = np.frombuffer(rid, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.ones(len(rid), np.int64)), pa.array(np.frombuffer(n, np.int64)), pa.array(np.frombuffer(base, np.float64))], ["rid", "copies", "n_words", "loss"])
+
+
+def losses(texts: DataFrame, trusted: DataFrame, how: Quality) -> DataFrame:
+    """rid, n_words, loss (nats) of texts (rid, text) that have words, under the model of the trusted (text).
+
+    The log probability of a text is a sum over its 1-, 2- and 3-grams of the gain of the gram and the log weight of the
+    context, nothing for grams never seen. So the distinct grams of every text meet the count tables in shards by hash,
+    each shard gives sums for its texts, and these are added up. The hot grams only are sent to the executors.
+    """
+    spark = texts.sparkSession
+    unseen, t = tables(trusted)
+    p1, p2 = (t[x].select(*k, "n", "gain") for x, k in (("p1", ["c"]), ("p2", ["b", "c"])))
+    g2, g3 = t["g2"].select("b", F.log("gamma").alias("gamma")), staged(t["g3"].select("a", "b", F.log("gamma").alias("gamma")), "g3")
+    zero = F.lit(0.0)
+    top = [
+        p1.orderBy(F.desc("n"), "c").limit(how.hot).join(g2.withColumnRenamed("b", "c"), "c", "left").select("c", "gain", F.coalesce("gamma", zero).alias("gamma")).toArrow(),
+        p2.orderBy(F.desc("n"), "b", "c").limit(how.hot).join(g3.toDF("b", "c", "gamma"), ["b", "c"], "left").select("b", "c", "gain", F.coalesce("gamma", zero).alias("gamma")).toArrow(),
+    ]
+    with np.errstate(over="ignore"):
+        known = np.concatenate([_key(*(x.column(c).to_numpy().view(np.uint64) for c in x.column_names[:-2])) if x.num_rows else np.empty(0, np.uint64) for x in top])
+    at = np.argsort(known)
+    gain, gamma = (np.concatenate([x.column(c).to_numpy() for x in top])[at] for c in ("gain", "gamma"))
+    shared = spark.sparkContext.broadcast((unseen, known[at], gain, gamma))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = min(1 << 16, max(32, chars // how.shard_chars))
+    packed = [
+        p1.select("c", "gain", zero.alias("gamma")).mapInArrow(_table(("c",), shards), TABLE),
+        g2.select("b", zero.alias("gain"), "gamma").mapInArrow(_table(("b",), shards), TABLE),
+        p2.select("b", "c", "gain", zero.alias("gamma")).mapInArrow(_table(("b", "c"), shards), TABLE),
+        g3.select("a", "b", zero.alias("gain"), "gamma").mapInArrow(_table(("a", "b"), shards), TABLE),
+        t["p3"].select("a", "b", "c", "gain", zero.alias("gamma")).mapInArrow(_table(("a", "b", "c"), shards), TABLE),
+    ]
+    table = reduce(DataFrame.union, packed)
+    entries = staged(texts.mapInArrow(_entries(shared, shards), ENTRIES), "entries")
+    sums = entries.where("shard >= 0").groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(_sums(shared, shards), SUMS)
+    every = entries.where("shard < 0").mapInArrow(_bases, SUMS).union(sums)
+    # rows that are the same in id and text are added up and divided again
+    out = every.groupBy("rid").agg(F.sum("copies").alias("copies"), F.sum("n_words").alias("n_words"), F.sum("loss").alias("loss"))
+    return staged(out.select("rid", F.expr("n_words div copies").alias("n_words"), (F.col("loss") / F.col("copies")).alias("loss")), "losses")
+
+
+def trusted_documents(docs: DataFrame, labels: DataFrame, how: Quality) -> DataFrame:
+    """doc_id, held of all labelled good, not toxic documents; held: kept out of the counts, for thresholds."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return good.withColumn("held", F.pmod(F.xxhash64(F.lit(how.seed + 2), "doc_id"), F.lit(1000)) < int(1000 * how.calibration))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, how: Quality = Quality()) -> DataFrame:
     """docs (doc_id, text, lang and others) with n_words, perplexity, score, threshold, kept.
 
-    The model is fitted on a bounded sample of trusted documents (quality 1, toxic 0 in labels), which bounds what
-    is sent to executors; every document is scored where it is read, so texts are not shuffled. perplexity is
-    exp(loss per word); score is (loss + prior * m) / (words + prior), m being the median of the language's held-out
-    trusted documents. A document is kept if its score is at most its language's threshold. Medians and thresholds are
-    at most max_docs / least_docs rows, and so part of the plan.
+    The model counts all trusted documents (quality 1, toxic 0 in labels) but those held out; its tables stay
+    distributed and meet the grams of every document in shards. perplexity is exp(loss per word); score is
+    (loss + prior * m) / (words + prior), m being the median of all the language's held-out trusted documents. A document
+    is kept if its score is at most its language's threshold. Medians and thresholds have a row per language.
 
     Null and empty texts have no words, a null perplexity, score m, and are kept. A null or rare language is measured
     against all languages together. Without trusted documents everything is kept. Repeated rows are scored each.
     Columns of docs that are named like the new ones are replaced. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
-    spark = docs.sparkSession
     docs = docs.drop("n_words", "loss", "perplexity", "score", "threshold", "kept").withColumn("text", F.col("text").cast("string")).withColumn("lang", F.col("lang").cast("string"))
-    sample = trusted_sample(docs, labels, how)
-    shared = spark.sparkContext.broadcast(train(sample.where("not held").select("text")))
-    score = lambda df: df.mapInArrow(_scored(shared), T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("loss", T.DoubleType())]))
-    usual = staged(score(sample.where("held").select("doc_id", "lang", "text")).drop("text").where("n_words > 0"), "usual")
+    good = staged(trusted_documents(docs, labels, how), "trusted")
+    known = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    counted = narrow.join(good.where("not held"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("text")
+    found = losses(known.select(F.col("_rid").alias("rid"), "text"), counted, how).withColumnRenamed("rid", "_rid")
+    usual = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "_rid").join(good.where("held"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    usual = staged(usual.join(found, "_rid").where("n_words > 0"), "usual")
     rate = F.col("loss") / F.col("n_words")
     blend = lambda m: (F.col("loss") + how.prior * m) / (F.col("n_words") + how.prior)
-    by_lang = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("lang")] if values else F.lit(None).cast("double")
 
     whole = usual.agg(F.percentile(rate, 0.5)).first()[0]
-    medians = dict(usual.where("lang is not null").groupBy("lang").agg(F.percentile(rate, 0.5), F.count(F.lit(1)).alias("n")).where(F.col("n") >= how.least_docs).drop("n").collect())
-    middle = F.coalesce(by_lang(medians), F.lit(whole), F.lit(0.0))
-    rated = usual.withColumn("score", blend(middle))
+    medians = usual.where("lang is not null").groupBy("lang").agg(F.percentile(rate, 0.5).alias("_m"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= how.least_docs)
+    medians = staged(medians.select("lang", "_m"), "medians")
+    middle = F.coalesce("_m", F.lit(whole), F.lit(0.0))
+    rated = staged(usual.join(medians, "lang", "left").select("lang", "_m", blend(middle).alias("score")), "rated")
     limit = F.percentile("score", how.quantile) + how.slack
     everywhere = rated.agg(limit).first()[0]
-    limits = {k: v for k, v in rated.groupBy("lang").agg(limit).collect() if k in medians}
-    out = score(docs).withColumn("score", blend(middle)).withColumn("threshold", F.coalesce(by_lang(limits), F.lit(everywhere).cast("double")))
+    limits = staged(rated.where("_m is not null").groupBy("lang").agg(F.first("_m").alias("_m"), limit.alias("_limit")), "limits")
+    out = known.join(found, "_rid", "left").join(limits, "lang", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long"))).withColumn("loss", F.coalesce("loss", F.lit(0.0)))
+    out = out.withColumn("score", blend(middle)).withColumn("threshold", F.coalesce("_limit", F.lit(everywhere).cast("double")))
     perplexity = F.when(F.col("n_words") > 0, F.exp(rate)).alias("perplexity")
     return out.select(*docs.columns, "n_words", perplexity, "score", "threshold", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm._words import WordHash
 from brindle.llm.language_id import Fusion, from_pages, identify_languages
-from brindle.llm.quality import Quality, judge_quality, log_probabilities, train
+from brindle.llm.quality import Quality, judge_quality, log_probabilities, losses, train, trusted_documents
 from brindle.llm.queries import QUERIES
 
 
@@ -67,3 +67,24 @@ def test_quality_edges(spark):
     out = judge_quality(spark.createDataFrame(rows, kind), spark.createDataFrame([(i, 1, 0) for i in range(60)], lab), Quality(least_docs=5))
     kept = {r.doc_id: r.kept for r in out.collect()}
     assert not kept[100] and kept[101] and kept[102] and kept[103] and all(kept[i] for i in range(60))
+
+
+def test_losses_of_all_trusted_words(spark):
+    """The sharded sums are those of the model in memory, and every trusted document is counted at any size."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(int(rng.geometric(0.1)), 40)}" for _ in range(20)) for _ in range(50)]
+    trusted = spark.createDataFrame([(t,) for t in texts], "text string")
+    asked = [*texts[:10], "w1", "w1 w1 w1 w1 w1", "no such word w2", "w3 w3 no w3 w3"]
+    model, memo = train(trusted), WordHash()
+    for hot in (0, 5):
+        got = {r.rid: r for r in losses(spark.createDataFrame([*enumerate(asked), (99, ""), (3, asked[3])], "rid long, text string"), trusted, Quality(hot=hot)).collect()}
+        assert sorted(got) == list(range(len(asked)))
+        for i, text in enumerate(asked):
+            words = text.encode().split()
+            assert got[i].n_words == len(words)
+            assert abs(got[i].loss + float(log_probabilities(model, memo.of(words)).sum())) < 1e-3
+    # more trusted documents than the 8,000 that used to be drawn
+    many = spark.range(9_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the cat sat w"), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    labels = many.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    good = trusted_documents(many, labels, Quality())
+    assert good.count() == 9_000 and 2_400 < good.where("held").count() < 3_000
