@@ -88,3 +88,14 @@ def test_losses_of_all_trusted_words(spark):
     labels = many.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     good = trusted_documents(many, labels, Quality())
     assert good.count() == 9_000 and 2_400 < good.where("held").count() < 3_000
+
+
+def test_thresholds_cover_all_held_out(spark):
+    """A rare language has its own threshold as soon as the whole table holds out least_docs documents of it."""
+    common = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("the cat sat on the mat").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.range(12_000, 12_130).select(F.col("id").alias("doc_id"), F.concat(F.lit("der hund lief weg "), F.col("id")).alias("text"), F.lit("de").alias("lang"))
+    docs = common.union(rare)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    held = trusted_documents(docs, labels, Quality()).where("held and doc_id >= 12000").count()
+    got = {r.lang: r.t for r in judge_quality(docs, labels, Quality(least_docs=held)).groupBy("lang").agg(F.max("threshold").alias("t")).collect()}
+    assert got["de"] > got["en"] + 1
