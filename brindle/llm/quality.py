@@ -23,7 +23,8 @@ class Quality:
     per language the quantile of their scores plus slack nats a word; languages with fewer than least_docs of them use
     all languages together. prior words of the language's usual score are added to every document, so that a few words
     decide nothing. hot: so many of the commonest words and word pairs each are looked up where texts are read.
-    shard_chars: characters of text whose grams meet in one shard of the count tables."""
+    window: a document also goes if its worst run of so many words, measured with the hot words and pairs where it is read,
+    is beyond the same quantile plus slack of its language's trusted documents. shard_chars: characters of text whose grams meet in one shard of the count tables."""
 
     calibration: float = 0.3
     quantile: float = 0.995
@@ -31,6 +32,7 @@ class Quality:
     least_docs: int = 30
     prior: float = 12.0
     hot: int = 50_000
+    window: int = 16
     shard_chars: int = 8_000_000
     seed: int = 7
 
@@ -194,39 +196,54 @@ def _table(words: tuple[str, ...], shards: int):
     return run
 
 
-def _entries(shared, shards: int):
+def _entries(shared, shards: int, window: int):
     """Each text's distinct grams outside the hot ones, a row for each shard and batch; times is 2 * occurrences, plus 1
-    if one of them ends the text and so is no context. A row of shard -1 has what hot grams and unseen words add."""
+    if one of them ends the text and so is no context. A row of shard -1 has what hot grams and unseen words add,
+    and the worst window's share of it a word."""
 
-    def grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def grams(h: np.ndarray, known: np.ndarray, gain: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What hot words and pairs add to each word's log probability, and pairs as contexts of a third; keys and times of the distinct other grams."""
         p = np.concatenate((np.full(2, START), h))
         keys = np.concatenate((_key(p[1:]), _key(p[:-1], p[1:]), _key(p[:-2], p[1:-1], p[2:])))
+        m, add, weight = len(p) - 1, np.zeros(len(h)), np.zeros(len(h))
+        hit = np.zeros(len(keys), bool)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, keys[: 2 * m]), len(known) - 1)
+            hit[: 2 * m] = known[at] == keys[: 2 * m]
+            up, down = (np.where(hit[: 2 * m], x[at], 0.0) for x in (gain, gamma))
+            add, weight = up[1:m] + up[m + 1 :] + down[: m - 1], down[m:-1]
         last = np.zeros(len(keys), np.int64)
-        last[[len(p) - 2, 2 * len(p) - 3]] = 1
+        last[[m - 1, 2 * m - 1]] = 1
+        keys, last = keys[~hit], last[~hit]
         at = np.argsort(keys, kind="stable")
         keys, last = keys[at], last[at]
         start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[start], 2 * np.diff(np.append(start, len(keys))) + np.add.reduceat(last, start)
+        return add, weight, keys[start], 2 * np.diff(np.append(start, len(keys))) + np.add.reduceat(last, start)
+
+    def worst(loss: np.ndarray) -> float:
+        if len(loss) < window:
+            return np.nan
+        total = np.concatenate(([0.0], np.cumsum(loss)))
+        return float((total[window:] - total[:-window]).max()) / window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (unseen, known, gain, gamma) = WordHash(), shared.value
+        memo, (unseen, *hot) = WordHash(), shared.value
         for part in rows(batches, "rid", "text", size=512):
-            rids, counts, base, keys, times, sizes = [], [], [], [], [], []
+            rids, counts, base, local, keys, times, sizes = [], [], [], [], [], [], []
             with np.errstate(over="ignore"):
                 for rid, text in part:
                     h = memo.of(text.encode().split()) if text else ()
                     if not len(h):
                         continue
-                    k, t = grams(h)
-                    at = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
-                    hit = known[at] == k if len(known) else np.zeros(len(k), bool)
-                    n, m = (t[hit] >> 1), (t[hit] >> 1) - (t[hit] & 1)
+                    add, weight, k, t = grams(h, *hot)
+                    loss = -(unseen + add)
                     rids.append(rid)
                     counts.append(len(h))
-                    base.append(-(unseen * len(h) + float((n * gain[at[hit]] + m * gamma[at[hit]]).sum())))
-                    keys.append(k[~hit])
-                    times.append(t[~hit])
-                    sizes.append(len(keys[-1]))
+                    base.append(float((loss - weight).sum()))
+                    local.append(worst(loss))
+                    keys.append(k)
+                    times.append(t)
+                    sizes.append(len(k))
             if not rids:
                 continue
             rid, k, t = np.array(rids, np.int64), np.concatenate(keys), np.concatenate(times).astype(np.uint32)
@@ -234,7 +251,7 @@ def _entries(shared, shards: int):
             shard = _shards(k, shards)
             at = np.argsort(shard, kind="stable")
             shard, k, t, doc = shard[at], k[at], t[at], doc[at]
-            out = [(-1, rid.tobytes(), b"", np.array(counts, np.int64).tobytes(), np.array(base).tobytes())]
+            out = [(-1, rid.tobytes(), np.array(local).tobytes(), np.array(counts, np.int64).tobytes(), np.array(base).tobytes())]
             own, start = np.unique(shard, return_index=True)
             for s, i, j in zip(own.tolist(), start, [*start[1:], len(at)], strict=True):
                 first = np.flatnonzero(np.concatenate(([True], doc[i + 1 : j] != doc[i : j - 1])))
@@ -244,7 +261,7 @@ def _entries(shared, shards: int):
     return run
 
 
-SUMS = "rid long, copies long, n_words long, loss double"
+SUMS = "rid long, copies long, n_words long, loss double, worst double"
 
 
 def _sums(shared, shards: int):
@@ -270,20 +287,20 @@ def _sums(shared, shards: int):
                 loss.append(-np.add.reduceat(found, np.concatenate(([0], np.cumsum(size)[:-1]))))
         rid, loss = np.concatenate(rids), np.concatenate(loss)
         none = pa.array(np.zeros(len(rid), np.int64))
-        return pa.table([pa.array(rid), none, none, pa.array(loss)], names=["rid", "copies", "n_words", "loss"])
+        return pa.table([pa.array(rid), none, none, pa.array(loss), pa.nulls(len(rid), pa.float64())], names=["rid", "copies", "n_words", "loss", "worst"])
 
     return run
 
 
 def _bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rid, n, base in zip(*(batch.column(c).to_pylist() for c in ("rid", "keys", "times")), strict=True):
+        for rid, local, n, base in zip(*(batch.column(c).to_pylist() for c in ("rid", "size", "keys", "times")), strict=True):
             rid = np.frombuffer(rid, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.ones(len(rid), np.int64)), pa.array(np.frombuffer(n, np.int64)), pa.array(np.frombuffer(base, np.float64))], ["rid", "copies", "n_words", "loss"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.ones(len(rid), np.int64)), pa.array(np.frombuffer(n, np.int64)), pa.array(np.frombuffer(base, np.float64)), pa.array(np.frombuffer(local, np.float64), from_pandas=True)], ["rid", "copies", "n_words", "loss", "worst"])
 
 
 def losses(texts: DataFrame, trusted: DataFrame, how: Quality) -> DataFrame:
-    """rid, n_words, loss (nats) of texts (rid, text) that have words, under the model of the trusted (text).
+    """rid, n_words, loss (nats), worst (window, a word; null if shorter) of texts (rid, text) that have words, under the model of the trusted (text).
 
     The log probability of a text is a sum over its 1-, 2- and 3-grams of the gain of the gram and the log weight of the
     context, nothing for grams never seen. So the distinct grams of every text meet the count tables in shards by hash,
@@ -313,12 +330,12 @@ def losses(texts: DataFrame, trusted: DataFrame, how: Quality) -> DataFrame:
         t["p3"].select("a", "b", "c", "gain", zero.alias("gamma")).mapInArrow(_table(("a", "b", "c"), shards), TABLE),
     ]
     table = reduce(DataFrame.union, packed)
-    entries = staged(texts.mapInArrow(_entries(shared, shards), ENTRIES), "entries")
+    entries = staged(texts.mapInArrow(_entries(shared, shards, how.window), ENTRIES), "entries")
     sums = entries.where("shard >= 0").groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(_sums(shared, shards), SUMS)
     every = entries.where("shard < 0").mapInArrow(_bases, SUMS).union(sums)
     # rows that are the same in id and text are added up and divided again
-    out = every.groupBy("rid").agg(F.sum("copies").alias("copies"), F.sum("n_words").alias("n_words"), F.sum("loss").alias("loss"))
-    return staged(out.select("rid", F.expr("n_words div copies").alias("n_words"), (F.col("loss") / F.col("copies")).alias("loss")), "losses")
+    out = every.groupBy("rid").agg(F.sum("copies").alias("copies"), F.sum("n_words").alias("n_words"), F.sum("loss").alias("loss"), F.max("worst").alias("worst"))
+    return staged(out.select("rid", F.expr("n_words div copies").alias("n_words"), (F.col("loss") / F.col("copies")).alias("loss"), "worst"), "losses")
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame, how: Quality) -> DataFrame:
@@ -333,7 +350,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, how: Quality = Quality())
     The model counts all trusted documents (quality 1, toxic 0 in labels) but those held out; its tables stay
     distributed and meet the grams of every document in shards. perplexity is exp(loss per word); score is
     (loss + prior * m) / (words + prior), m being the median of all the language's held-out trusted documents. A document
-    is kept if its score is at most its language's threshold. Medians and thresholds have a row per language.
+    is kept if its score is at most its language's threshold and its worst window within the same quantile of those. Medians and thresholds have a row per language.
 
     Null and empty texts have no words, a null perplexity, score m, and are kept. A null or rare language is measured
     against all languages together. Without trusted documents everything is kept. Repeated rows are scored each.
@@ -345,7 +362,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, how: Quality = Quality())
     known = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     counted = narrow.join(good.where("not held"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("text")
-    found = losses(known.select(F.col("_rid").alias("rid"), "text"), counted, how).withColumnRenamed("rid", "_rid")
+    found = losses(known.select(F.col("_rid").alias("rid"), "text"), counted, how).withColumnsRenamed({"rid": "_rid", "worst": "_worst"})
     usual = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "_rid").join(good.where("held"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     usual = staged(usual.join(found, "_rid").where("n_words > 0"), "usual")
     rate = F.col("loss") / F.col("n_words")
@@ -355,11 +372,12 @@ def judge_quality(docs: DataFrame, labels: DataFrame, how: Quality = Quality())
     medians = usual.where("lang is not null").groupBy("lang").agg(F.percentile(rate, 0.5).alias("_m"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= how.least_docs)
     medians = staged(medians.select("lang", "_m"), "medians")
     middle = F.coalesce("_m", F.lit(whole), F.lit(0.0))
-    rated = staged(usual.join(medians, "lang", "left").select("lang", "_m", blend(middle).alias("score")), "rated")
-    limit = F.percentile("score", how.quantile) + how.slack
-    everywhere = rated.agg(limit).first()[0]
-    limits = staged(rated.where("_m is not null").groupBy("lang").agg(F.first("_m").alias("_m"), limit.alias("_limit")), "limits")
+    rated = staged(usual.join(medians, "lang", "left").select("lang", "_m", "_worst", blend(middle).alias("score")), "rated")
+    limit, local = (F.percentile(c, how.quantile) + how.slack for c in ("score", "_worst"))
+    everywhere, anywhere = rated.agg(limit, local).first()
+    limits = staged(rated.where("_m is not null").groupBy("lang").agg(F.first("_m").alias("_m"), limit.alias("_limit"), local.alias("_local")), "limits")
     out = known.join(found, "_rid", "left").join(limits, "lang", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long"))).withColumn("loss", F.coalesce("loss", F.lit(0.0)))
     out = out.withColumn("score", blend(middle)).withColumn("threshold", F.coalesce("_limit", F.lit(everywhere).cast("double")))
     perplexity = F.when(F.col("n_words") > 0, F.exp(rate)).alias("perplexity")
-    return out.select(*docs.columns, "n_words", perplexity, "score", "threshold", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    near = F.coalesce(F.col("_worst") <= F.coalesce("_local", F.lit(anywhere).cast("double")), F.lit(True))
+    return out.select(*docs.columns, "n_words", perplexity, "score", "threshold", (F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)) & near).alias("kept"))

@@ -99,3 +99,13 @@ def test_thresholds_cover_all_held_out(spark):
     held = trusted_documents(docs, labels, Quality()).where("held and doc_id >= 12000").count()
     got = {r.lang: r.t for r in judge_quality(docs, labels, Quality(least_docs=held)).groupBy("lang").agg(F.max("threshold").alias("t")).collect()}
     assert got["de"] > got["en"] + 1
+
+
+def test_bad_window_goes(spark):
+    """A long good text with a run of junk in it goes, though its mean is within the threshold."""
+    line = "the cat sat on the mat and the dog ran to the man "
+    good = [(i, line * 40, "en") for i in range(60)]
+    docs = spark.createDataFrame([*good, (100, line * 20 + " ".join(f"zz{i}" for i in range(16)) + " " + line * 20, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in judge_quality(docs, labels, Quality(least_docs=5, slack=0.5)).collect()}
+    assert got[100].score <= got[100].threshold and not got[100].kept and all(got[i].kept for i in range(60))
