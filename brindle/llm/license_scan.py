@@ -155,7 +155,7 @@ class Scanner:
             held = (at, state, length)
         if held:
             self._note(matches, *held)
-        return len(words), base, sorted(s for k, found in matches.items() if (s := self._chain(k, found)))
+        return len(words), base, sorted(s for k, found in matches.items() for s in self._chains(k, found))
 
     def _note(self, matches: dict, at: int, state: int, length: int) -> None:
         for k, end in self.machine.ends[state]:
@@ -163,10 +163,23 @@ class Scanner:
             if whole and length >= min(self.least, whole):
                 matches.setdefault(k, []).append((at - length + 1, end - length + 1, length))
 
-    def _chain(self, k: int, found: list[tuple[int, int, int]]) -> tuple[int, int, str, float] | None:
-        """The best run of matches that go forward in text and template with gaps of at most `gap` words."""
+    def _chains(self, k: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
+        """Runs of matches that go forward in text and template with gaps of at most `gap` words, best first, each of
+        the matches outside those before it, as long as they cover `cover` of the template."""
         words, label = self.templates[k - len(self.phrases)]
         found.sort()
+        out, parts = [], [found]
+        while parts:
+            part = parts.pop()
+            score, start, end = self._chain(len(words), part)
+            share = min(1.0, score / len(words))
+            if share >= self.cover:
+                out.append((start, end, label, share))
+                parts += [p for p in ([m for m in part if m[0] + m[2] <= start], [m for m in part if m[0] >= end]) if p]
+        return out
+
+    def _chain(self, whole: int, found: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+        """Words covered, start and end in the text of the best run of sorted matches."""
         best: list[tuple[int, int]] = []  # words covered, start in the text
         for i, (x, y, n) in enumerate(found):
             here = (n, x)
@@ -174,12 +187,17 @@ class Scanner:
                 px, py, pn = found[j]
                 dx, dy = x - (px + pn), y - (py + pn)
                 over = max(0, -dx, -dy)
-                if x > px and y > py and over < n and max(dx, dy) <= self.gap + len(words) // 8:
+                if x > px and y > py and over < n and max(dx, dy) <= self.gap + whole // 8:
                     here = max(here, (best[j][0] + n - over, best[j][1]), key=lambda v: v[0])
             best.append(here)
-        i = max(range(len(found)), key=lambda i: (best[i][0], -i))
-        share = min(1.0, best[i][0] / len(words))
-        return (best[i][1], found[i][0] + found[i][2], label, share) if share >= self.cover else None
+        most = max(n for n, _ in best)
+        ties = [i for i, (n, _) in enumerate(best) if n == most]
+        # of equal ones the middle one, so that many copies are halved and not taken off one by one; of overlapping ones the first
+        t = len(ties) // 2
+        while t and found[ties[t - 1]][0] + found[ties[t - 1]][2] > best[ties[t]][1]:
+            t -= 1
+        i = ties[t]
+        return best[i][0], best[i][1], found[i][0] + found[i][2]
 
 
 SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
@@ -190,7 +208,7 @@ def scan_licenses(docs: DataFrame, least: int = 4, gap: int = 6, cover: float =
 
     A text's words stream through the automaton once. Each place gives the longest licence factor that ends there;
     where it ends a phrase, the phrase counts. Maximal factors of `least` words (or whole shorter templates) are
-    chained per template, forward in both, and a chain that covers `cover` of the template is a span (start and end
+    chained per template, forward in both, and every chain outside better ones that covers `cover` of the template is a span (start and end
     word, label). score is 1 for a text with a phrase, else the greatest share of a template that a span covers, else 0.
 
     Null and empty texts have no words. Rows are scanned one by one, so repeated rows, clashing extra columns and

@@ -135,3 +135,14 @@ def test_url_aliases(spark):
         (6, None, "allow", None), (7, None, "allow", None), (8, None, "allow", "e.org/a/b?x=1"), (9, None, "allow", "e.org/a/b?x=1"), (9, None, "allow", "e.org/a/b?x=1"), (10, None, "allow", None),
     ]
     assert judge_urls(spark.createDataFrame([], kind), URL_RULES).count() == 0
+
+
+def test_every_copy_of_a_notice():
+    s = Scanner()
+    whole = TEMPLATES[0][1]
+    size = len(s.templates[0][0])
+    text = " some code here ".join([whole] * 500)
+    assert [x[:3] for x in s.scan(text)[2]] == [(i * (size + 3), i * (size + 3) + size, "mit") for i in range(500)]
+    damaged = " some code here ".join([whole, whole[:200] + " foo " + whole[200:], whole[:100], whole])
+    assert [x[2] for x in s.scan(damaged)[2]] == ["mit"] * 3
+    assert len(s.scan("Licensed under CC BY 4.0 " * 50)[2]) == 50
