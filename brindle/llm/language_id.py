@@ -20,7 +20,7 @@ SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "e
 
 @dataclass(frozen=True)
 class Fusion:
-    """max_docs bounds the labelled sample the text model is fitted on. evidence: a text counts as at most so many
+    """max_docs bounds the labelled sample the text model is fitted on, in equal shares of the languages. evidence: a text counts as at most so many
     independent trigrams, as those of one text depend on each other. declared, suffix: the chance that a declaration, a suffix, names the language.
     local, site: weights, in documents, of the prior above a host and above a site."""
 
@@ -60,13 +60,19 @@ def _counts(buckets: int):
 
 
 def fit(texts: DataFrame, how: Fusion) -> tuple[list[str], np.ndarray]:
-    """The languages and, for each, log P of every trigram bucket, with add-half smoothing."""
-    known = texts.where("declared is not null and text is not null")
-    n = known.count()
-    mark = F.pmod(F.xxhash64(F.lit(how.seed), "id"), F.lit(1_000_003))
-    sample = known if n <= how.max_docs else known.where(mark < int(1_000_003 * how.max_docs / n))
+    """The languages declared in any row and, for each, log P of every trigram bucket, with add-half smoothing."""
+    stated = texts.where("declared is not null")
+    counts = {r.declared: r.n for r in stated.groupBy("declared").agg(F.count("text").alias("n")).collect()}
+    langs = sorted(counts)
+    known = stated.where("text is not null")
+    sample = known
+    if sum(counts.values()) > how.max_docs:
+        # an equal share for each language, so that a rare one has all its rows
+        share = max(1, how.max_docs // len(langs))
+        limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, 1_000_003 if n <= share else max(1, int(1_000_003 * share / n)))])
+        mark = F.pmod(F.xxhash64(F.lit(how.seed), "id"), F.lit(1_000_003))
+        sample = known.where(mark < limits[F.col("declared")])
     got = sample.select("declared", "text").mapInArrow(_counts(how.buckets), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
     table = np.full((len(langs), how.buckets), 0.5)
     place = {x: i for i, x in enumerate(langs)}
     table[[place[x] for x in got.column("lang").to_pylist()], got.column("bucket").to_numpy()] += got.column("n").to_numpy()
@@ -108,7 +114,7 @@ def identify_languages(rows_: DataFrame, how: Fusion = Fusion()) -> DataFrame:
 
     declared is the language that markup or a column states (case and region are ignored), host where the text comes
     from and site what hosts are grouped under; each may be null. For every row, log posterior = host prior + text +
-    declaration + suffix of the host, over the languages of the labelled sample.
+    declaration + suffix of the host, over all languages that any row declares.
 
     The host prior is smoothed towards its site's, that towards the whole table's: (sum of the documents' text-only
     posteriors + weight * prior above) / (documents + weight), from grouped sums of all rows. These tables have a row

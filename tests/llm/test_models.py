@@ -109,3 +109,12 @@ def test_bad_window_goes(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in judge_quality(docs, labels, Quality(least_docs=5, slack=0.5)).collect()}
     assert got[100].score <= got[100].threshold and not got[100].kept and all(got[i].kept for i in range(60))
+
+
+def test_rare_language_is_an_answer(spark):
+    """Two rows of a language among 6,000 are as good a candidate as in a table of ten rows."""
+    english, finnish = "the house and the garden of the king " * 3, "talo ja puutarha ovat kauniita kesällä " * 3
+    rows = [(i, english, "en", "a.com", "a") for i in range(6_000)] + [(i, finnish, "fi", "b.fi", "b") for i in (6_004, 6_005)] + [(6_006, finnish, None, "c.fi", "c")]
+    for part in (rows, rows[-10:]):
+        got = {r.id: r.language for r in identify_languages(spark.createDataFrame(part, "id long, text string, declared string, host string, site string"), Fusion(max_docs=1_000)).collect()}
+        assert [got[i] for i in (5_999, 6_004, 6_005, 6_006)] == ["en", "fi", "fi", "fi"]
