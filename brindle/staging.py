@@ -5,17 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df as Parquet in the folder of spark.checkpoint.dir and reads it again; a temporary folder is set only
-    where the session has none. Losing an executor then costs a read, not the loop so far."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset a local session gets a temporary one; a cluster, whose
+    executors would each write to a disk of their own, an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/brindle-{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame, name: str = "step") -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again.
+
+    A lost executor then costs a read, not a recomputation, and joins see the true size of the table,
+    so that Spark broadcasts it only if it is below the session's threshold.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/brindle-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing unwritten is read from any more."""
+    for df in tables:
+        path = getattr(df, "_staged", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
