@@ -1,34 +1,14 @@
-"""Cutting lineage through tables in the cluster's shared folder, and the cleaning of ids."""
+"""What the operators share: staged tables, batch sizes, reading of tables."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.staging import discard, staged
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (single-machine tests) a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="brindle-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again.
-
-    A lost executor then costs a read, not a recomputation, and joins see the true size of the table,
-    so that Spark broadcasts it only if it is below the session's threshold.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/brindle-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bound_batches", "discard", "shuffle_partitions", "staged", "table"]
 
 
 #: Rows that cross to Python at a time at most: texts are long, and both sides hold a whole batch.

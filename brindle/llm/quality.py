@@ -11,10 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._staging import bound_batches, staged
+from ._bitmap import Bitmap, bitmap
+from ._staging import bound_batches, discard, staged
 from ._words import STEP, WordHash, mix, rows
 
 START = np.uint64(1)
+#: Words are told apart by six bytes of their hash.
+SIX = np.uint64(2**48 - 1)
 
 
 @dataclass(frozen=True)
@@ -22,18 +25,23 @@ class Quality:
     """calibration of the trusted documents are kept out of the counts, by a hash of their id, to find the thresholds:
     per language the quantile of their scores plus slack nats a word; languages with fewer than least_docs of them use
     all languages together. prior words of the language's usual score are added to every document, so that a few words
-    decide nothing. hot: so many of the commonest words and word pairs each are looked up where texts are read.
+    decide nothing. least: word pairs and triples that stand fewer times in all counted text are pruned, their mass left
+    to the lower order; they count in every total and discount. hot: so many of the commonest words and word pairs each
+    are looked up where texts are read. most_bits: size of the bitmap of known grams that spares texts questions; a full one spares fewer.
     window: a document also goes if its worst run of so many words, measured with the hot words and pairs where it is read,
-    is beyond the same quantile plus slack of its language's trusted documents. shard_chars: characters of text whose grams meet in one shard of the count tables."""
+    is beyond the same quantile plus slack of its language's trusted documents. shard_chars: characters of text whose
+    grams meet in one shard of the count tables."""
 
     calibration: float = 0.3
     quantile: float = 0.995
     slack: float = 0.25
     least_docs: int = 30
     prior: float = 12.0
+    least: int = 2
     hot: int = 50_000
+    most_bits: int = 1 << 28
     window: int = 16
-    shard_chars: int = 8_000_000
+    shard_chars: int = 64_000_000
     seed: int = 7
 
 
@@ -44,109 +52,197 @@ def _key(*hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every word with the two before it."""
-    memo = WordHash()
-    for part in rows(batches, "text"):
+def _of(memo: WordHash, text: str | None) -> np.ndarray:
+    return memo.of(text.encode().split()) & SIX if text else np.empty(0, np.uint64)
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the one before."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+
+
+def _cuts(column: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    start = _runs(column)
+    return list(zip(start.tolist(), [*start[1:].tolist(), len(column)][: len(start)], strict=True))
+
+
+BLOCK = "shard int, words binary, at binary, n binary"
+
+
+def _blocks(shards: int, chunk: int = 1_000_000):
+    """The distinct triples of every `chunk` words with their counts, a row for each shard of the last two words: the
+    words, the places in these of b, c and a, and the counts by byte. Texts begin with START, START, START."""
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        p = np.concatenate(held)
+        a, b, c = p[:-2], p[1:-1], p[2:]
+        whole = (c != START) | (a == START)
+        a, b, c = a[whole], b[whole], c[whole]
+        shard = _shards(_key(b, c), shards)
+        at = np.lexsort((a, c, b, shard))
+        a, b, c, shard = a[at], b[at], c[at], shard[at]
+        start = _runs(a, b, c)
+        n = np.diff(np.append(start, len(a))).astype(np.uint32)
+        a, b, c, shard = a[start], b[start], c[start], shard[start]
+        out = []
+        for i, j in _cuts(shard):
+            words, place = np.unique(np.concatenate((b[i:j], c[i:j], a[i:j])), return_inverse=True)
+            out.append((int(shard[i]), _packed(words), place.astype(np.uint16 if len(words) < 1 << 16 else np.uint32).tobytes(), n[i:j].view(np.uint8).reshape(-1, 4).T.tobytes()))
+        return _batch(out, BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, held, n = WordHash(), [], 0
         with np.errstate(over="ignore"):
-            for (text,) in part:
-                h = memo.of(text.encode().split()) if text else np.empty(0, np.uint64)
-                if len(h):
-                    p = np.concatenate((np.full(2, START), h))
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)) for a in (p[:-2], p[1:-1], p[2:])], ["a", "b", "c"])
+            for part in rows(batches, "text"):
+                for (text,) in part:
+                    h = _of(memo, text)
+                    if len(h):
+                        held.append(np.concatenate((np.full(3, START), h)))
+                        n += len(h)
+                    if n >= chunk:
+                        yield pack(held)
+                        held, n = [], 0
+            if held:
+                yield pack(held)
+
+    return run
+
 
+COUNTS = "ord int, a long, b long, c long, n long, m long"
+
+
+def _counted(least: int):
+    """Of one shard, (ord, a, b, c, n, m): 3: a triple and its count; 2: a pair b c, its distinct words before, its count;
+    1: a word c, pairs that it ends, triples that it is the middle of; 0: how many (n) of order a have count c. Triples and pairs below `least` only count in the others."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = []
+        for words, at, n in zip(*(group.column(c).to_pylist() for c in ("words", "at", "n")), strict=True):
+            w = _unpacked(words)
+            i = np.frombuffer(at, np.uint16 if len(w) < 1 << 16 else np.uint32).reshape(3, -1)
+            parts.append((w[i[0]], w[i[1]], w[i[2]], np.frombuffer(n, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)))
+        b, c, a, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at = np.lexsort((a, c, b))
+        a, b, c, n = a[at], b[at], c[at], n[at]
+        start = _runs(a, b, c)
+        a, b, c, n = a[start], b[start], c[start], np.add.reduceat(n, start)
+        pair = _runs(b, c)
+        before, total = np.diff(np.append(pair, len(a))), np.add.reduceat(n, pair)
+        pb, pc = b[pair], c[pair]
+        # START START START is there for the count of its pair only: no text goes on with START
+        real, word = c != START, pc != START
+        before = np.where(word, before, 0)
+        words, place = np.unique(np.concatenate((pb, pc)), return_inverse=True)
+        ends = np.bincount(place[len(pb) :], weights=word, minlength=len(words)).astype(np.int64)
+        middle = np.bincount(place[: len(pb)], weights=before, minlength=len(words)).astype(np.int64)
+        often, known = real & (n >= least), total >= least
+        none = lambda x: np.zeros(len(x), np.int64)
+        of = [(3, a[often], b[often], c[often], n[often], none(a[often])), (2, none(pb[known]), pb[known], pc[known], before[known], total[known]), (1, none(words), none(words), words, ends, middle)]
+        for order, counts in ((3, n[real]), (2, before[word])):
+            k = np.arange(1, 5)
+            of.append((0, np.full(4, order), none(k), k, np.array([(counts == x).sum() for x in k]), none(k)))
+        columns = [np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in of]), *(np.concatenate([x[i].astype(np.int64) for x in of]) for i in range(1, 6))]
+        return pa.table([pa.array(c) for c in columns], names=[c.split()[0] for c in COUNTS.split(", ")])
 
-def _discounts(counts: DataFrame) -> list[float]:
+    return run
+
+
+def _discounts(counts: list[int]) -> list[float]:
     """D1, D2, D3+ from the counts of counts 1 to 4; 0.5, 1, 1.5 where these are too few to tell."""
-    row = counts.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = ((x or 0) for x in row)
+    n1, n2, n3, n4 = counts
     if not (n1 and n2 and n3 and n4):
         return [0.5, 1.0, 1.5]
     y = n1 / (n1 + 2 * n2)
     return [max(0.05, min(k - 1e-3, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
-def _less(n: Column, d: list[float]) -> Column:
-    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-
+def _less(n: str, d: list[float]) -> Column:
+    """n less its discount."""
+    return F.col(n) - F.when(F.col(n) == 0, 0.0).when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
 
-def _order(counts: DataFrame, context: list[str], lower: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(grams with n, p and gain, contexts with gamma) of one order from its counts n and the next lower order's p.
 
-    gain is log p less what the lower order gives, so that a text's log probability is a sum over its grams."""
-    d = _discounts(counts)
-    all_ = counts.groupBy(*context) if context else counts.groupBy()
-    contexts = all_.agg(F.sum("n").alias("total"), F.sum(_less(F.col("n"), d)).alias("held")).withColumn("gamma", F.col("held") / F.col("total"))
-    whole = counts.join(contexts, context) if context else counts.crossJoin(F.broadcast(contexts))  # one row
-    lower = lower.select(*on, F.col("p").alias("below"))
-    whole = whole.join(lower, on) if on else whole.crossJoin(F.broadcast(lower))  # one row
-    p = (F.col("n") - _less(F.col("n"), d)) / F.col("total") + F.col("gamma") * F.col("below")
-    whole = whole.withColumn("p", p).withColumn("gain", F.log("p") - F.log("gamma") - F.log("below"))
-    return whole.select(*counts.columns, "p", "gain"), contexts.select(*context, "gamma")
+def _n_shards(texts: DataFrame, how: Quality) -> int:
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(1 << 16, max(32, chars // how.shard_chars))
 
 
-def tables(texts: DataFrame) -> tuple[float, dict[str, DataFrame]]:
-    """log P of a word never seen, and p1, p2, p3 (grams with n, p, gain), g2, g3 (contexts with gamma) of the texts.
+def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str, DataFrame]]:
+    """log P of a word never seen, and the grams of the texts: words (c), pairs (b, c) and triples (a, b, c) with
+    n, gain (log p less what the lower order gives) and gamma (log weight of the lower order after the gram).
 
-    Counts are grouped sums sharded by gram; continuation counts, context totals and lower orders meet them by joins on
-    the same keys. All of it grows with the texts and stays distributed.
+    Every triple of every text is counted in a shard of its last two words, where the pairs and the parts of the words'
+    sums come from it. Grams seen fewer than `least` times are pruned there. What a context's kept grams don't hold is
+    its weight of the lower order, so every distribution sums to one. All tables grow with the texts and stay distributed.
     """
-    spark = texts.sparkSession
-    tri = staged(texts.mapInArrow(_grams, "a long, b long, c long").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")), "tri")
-    bi = staged(tri.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "bi")
-    uni = staged(bi.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "uni")
+    counts = staged(texts.mapInArrow(_blocks(shards), BLOCK).groupBy("shard").applyInArrow(_counted(how.least), COUNTS), "counts")
+    words = staged(counts.where("ord = 1").groupBy("c").agg(F.sum("n").alias("n"), F.sum("m").alias("total")), "words")
+    told = {(r.a, r.c): r.n for r in counts.where("ord = 0").groupBy("a", "c").agg(F.sum("n").alias("n")).collect()}  # eight rows
+    d3, d2 = (_discounts([told.get((order, k), 0) for k in (1, 2, 3, 4)]) for order in (3, 2))
+    size, whole, *few = words.agg(F.sum((F.col("n") > 0).cast("long")), F.coalesce(F.sum("n"), F.lit(0)), *[F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]).first()
+    size, d1 = size or 0, _discounts(few)
     # the words seen and one for all others share what unigrams hold back
-    floor = spark.createDataFrame([(1.0 / (uni.count() + 1),)], "p double")
-    p1, g1 = _order(uni, [], floor, [])
-    p1 = staged(p1, "p1")
-    p2, g2 = _order(bi, ["b"], p1, ["c"])
-    p2, g2 = staged(p2, "p2"), staged(g2, "g2")
-    p3, g3 = _order(tri, ["a", "b"], p2, ["b", "c"])
-    gamma = g1.first()
-    unseen = float(np.log(floor.first()[0] * (gamma[0] if gamma and gamma[0] else 1.0)))
-    return unseen, {"p1": p1, "p2": p2, "p3": p3, "g2": g2, "g3": g3}
-
-
-def train(texts: DataFrame) -> dict[str, np.ndarray]:
-    """The tables of a few texts as arrays in memory: sorted keys and logs, as log_probabilities takes them."""
-    unseen, found = tables(texts)
-    model = {"unseen": np.array([unseen])}
-    for name, df in found.items():
-        got = df.toArrow()
-        with np.errstate(over="ignore"):
-            keys = _key(*(got.column(c).to_numpy().view(np.uint64) for c in df.columns if c in ("a", "b", "c"))) if got.num_rows else np.empty(0, np.uint64)
-        at = np.argsort(keys)
-        model[name + "k"], model[name] = keys[at], np.log(got.column("p" if name[0] == "p" else "gamma").to_numpy()[at]).astype(np.float32)
-    return model
+    floor = (d1[0] * few[0] + d1[1] * few[1] + d1[2] * (size - few[0] - few[1])) / whole / (size + 1) if whole else 1.0
+    unseen = float(np.log(floor))
+
+    pairs = counts.where("ord = 2").select("b", "c", "n", F.col("m").alias("times"), _less("n", d2).alias("own"))
+    held = pairs.groupBy("b").agg(F.sum("own").alias("held")).withColumnRenamed("b", "c")
+    p1 = _less("n", d1) / F.lit(float(whole or 1)) + F.lit(floor)
+    words = words.join(held, "c", "left").select("c", "n", "total", p1.alias("p"), F.coalesce(1 - F.col("held") / F.col("total"), F.lit(1.0)).alias("rest"))
+    words = staged(words, "words")
+    after = words.select(F.col("c").alias("b"), "total", F.col("rest").alias("rest_b"))
+    p2 = F.col("own") / F.col("total") + F.col("rest_b") * F.col("below")
+    pairs = pairs.join(after, "b").join(words.select("c", F.col("p").alias("below")), "c").withColumn("p", p2)
+    pairs = staged(pairs.select("b", "c", "n", "times", "p", (F.log("p") - F.log("rest_b") - F.log("below")).alias("gain")), "pairs")
+
+    triples = counts.where("ord = 3").select("a", "b", "c", _less("n", d3).alias("own"))
+    triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), "times"), ["a", "b"]).join(pairs.select("b", "c", F.col("p").alias("below")), ["b", "c"])
+    triples = staged(triples.select("a", "b", "c", (F.col("own") / F.col("times")).alias("own"), "below"), "triples")
+    discard(counts)
+    rest = triples.groupBy("a", "b").agg((1 - F.sum("own")).alias("rest"))
+    p3 = F.col("own") + F.col("rest") * F.col("below")
+    triples = triples.join(rest, ["a", "b"]).select("a", "b", "c", (F.log(p3) - F.log("rest") - F.log("below")).alias("gain"), F.lit(0.0).alias("gamma"))
+    pairs = pairs.join(rest.toDF("b", "c", "rest"), ["b", "c"], "left").select("b", "c", "n", "gain", F.coalesce(F.log("rest"), F.lit(0.0)).alias("gamma"))
+    words = words.select("c", "n", (F.log("p") - unseen).alias("gain"), F.log("rest").alias("gamma"))
+    return unseen, {"words": words, "pairs": pairs, "triples": triples}
+
+
+GRAMS = {"words": ("c",), "pairs": ("b", "c"), "triples": ("a", "b", "c")}
+
+
+def _arrays(found: pa.Table, grams: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, gain and gamma."""
+    with np.errstate(over="ignore"):
+        keys = _key(*(found.column(c).to_numpy().view(np.uint64) for c in grams)) if found.num_rows else np.empty(0, np.uint64)
+    return keys, found.column("gain").to_numpy().astype(np.float32), found.column("gamma").to_numpy().astype(np.float32)
 
 
-def _find(model: dict[str, np.ndarray], name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    known = model[name + "k"]
-    if not len(known):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    hit = known[at] == keys
-    return hit, np.where(hit, model[name][at], np.float32(0))
+def train(texts: DataFrame, how: Quality = Quality()) -> tuple[float, dict[int, tuple[float, float]]]:
+    """The tables of a few texts in memory: log P of a word never seen, and key: (gain, gamma) of each gram."""
+    unseen, found = tables(texts, how, 4)
+    model = {}
+    for name, df in found.items():
+        keys, *values = _arrays(df.toArrow(), GRAMS[name])
+        model |= dict(zip(keys.tolist(), zip(*(v.tolist() for v in values), strict=True), strict=True))
+    return unseen, model
 
 
-def log_probabilities(model: dict[str, np.ndarray], words: np.ndarray) -> np.ndarray:
-    """log P of each word hash after the two before it: the highest order that has the gram, weighted down to it."""
+def log_probabilities(model: tuple[float, dict[int, tuple[float, float]]], words: np.ndarray) -> np.ndarray:
+    """log P of each word hash after the two before it: gains of the grams that end there, weights of those before."""
+    unseen, known = model
+    look = lambda keys, i: np.array([known.get(k, (0.0, 0.0))[i] for k in keys.tolist()])
     with np.errstate(over="ignore"):
-        p = np.concatenate((np.full(2, START), words))
+        p = np.concatenate((np.full(2, START), words & SIX))
         a, b, c = p[:-2], p[1:-1], p[2:]
-        known, out = _find(model, "p1", _key(c))
-        out = np.where(known, out, np.float32(model["unseen"][0]))
-        # contexts whose last word is unknown have no counts
-        near = np.concatenate(([True], known[:-1]))
-        at = np.flatnonzero(near)
-        _, gamma = _find(model, "g2", _key(b[at]))
-        hit, p2 = _find(model, "p2", _key(b[at], c[at]))
-        out[at] = np.where(hit, p2, out[at] + gamma)
-        seen, gamma = _find(model, "g3", _key(a[at], b[at]))
-        at, gamma = at[seen], gamma[seen]
-        hit, p3 = _find(model, "p3", _key(a[at], b[at], c[at]))
-        out[at] = np.where(hit, p3, out[at] + gamma)
-    return out
+        return unseen + look(_key(c), 0) + look(_key(b, c), 0) + look(_key(a, b, c), 0) + look(_key(b), 1) + look(_key(a, b), 1)
+
+
+def _batch(out: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*out, strict=True), types, strict=True)], list(names))
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -165,22 +261,19 @@ def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 TABLE = "shard int, keys binary, gain binary, gamma binary"
-ENTRIES = "shard int, rid binary, size binary, keys binary, times binary"
+ENTRIES = "shard int, whole boolean, rid binary, size binary, keys binary, times binary"
 
 
-def _table(words: tuple[str, ...], shards: int):
+def _table(grams: tuple[str, ...], shards: int):
     """Rows (words, gain, gamma) as one row for each shard and 500,000 grams."""
 
     def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(batches)
+        keys, *values = _arrays(pa.Table.from_batches(batches), grams)
         with np.errstate(over="ignore"):
-            keys = _key(*(whole.column(c).to_numpy().view(np.uint64) for c in words))
-        shard = _shards(keys, shards)
+            shard = _shards(keys, shards)
         at = np.argsort(shard, kind="stable")
-        keys, values = keys[at], [whole.column(c).to_numpy()[at].astype(np.float32) for c in ("gain", "gamma")]
-        own, start = np.unique(shard[at], return_index=True)
-        cuts = list(zip(start, [*start[1:], len(at)], strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([_packed(keys[i:j]) for i, j in cuts], pa.binary()), *(pa.array([v[i:j].tobytes() for i, j in cuts], pa.binary()) for v in values)], TABLE.replace(" int", "").replace(" binary", "").split(", "))
+        keys, shard, values = keys[at], shard[at], [v[at] for v in values]
+        return _batch([(int(shard[i]), _packed(keys[i:j]), *(v[i:j].tobytes() for v in values)) for i, j in _cuts(shard)], TABLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -196,29 +289,42 @@ def _table(words: tuple[str, ...], shards: int):
     return run
 
 
+def _keys(grams: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(_key(*(batch.column(c).to_numpy().view(np.uint64) for c in grams)).view(np.int64))], ["key"])
+
+    return run
+
+
 def _entries(shared, shards: int, window: int):
-    """Each text's distinct grams outside the hot ones, a row for each shard and batch; times is 2 * occurrences, plus 1
-    if one of them ends the text and so is no context. A row of shard -1 has what hot grams and unseen words add,
-    and the worst window's share of it a word."""
+    """Each text's distinct grams outside the hot ones that may be known, a row for each shard and batch; times is
+    2 * occurrences, plus 1 if one of them ends the text and so is no context. A row marked whole has what hot grams and
+    unseen words add, and the worst window's share of it a word."""
 
-    def grams(h: np.ndarray, known: np.ndarray, gain: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def grams(h: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray], known: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What hot words and pairs add to each word's log probability, and pairs as contexts of a third; keys and times of the distinct other grams."""
         p = np.concatenate((np.full(2, START), h))
         keys = np.concatenate((_key(p[1:]), _key(p[:-1], p[1:]), _key(p[:-2], p[1:-1], p[2:])))
         m, add, weight = len(p) - 1, np.zeros(len(h)), np.zeros(len(h))
-        hit = np.zeros(len(keys), bool)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, keys[: 2 * m]), len(known) - 1)
-            hit[: 2 * m] = known[at] == keys[: 2 * m]
-            up, down = (np.where(hit[: 2 * m], x[at], 0.0) for x in (gain, gamma))
+        maybe = known.has(keys)
+        if len(hot[0]):
+            two = np.flatnonzero(maybe[: 2 * m])
+            at = np.minimum(np.searchsorted(hot[0], keys[two]), len(hot[0]) - 1)
+            hit = hot[0][at] == keys[two]
+            up, down = np.zeros(2 * m), np.zeros(2 * m)
+            up[two[hit]], down[two[hit]] = hot[1][at[hit]], hot[2][at[hit]]
+            maybe[two[hit]] = False
             add, weight = up[1:m] + up[m + 1 :] + down[: m - 1], down[m:-1]
         last = np.zeros(len(keys), np.int64)
         last[[m - 1, 2 * m - 1]] = 1
-        keys, last = keys[~hit], last[~hit]
+        keys, last = keys[maybe], last[maybe]
         at = np.argsort(keys, kind="stable")
         keys, last = keys[at], last[at]
-        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return add, weight, keys[start], 2 * np.diff(np.append(start, len(keys))) + np.add.reduceat(last, start)
+        start = _runs(keys)
+        return add, weight, keys[start], 2 * np.diff(np.append(start, len(keys))) + (np.add.reduceat(last, start) if len(start) else 0)
 
     def worst(loss: np.ndarray) -> float:
         if len(loss) < window:
@@ -227,15 +333,15 @@ def _entries(shared, shards: int, window: int):
         return float((total[window:] - total[:-window]).max()) / window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (unseen, *hot) = WordHash(), shared.value
+        memo, (unseen, hot, known) = WordHash(), shared.value
         for part in rows(batches, "rid", "text", size=512):
             rids, counts, base, local, keys, times, sizes = [], [], [], [], [], [], []
             with np.errstate(over="ignore"):
                 for rid, text in part:
-                    h = memo.of(text.encode().split()) if text else ()
+                    h = _of(memo, text)
                     if not len(h):
                         continue
-                    add, weight, k, t = grams(h, *hot)
+                    add, weight, k, t = grams(h, hot, known)
                     loss = -(unseen + add)
                     rids.append(rid)
                     counts.append(len(h))
@@ -251,12 +357,12 @@ def _entries(shared, shards: int, window: int):
             shard = _shards(k, shards)
             at = np.argsort(shard, kind="stable")
             shard, k, t, doc = shard[at], k[at], t[at], doc[at]
-            out = [(-1, rid.tobytes(), np.array(local).tobytes(), np.array(counts, np.int64).tobytes(), np.array(base).tobytes())]
-            own, start = np.unique(shard, return_index=True)
-            for s, i, j in zip(own.tolist(), start, [*start[1:], len(at)], strict=True):
-                first = np.flatnonzero(np.concatenate(([True], doc[i + 1 : j] != doc[i : j - 1])))
-                out.append((s, rid[doc[i:j][first]].tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), _packed(k[i:j]), t[i:j].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ENTRIES.replace(" int", "").replace(" binary", "").split(", "))
+            out = [(rids[0] % shards, True, rid.tobytes(), np.array(local).tobytes(), np.array(counts, np.int64).tobytes(), np.array(base).tobytes())]
+            for i, j in _cuts(shard):
+                first = _runs(doc[i:j])
+                # counts by byte, as nearly all fit in one
+                out.append((int(shard[i]), False, rid[doc[i:j][first]].tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), _packed(k[i:j]), t[i:j].view(np.uint8).reshape(-1, 4).T.tobytes()))
+            yield _batch(out, ENTRIES)
 
     return run
 
@@ -264,78 +370,55 @@ def _entries(shared, shards: int, window: int):
 SUMS = "rid long, copies long, n_words long, loss double, worst double"
 
 
-def _sums(shared, shards: int):
+def _sums(entries: pa.Table, table: pa.Table) -> pa.Table:
     """Of one shard: for each text in it, what its grams add to the loss."""
-
-    def run(entries: pa.Table, table: pa.Table) -> pa.Table:
-        keys, gain, gamma = (np.concatenate([kind(x) for x in table.column(c).to_pylist()]) if table.num_rows else np.empty(0) for c, kind in (("keys", _unpacked), ("gain", lambda x: np.frombuffer(x, np.float32)), ("gamma", lambda x: np.frombuffer(x, np.float32))))
-        at = np.argsort(keys, kind="stable")
-        keys, gain, gamma = keys[at], gain[at], gamma[at]
-        if len(keys):  # a pair has one row as a gram and one as a context
-            start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            keys, gain, gamma = keys[start], np.add.reduceat(gain, start), np.add.reduceat(gamma, start)
-        rids, loss = [np.empty(0, np.int64)], [np.empty(0)]
-        for batch in entries.select(["rid", "size", "keys", "times"]).to_batches(max_chunksize=64):
-            for rid, size, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, t, size = _unpacked(k), np.frombuffer(t, np.uint32).astype(np.int64), np.frombuffer(size, np.uint32).astype(np.int64)
-                found = np.zeros(len(k))
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                    n = t >> 1
-                    found = np.where(keys[at] == k, n * gain[at] + (n - (t & 1)) * gamma[at], 0.0)
-                rids.append(np.frombuffer(rid, np.int64))
-                loss.append(-np.add.reduceat(found, np.concatenate(([0], np.cumsum(size)[:-1]))))
-        rid, loss = np.concatenate(rids), np.concatenate(loss)
-        none = pa.array(np.zeros(len(rid), np.int64))
-        return pa.table([pa.array(rid), none, none, pa.array(loss), pa.nulls(len(rid), pa.float64())], names=["rid", "copies", "n_words", "loss", "worst"])
-
-    return run
-
-
-def _bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rid, local, n, base in zip(*(batch.column(c).to_pylist() for c in ("rid", "size", "keys", "times")), strict=True):
+    keys, gain, gamma = (np.concatenate([kind(x) for x in table.column(c).to_pylist()]) if table.num_rows else np.empty(0) for c, kind in (("keys", _unpacked), ("gain", lambda x: np.frombuffer(x, np.float32)), ("gamma", lambda x: np.frombuffer(x, np.float32))))
+    at = np.argsort(keys, kind="stable")
+    keys, gain, gamma = keys[at], gain[at], gamma[at]
+    out = []
+    for batch in entries.to_batches(max_chunksize=64):
+        for whole, rid, size, k, t in zip(*(batch.column(c).to_pylist() for c in ("whole", "rid", "size", "keys", "times")), strict=True):
             rid = np.frombuffer(rid, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.ones(len(rid), np.int64)), pa.array(np.frombuffer(n, np.int64)), pa.array(np.frombuffer(base, np.float64)), pa.array(np.frombuffer(local, np.float64), from_pandas=True)], ["rid", "copies", "n_words", "loss", "worst"])
+            if whole:
+                out.append((rid, np.ones(len(rid), np.int64), np.frombuffer(k, np.int64), np.frombuffer(t, np.float64), np.frombuffer(size, np.float64)))
+                continue
+            k, size = _unpacked(k), np.frombuffer(size, np.uint32).astype(np.int64)
+            n = np.frombuffer(t, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+            found = np.zeros(len(k))
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                found = np.where(keys[at] == k, (n >> 1) * gain[at] + ((n >> 1) - (n & 1)) * gamma[at], 0.0)
+            none = np.zeros(len(rid), np.int64)
+            out.append((rid, none, none, -np.add.reduceat(found, np.concatenate(([0], np.cumsum(size)[:-1]))), np.full(len(rid), np.nan)))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3 + [np.empty(0)] * 2
+    return pa.table([pa.array(c, from_pandas=True) for c in columns], names=[c.split()[0] for c in SUMS.split(", ")])
 
 
 def losses(texts: DataFrame, trusted: DataFrame, how: Quality) -> DataFrame:
     """rid, n_words, loss (nats), worst (window, a word; null if shorter) of texts (rid, text) that have words, under the model of the trusted (text).
 
     The log probability of a text is a sum over its 1-, 2- and 3-grams of the gain of the gram and the log weight of the
-    context, nothing for grams never seen. So the distinct grams of every text meet the count tables in shards by hash,
-    each shard gives sums for its texts, and these are added up. The hot grams only are sent to the executors.
+    context, nothing for grams that the model doesn't have. So the distinct grams of every text meet the count tables in
+    shards by hash, each shard gives sums for its texts, and these are added up. Only the hot grams and a bitmap of all
+    known ones, of bounded size, are sent to the executors; the bitmap may let grams pass that aren't known, never hold one back.
     """
-    spark = texts.sparkSession
-    unseen, t = tables(trusted)
-    p1, p2 = (t[x].select(*k, "n", "gain") for x, k in (("p1", ["c"]), ("p2", ["b", "c"])))
-    g2, g3 = t["g2"].select("b", F.log("gamma").alias("gamma")), staged(t["g3"].select("a", "b", F.log("gamma").alias("gamma")), "g3")
-    zero = F.lit(0.0)
-    top = [
-        p1.orderBy(F.desc("n"), "c").limit(how.hot).join(g2.withColumnRenamed("b", "c"), "c", "left").select("c", "gain", F.coalesce("gamma", zero).alias("gamma")).toArrow(),
-        p2.orderBy(F.desc("n"), "b", "c").limit(how.hot).join(g3.toDF("b", "c", "gamma"), ["b", "c"], "left").select("b", "c", "gain", F.coalesce("gamma", zero).alias("gamma")).toArrow(),
-    ]
-    with np.errstate(over="ignore"):
-        known = np.concatenate([_key(*(x.column(c).to_numpy().view(np.uint64) for c in x.column_names[:-2])) if x.num_rows else np.empty(0, np.uint64) for x in top])
-    at = np.argsort(known)
-    gain, gamma = (np.concatenate([x.column(c).to_numpy() for x in top])[at] for c in ("gain", "gamma"))
-    shared = spark.sparkContext.broadcast((unseen, known[at], gain, gamma))
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = min(1 << 16, max(32, chars // how.shard_chars))
-    packed = [
-        p1.select("c", "gain", zero.alias("gamma")).mapInArrow(_table(("c",), shards), TABLE),
-        g2.select("b", zero.alias("gain"), "gamma").mapInArrow(_table(("b",), shards), TABLE),
-        p2.select("b", "c", "gain", zero.alias("gamma")).mapInArrow(_table(("b", "c"), shards), TABLE),
-        g3.select("a", "b", zero.alias("gain"), "gamma").mapInArrow(_table(("a", "b"), shards), TABLE),
-        t["p3"].select("a", "b", "c", "gain", zero.alias("gamma")).mapInArrow(_table(("a", "b", "c"), shards), TABLE),
-    ]
-    table = reduce(DataFrame.union, packed)
-    entries = staged(texts.mapInArrow(_entries(shared, shards, how.window), ENTRIES), "entries")
-    sums = entries.where("shard >= 0").groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(_sums(shared, shards), SUMS)
-    every = entries.where("shard < 0").mapInArrow(_bases, SUMS).union(sums)
+    spark, shards = texts.sparkSession, _n_shards(texts, how)
+    unseen, found = tables(trusted, how, shards)
+    found = {name: staged(df, name) for name, df in found.items()}
+    top = [_arrays(found[x].orderBy(F.desc("n"), *GRAMS[x]).limit(how.hot).toArrow(), GRAMS[x]) for x in ("words", "pairs")]
+    hot = [np.concatenate(x) for x in zip(*top, strict=True)]
+    at = np.argsort(hot[0])
+    every = reduce(DataFrame.union, [df.select(*GRAMS[x]).mapInArrow(_keys(GRAMS[x]), "key long") for x, df in found.items()])
+    shared = spark.sparkContext.broadcast((unseen, tuple(x[at] for x in hot), bitmap(every, how.most_bits)))
+    table = reduce(DataFrame.union, [df.select(*GRAMS[x], "gain", "gamma").mapInArrow(_table(GRAMS[x], shards), TABLE) for x, df in found.items()])
+    asked = texts.mapInArrow(_entries(shared, shards, how.window), ENTRIES)
+    sums = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(_sums, SUMS)
     # rows that are the same in id and text are added up and divided again
-    out = every.groupBy("rid").agg(F.sum("copies").alias("copies"), F.sum("n_words").alias("n_words"), F.sum("loss").alias("loss"), F.max("worst").alias("worst"))
-    return staged(out.select("rid", F.expr("n_words div copies").alias("n_words"), (F.col("loss") / F.col("copies")).alias("loss"), "worst"), "losses")
+    out = sums.groupBy("rid").agg(F.sum("copies").alias("copies"), F.sum("n_words").alias("n_words"), F.sum("loss").alias("loss"), F.max("worst").alias("worst"))
+    out = staged(out.select("rid", F.expr("n_words div copies").alias("n_words"), (F.col("loss") / F.col("copies")).alias("loss"), "worst"), "losses")
+    shared.destroy()
+    discard(*found.values())
+    return out
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame, how: Quality) -> DataFrame:

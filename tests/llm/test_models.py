@@ -1,5 +1,8 @@
 """op2 and op7: held-out accuracy and the model's own sums."""
 
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -49,6 +52,61 @@ def test_kneser_ney_sums_to_one(spark):
         assert abs(total - 1) < 1e-3
 
 
+def kneser_ney(texts, least):
+    """log P(word, two before it) in plain Python, from dictionaries of counts."""
+    three = Counter(g for t in texts for g in zip(["", "", *t], ["", *t], t))
+    ends = Counter(tuple(["", *t][-2:]) for t in texts)
+    total3 = Counter()
+    for (a, b, _), n in three.items():
+        total3[a, b] += n
+    for g, n in ends.items():
+        total3[g] += n
+    two, one = Counter((b, c) for _, b, c in three), Counter()
+    for _, c in two:
+        one[c] += 1
+
+    def less(counts):
+        few = Counter(counts.values())
+        if not all(few[k] for k in (1, 2, 3, 4)):
+            d = (0.5, 1.0, 1.5)
+        else:
+            y = few[1] / (few[1] + 2 * few[2])
+            d = [max(0.05, min(k - 1e-3, k - (k + 1) * y * few[k + 1] / few[k])) for k in (1, 2, 3)]
+        return lambda n: n - d[min(n, 3) - 1]
+
+    l1, l2, l3 = less(one), less(two), less(three)
+    total1, total2 = sum(one.values()), Counter()
+    for (b, _), n in two.items():
+        total2[b] += n
+    pair_times = Counter()
+    for (_, b, c), n in three.items():
+        pair_times[b, c] += n
+    floor = sum(n - l1(n) for n in one.values()) / total1 / (len(one) + 1)
+    kept2 = {g: l2(n) / total2[g[0]] for g, n in two.items() if pair_times[g] >= least}
+    kept3 = {g: l3(n) / total3[g[:2]] for g, n in three.items() if n >= least}
+    rest2, rest3 = Counter(), Counter()
+    for g, p in kept2.items():
+        rest2[g[0]] += p
+    for g, p in kept3.items():
+        rest3[g[:2]] += p
+    p1 = lambda c: (l1(one[c]) / total1 if c in one else 0) + floor
+    p2 = lambda b, c: kept2.get((b, c), 0) + (1 - rest2[b]) * p1(c)
+    return lambda a, b, c: math.log(kept3.get((a, b, c), 0) + (1 - rest3[a, b]) * p2(b, c))
+
+
+def test_kneser_ney_brute(spark):
+    """Log probabilities are those of counts in plain Python, with and without pruning."""
+    rng = np.random.default_rng(8)
+    texts = [[f"w{min(int(rng.geometric(0.15)), 25)}" for _ in range(int(rng.integers(1, 25)))] for _ in range(120)]
+    asked, memo = [*texts[:20], ["w1", "no", "w2", "w3"], ["no"]], WordHash()
+    for least in (1, 2):
+        model = train(spark.createDataFrame([(" ".join(t),) for t in texts], "text string").repartition(3), Quality(least=least))
+        p = kneser_ney(texts, least)
+        for t in asked:
+            got = log_probabilities(model, memo.of([w.encode() for w in t]))
+            assert np.allclose(got, [p(*g) for g in zip(["", "", *t], ["", *t], t)], atol=1e-4)
+
+
 def test_quality(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
     got = judge_quality(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").select("quality", "kept").collect()
