@@ -190,7 +190,7 @@ def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str
     pairs = counts.where("ord = 2").select("b", "c", "n", F.col("m").alias("times"), _less("n", d2).alias("own"))
     held = pairs.groupBy("b").agg(F.sum("own").alias("held")).withColumnRenamed("b", "c")
     p1 = _less("n", d1) / F.lit(float(whole or 1)) + F.lit(floor)
-    words = words.join(held, "c", "left").select("c", "n", "total", p1.alias("p"), F.coalesce(1 - F.col("held") / F.col("total"), F.lit(1.0)).alias("rest"))
+    words = words.join(held, "c", "left").select("c", "n", "total", p1.alias("p"), F.when(F.col("held").isNull(), 1.0).otherwise(1 - F.try_divide("held", "total")).alias("rest"))
     words = staged(words, "words")
     after = words.select(F.col("c").alias("b"), "total", F.col("rest").alias("rest_b"))
     p2 = F.col("own") / F.col("total") + F.col("rest_b") * F.col("below")
