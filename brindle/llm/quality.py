@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ class Quality:
     decide nothing. least: word pairs and triples that stand fewer times in all counted text are pruned, their mass left
     to the lower order; they count in every total and discount. hot: so many of the commonest words and word pairs each
     are looked up where texts are read. most_bits: size of the bitmap of known grams that spares texts questions; a full one spares fewer.
+    broadcast_ids: beyond so many trusted ids the choice of their texts is left to Spark's join.
     window: a document also goes if its worst run of so many words, measured with the hot words and pairs where it is read,
     is beyond the same quantile plus slack of its language's trusted documents. shard_chars: characters of text whose
     grams meet in one shard of the count tables."""
@@ -42,6 +44,7 @@ class Quality:
     most_bits: int = 1 << 28
     window: int = 16
     shard_chars: int = 64_000_000
+    broadcast_ids: int = 2_000_000
     seed: int = 7
 
 
@@ -74,7 +77,7 @@ BLOCK = "shard int, words binary, at binary, n binary"
 
 def _blocks(shards: int, chunk: int = 1_000_000):
     """The distinct triples of every `chunk` words with their counts, a row for each shard of the last two words: the
-    words, the places in these of b, c and a, and the counts by byte. Texts begin with START, START, START."""
+    words, the places in these of b, c and a, and the counts. Texts begin with START, START, START."""
 
     def pack(held: list[np.ndarray]) -> pa.RecordBatch:
         p = np.concatenate(held)
@@ -90,7 +93,9 @@ def _blocks(shards: int, chunk: int = 1_000_000):
         out = []
         for i, j in _cuts(shard):
             words, place = np.unique(np.concatenate((b[i:j], c[i:j], a[i:j])), return_inverse=True)
-            out.append((int(shard[i]), _packed(words), place.astype(np.uint16 if len(words) < 1 << 16 else np.uint32).tobytes(), n[i:j].view(np.uint8).reshape(-1, 4).T.tobytes()))
+            place = place.astype(np.uint32)
+            place[1 : j - i] -= place[: j - i - 1].copy()  # b goes up by few
+            out.append((int(shard[i]), _squeeze(np.diff(words, prepend=np.uint64(0))), _squeeze(place), _squeeze(n[i:j])))
         return _batch(out, BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +126,8 @@ def _counted(least: int):
     def run(group: pa.Table) -> pa.Table:
         parts = []
         for words, at, n in zip(*(group.column(c).to_pylist() for c in ("words", "at", "n")), strict=True):
-            w = _unpacked(words)
-            i = np.frombuffer(at, np.uint16 if len(w) < 1 << 16 else np.uint32).reshape(3, -1)
-            parts.append((w[i[0]], w[i[1]], w[i[2]], np.frombuffer(n, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)))
+            w, i = np.cumsum(_loose(words, np.uint64)), _loose(at, np.uint32).reshape(3, -1)
+            parts.append((w[np.cumsum(i[0])], w[i[1]], w[i[2]], _loose(n, np.uint32).astype(np.int64)))
         b, c, a, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         at = np.lexsort((a, c, b))
         a, b, c, n = a[at], b[at], c[at], n[at]
@@ -190,10 +194,10 @@ def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str
     pairs = counts.where("ord = 2").select("b", "c", "n", F.col("m").alias("times"), _less("n", d2).alias("own"))
     held = pairs.groupBy("b").agg(F.sum("own").alias("held")).withColumnRenamed("b", "c")
     p1 = _less("n", d1) / F.lit(float(whole or 1)) + F.lit(floor)
-    words = words.join(held, "c", "left").select("c", "n", "total", p1.alias("p"), F.when(F.col("held").isNull(), 1.0).otherwise(1 - F.try_divide("held", "total")).alias("rest"))
+    words = words.join(held, "c", "left").select("c", "n", "total", p1.alias("p"), F.coalesce(1 - F.try_divide("held", "total"), F.lit(1.0)).alias("rest"))
     words = staged(words, "words")
     after = words.select(F.col("c").alias("b"), "total", F.col("rest").alias("rest_b"))
-    p2 = F.col("own") / F.col("total") + F.col("rest_b") * F.col("below")
+    p2 = F.coalesce(F.try_divide("own", "total"), F.lit(0.0)) + F.col("rest_b") * F.col("below")
     pairs = pairs.join(after, "b").join(words.select("c", F.col("p").alias("below")), "c").withColumn("p", p2)
     pairs = staged(pairs.select("b", "c", "n", "times", "p", (F.log("p") - F.log("rest_b") - F.log("below")).alias("gain")), "pairs")
 
@@ -240,20 +244,20 @@ def log_probabilities(model: tuple[float, dict[int, tuple[float, float]]], words
 
 
 def _batch(out: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*out, strict=True), types, strict=True)], list(names))
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """The lower six bytes of each key; the shard stands for the others."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _squeeze(values: np.ndarray) -> bytes:
+    """Unsigned integers, byte by byte of their places, compressed."""
+    return len(values).to_bytes(4, "little") + pa.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), "zstd", asbytes=True)
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(np.uint64)
+def _loose(raw: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(raw[:4], "little"), np.dtype(kind).itemsize
+    whole = np.frombuffer(pa.decompress(raw[4:], n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(whole.reshape(size, n).T).view(kind).ravel()
 
 
 def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -261,7 +265,9 @@ def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 TABLE = "shard int, keys binary, gain binary, gamma binary"
-ENTRIES = "shard int, whole boolean, rid binary, size binary, keys binary, times binary"
+ENTRIES = "shard int, batch long, whole boolean, docs binary, sizes binary, keys binary, times binary"
+#: What of a gram's key the shard doesn't say.
+LOW = np.uint64(2**40 - 1)
 
 
 def _table(grams: tuple[str, ...], shards: int):
@@ -273,7 +279,7 @@ def _table(grams: tuple[str, ...], shards: int):
             shard = _shards(keys, shards)
         at = np.argsort(shard, kind="stable")
         keys, shard, values = keys[at], shard[at], [v[at] for v in values]
-        return _batch([(int(shard[i]), _packed(keys[i:j]), *(v[i:j].tobytes() for v in values)) for i, j in _cuts(shard)], TABLE)
+        return _batch([(int(shard[i]), (keys[i:j] & LOW).tobytes(), *(v[i:j].tobytes() for v in values)) for i, j in _cuts(shard)], TABLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -300,9 +306,9 @@ def _keys(grams: tuple[str, ...]):
 
 
 def _entries(shared, shards: int, window: int):
-    """Each text's distinct grams outside the hot ones that may be known, a row for each shard and batch; times is
-    2 * occurrences, plus 1 if one of them ends the text and so is no context. A row marked whole has what hot grams and
-    unseen words add, and the worst window's share of it a word."""
+    """Each text's distinct grams outside the hot ones that may be known, a row for each shard and batch of texts; docs are
+    places in the batch, times is 2 * occurrences, plus 1 if one of them ends the text and so is no context. A row marked
+    whole has the batch's ids and word counts, what hot grams and unseen words add, and the worst window's share of it a word."""
 
     def grams(h: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray], known: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What hot words and pairs add to each word's log probability, and pairs as contexts of a third; keys and times of the distinct other grams."""
@@ -332,66 +338,77 @@ def _entries(shared, shards: int, window: int):
         total = np.concatenate(([0.0], np.cumsum(loss)))
         return float((total[window:] - total[:-window]).max()) / window
 
+    def pack(batch: int, held: list[tuple]) -> pa.RecordBatch:
+        rid, counts, base, local, keys, times = zip(*held, strict=True)
+        doc = np.repeat(np.arange(len(rid), dtype=np.uint32), [len(k) for k in keys])
+        k, t = np.concatenate(keys), np.concatenate(times).astype(np.uint32)
+        shard = _shards(k, shards)
+        at = np.argsort(shard, kind="stable")
+        shard, k, t, doc = shard[at], k[at] & LOW, t[at], doc[at]
+        out = [(batch % shards, batch, True, np.array(rid, np.int64).tobytes(), np.array(counts, np.int64).tobytes(), np.array(base).tobytes(), np.array(local).tobytes())]
+        for i, j in _cuts(shard):
+            first = _runs(doc[i:j])
+            out.append((int(shard[i]), batch, False, _squeeze(doc[i:j][first]), _squeeze(np.diff(np.append(first, j - i)).astype(np.uint32)), _squeeze(k[i:j]), _squeeze(t[i:j])))
+        return _batch(out, ENTRIES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, (unseen, hot, known) = WordHash(), shared.value
-        for part in rows(batches, "rid", "text", size=512):
-            rids, counts, base, local, keys, times, sizes = [], [], [], [], [], [], []
+        batch, held, n = TaskContext.get().partitionId() << 32, [], 0
+        for part in rows(batches, "rid", "text", size=64):
             with np.errstate(over="ignore"):
                 for rid, text in part:
                     h = _of(memo, text)
-                    if not len(h):
-                        continue
-                    add, weight, k, t = grams(h, hot, known)
-                    loss = -(unseen + add)
-                    rids.append(rid)
-                    counts.append(len(h))
-                    base.append(float((loss - weight).sum()))
-                    local.append(worst(loss))
-                    keys.append(k)
-                    times.append(t)
-                    sizes.append(len(k))
-            if not rids:
-                continue
-            rid, k, t = np.array(rids, np.int64), np.concatenate(keys), np.concatenate(times).astype(np.uint32)
-            doc = np.repeat(np.arange(len(rid)), sizes)
-            shard = _shards(k, shards)
-            at = np.argsort(shard, kind="stable")
-            shard, k, t, doc = shard[at], k[at], t[at], doc[at]
-            out = [(rids[0] % shards, True, rid.tobytes(), np.array(local).tobytes(), np.array(counts, np.int64).tobytes(), np.array(base).tobytes())]
-            for i, j in _cuts(shard):
-                first = _runs(doc[i:j])
-                # counts by byte, as nearly all fit in one
-                out.append((int(shard[i]), False, rid[doc[i:j][first]].tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), _packed(k[i:j]), t[i:j].view(np.uint8).reshape(-1, 4).T.tobytes()))
-            yield _batch(out, ENTRIES)
+                    if len(h):
+                        add, weight, k, t = grams(h, hot, known)
+                        loss = -(unseen + add)
+                        held.append((rid, len(h), float((loss - weight).sum()), worst(loss), k, t))
+                        n += len(k)
+                if n >= 1_000_000:
+                    yield pack(batch, held)
+                    batch, held, n = batch + 1, [], 0
+        if held:
+            yield pack(batch, held)
 
     return run
 
 
-SUMS = "rid long, copies long, n_words long, loss double, worst double"
+SUMS = "batch long, whole boolean, docs binary, sizes binary, keys binary, times binary"
 
 
 def _sums(entries: pa.Table, table: pa.Table) -> pa.Table:
-    """Of one shard: for each text in it, what its grams add to the loss."""
-    keys, gain, gamma = (np.concatenate([kind(x) for x in table.column(c).to_pylist()]) if table.num_rows else np.empty(0) for c, kind in (("keys", _unpacked), ("gain", lambda x: np.frombuffer(x, np.float32)), ("gamma", lambda x: np.frombuffer(x, np.float32))))
+    """Of one shard: for each text in it, what its grams add to the loss (as keys); whole rows go on as they are."""
+    keys, gain, gamma = (np.concatenate([np.empty(0, kind), *(np.frombuffer(x, kind) for x in table.column(c).to_pylist())]) for c, kind in (("keys", np.uint64), ("gain", np.float32), ("gamma", np.float32)))
     at = np.argsort(keys, kind="stable")
     keys, gain, gamma = keys[at], gain[at], gamma[at]
     out = []
-    for batch in entries.to_batches(max_chunksize=64):
-        for whole, rid, size, k, t in zip(*(batch.column(c).to_pylist() for c in ("whole", "rid", "size", "keys", "times")), strict=True):
-            rid = np.frombuffer(rid, np.int64)
-            if whole:
-                out.append((rid, np.ones(len(rid), np.int64), np.frombuffer(k, np.int64), np.frombuffer(t, np.float64), np.frombuffer(size, np.float64)))
-                continue
-            k, size = _unpacked(k), np.frombuffer(size, np.uint32).astype(np.int64)
-            n = np.frombuffer(t, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
-            found = np.zeros(len(k))
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                found = np.where(keys[at] == k, (n >> 1) * gain[at] + ((n >> 1) - (n & 1)) * gamma[at], 0.0)
-            none = np.zeros(len(rid), np.int64)
-            out.append((rid, none, none, -np.add.reduceat(found, np.concatenate(([0], np.cumsum(size)[:-1]))), np.full(len(rid), np.nan)))
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3 + [np.empty(0)] * 2
-    return pa.table([pa.array(c, from_pandas=True) for c in columns], names=[c.split()[0] for c in SUMS.split(", ")])
+    for part in entries.to_batches(max_chunksize=64):
+        for row in part.to_pylist():
+            docs, sizes, k, t = (row[c] for c in ("docs", "sizes", "keys", "times"))
+            if not row["whole"]:
+                k, t, sizes = _loose(k, np.uint64), _loose(t, np.uint32).astype(np.int64), _loose(sizes, np.uint32).astype(np.int64)
+                found = np.zeros(len(k))
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                    found = np.where(keys[at] == k, (t >> 1) * gain[at] + ((t >> 1) - (t & 1)) * gamma[at], 0.0)
+                k, sizes, t = np.add.reduceat(found, np.concatenate(([0], np.cumsum(sizes)[:-1]))).astype(np.float32).tobytes(), None, None
+            out.append({"batch": row["batch"], "whole": row["whole"], "docs": docs, "sizes": sizes, "keys": k, "times": t})
+    kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 4]
+    return pa.Table.from_pylist(out, schema=pa.schema([(c.split()[0], t) for c, t in zip(SUMS.split(", "), kinds, strict=True)]))
+
+
+LOSSES = "rid long, n_words long, loss double, worst double"
+
+
+def _added(batch: pa.Table) -> pa.Table:
+    """The texts of a batch with their sums over all shards."""
+    parts = batch.to_pylist()
+    whole = next(row for row in parts if row["whole"])
+    rid, words = np.frombuffer(whole["docs"], np.int64), np.frombuffer(whole["sizes"], np.int64)
+    loss = np.frombuffer(whole["keys"], np.float64).copy()
+    for row in parts:
+        if not row["whole"]:
+            loss[_loose(row["docs"], np.uint32)] -= np.frombuffer(row["keys"], np.float32)
+    return pa.table([pa.array(rid), pa.array(words), pa.array(loss), pa.array(np.frombuffer(whole["times"], np.float64), from_pandas=True)], names=[c.split()[0] for c in LOSSES.split(", ")])
 
 
 def losses(texts: DataFrame, trusted: DataFrame, how: Quality) -> DataFrame:
@@ -413,9 +430,9 @@ def losses(texts: DataFrame, trusted: DataFrame, how: Quality) -> DataFrame:
     table = reduce(DataFrame.union, [df.select(*GRAMS[x], "gain", "gamma").mapInArrow(_table(GRAMS[x], shards), TABLE) for x, df in found.items()])
     asked = texts.mapInArrow(_entries(shared, shards, how.window), ENTRIES)
     sums = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(_sums, SUMS)
-    # rows that are the same in id and text are added up and divided again
-    out = sums.groupBy("rid").agg(F.sum("copies").alias("copies"), F.sum("n_words").alias("n_words"), F.sum("loss").alias("loss"), F.max("worst").alias("worst"))
-    out = staged(out.select("rid", F.expr("n_words div copies").alias("n_words"), (F.col("loss") / F.col("copies")).alias("loss"), "worst"), "losses")
+    every = sums.groupBy("batch").applyInArrow(_added, LOSSES)
+    # rows that are the same in id and text have the same sums
+    out = staged(every.groupBy("rid").agg(*[F.max(c).alias(c) for c in ("n_words", "loss", "worst")]), "losses")
     shared.destroy()
     discard(*found.values())
     return out
@@ -436,7 +453,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, how: Quality = Quality())
     is kept if its score is at most its language's threshold and its worst window within the same quantile of those. Medians and thresholds have a row per language.
 
     Null and empty texts have no words, a null perplexity, score m, and are kept. A null or rare language is measured
-    against all languages together. Without trusted documents everything is kept. Repeated rows are scored each.
+    against all languages together. Without trusted documents everything is kept. Repeated rows are scored each, and counted each where trusted.
     Columns of docs that are named like the new ones are replaced. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
@@ -444,7 +461,9 @@ def judge_quality(docs: DataFrame, labels: DataFrame, how: Quality = Quality())
     good = staged(trusted_documents(docs, labels, how), "trusted")
     known = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    counted = narrow.join(good.where("not held"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("text")
+    ids = good.where("not held").select("doc_id")
+    ids = F.broadcast(ids) if ids.count() <= how.broadcast_ids else ids
+    counted = narrow.join(ids, "doc_id", "left_semi").select("text")
     found = losses(known.select(F.col("_rid").alias("rid"), "text"), counted, how).withColumnsRenamed({"rid": "_rid", "worst": "_worst"})
     usual = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "_rid").join(good.where("held"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     usual = staged(usual.join(found, "_rid").where("n_words > 0"), "usual")
