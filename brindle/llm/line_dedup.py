@@ -23,7 +23,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 250_000) -> Iterator[tuple[list[int], list[str | None]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 500_000) -> Iterator[tuple[list[int], list[str | None]]]:
     """Ids and texts of consecutive rows, up to about so many characters or one text at a time."""
     ids, texts, size = [], [], 0
     for part in rows(batches, "doc_id", "text", size=64):
@@ -100,7 +100,7 @@ class Lines:
 
 
 def _probe(least: int):
-    """A row per line: its place, its key and the keys of its halves."""
+    """A row per line: its place, its key and, for the first of equal ones in a chunk, the keys of its halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, texts in _chunks(batches):
@@ -108,8 +108,12 @@ def _probe(least: int):
                 found = Lines(texts, least)
                 halves = np.stack([h.view(np.int64) for h in found.halves()], axis=1)
                 ids = pa.array(doc_ids, pa.int64()).take(pa.array(found.doc))
-                offsets = pa.array(np.arange(0, 4 * len(found.n) + 1, 4, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(found.line), pa.array(found.keys().view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(halves.ravel()))], ["doc_id", "line", "key", "halves"])
+                keys = found.keys().view(np.int64)
+                # equal lines have equal halves: the first of a chunk stands for them
+                first = np.zeros(len(keys), bool)
+                first[np.unique(keys, return_index=True)[1]] = True
+                offsets = pa.array(np.concatenate(([0], np.cumsum(4 * first))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found.line), pa.array(keys), pa.ListArray.from_arrays(offsets, pa.array(halves[first].ravel()))], ["doc_id", "line", "key", "halves"])
 
     return run
 
