@@ -181,10 +181,14 @@ class Scanner:
     def _chain(self, whole: int, found: list[tuple[int, int, int]]) -> tuple[int, int, int]:
         """Words covered, start and end in the text of the best run of sorted matches."""
         best: list[tuple[int, int]] = []  # words covered, start in the text
+        # a match further back than a gap and the longest match can't reach this one
+        reach = self.gap + whole // 8 + max(n for _, _, n in found)
         for i, (x, y, n) in enumerate(found):
             here = (n, x)
-            for j in range(i - 1, max(-1, i - 64), -1):
+            for j in range(i - 1, -1, -1):
                 px, py, pn = found[j]
+                if x - px > reach:
+                    break
                 dx, dy = x - (px + pn), y - (py + pn)
                 over = max(0, -dx, -dy)
                 if x > px and y > py and over < n and max(dx, dy) <= self.gap + whole // 8:
