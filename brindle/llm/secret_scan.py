@@ -22,12 +22,15 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 #: Parts of well-known examples and fillers, and whole strings that are no secrets.
 ALLOWED_PARTS = ("example", "placeholder", "changeme", "yourtoken", "your_", "your-", "dummy", "sample", "xxxx", "0123456789", "abcdefgh")
 ALLOWED_WHOLE = (
-    r"^[A-Za-z]+$",  # a word
+    r"^([A-Z]?[a-z]{2,}|[A-Z]{2,}|A|I)+$",  # a word, or some: no other letter alone in its case
     r"^[0-9]+$",  # a number
     r"^[A-Za-z]+([_/-][A-Za-z]+)+$",  # a path or an identifier of words
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # a UUID
     r"^[=_+/-]+$",  # a rule
 )
+#: What a candidate's characters are; so many counts of five bits are in a long.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+PER_LONG = 12
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -35,13 +38,15 @@ KINDS = ("assign", "access", "hex", "entropy")
 class Entropy:
     """A window of `window` characters of a candidate is a secret's if its Shannon entropy in bits a character reaches
     the limit of the candidate's character class: hex digits; lower-case letters and digits; letters of both cases and
-    digits; any with + / _ = -."""
+    digits; any with + / _ = -. An allowed part suppresses a candidate of up to `long` characters; in a longer one only
+    what holds the part."""
 
     window: int = 20
     hex_limit: float = 3.0
     lower_limit: float = 3.5
     mixed_limit: float = 3.7
     other_limit: float = 3.8
+    long: int = 64
 
 
 def _places(text: Column, pattern: str) -> Column:
@@ -75,46 +80,71 @@ def _kind(spans: Column, name: str) -> Column:
 def _peaks(hit: Column, how: Entropy) -> Column:
     """struct<best, first, last>: the highest entropy of any window, and the first and last windows that reach the limit.
 
-    The sum of n log2 n over a window's counts moves with the character that enters and the one that leaves; entropy is
-    log2(window) less that sum over the window.
+    The counts of a window's characters, and the sum of n log2 n over them, move with the character that enters and the
+    one that leaves; entropy is log2(window) less that sum over the window. So a candidate costs time in proportion to its length.
     """
     w = how.window
-    n_log_n = F.array(*[F.lit(0.0 if n < 2 else n * math.log2(n)) for n in range(w + 1)])
+    if not 1 < w < 32:
+        raise ValueError("a count has five bits: windows are of 2 to 31 characters")
+    n_log_n = F.array(*[F.lit(0.0 if n < 2 else n * math.log2(n)) for n in range(w + 2)])
     limit = (
         F.when(hit.rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), how.hex_limit)
         .when(hit.rlike(r"^[a-z0-9]+$"), how.lower_limit)
         .when(hit.rlike(r"^[A-Za-z0-9]+$"), how.mixed_limit)
         .otherwise(how.other_limit)
     )
-    at = lambda i: F.substr(hit, i, F.lit(1))  # noqa: E731  1-based
-    times = lambda c, start, n: n - F.length(F.replace(F.substr(hit, start, n), c, F.lit("")))
-    gain = lambda n, by: F.get(n_log_n, n + by) - F.get(n_log_n, n)
-    kind = "struct<sum:double,best:double,first:int,last:int>"
-
-    def enter(acc: Column, i: Column) -> Column:
-        """Character i comes to the i - 1 before it."""
-        return acc + gain(times(at(i), F.lit(1), i - 1), F.lit(1))
-
-    whole = F.aggregate(F.sequence(F.lit(1), F.lit(w)), F.lit(0.0), enter)
+    # each character's place in the alphabet; its count is five bits of one of the longs
+    signs = F.transform(F.slice(F.split(hit, ""), 1, F.length(hit)), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    bits = lambda sign: (sign % PER_LONG) * 5
+    held = lambda counts, sign: F.call_function("shiftright", F.get(counts, F.floor(sign / PER_LONG).cast("int")), bits(sign)).bitwiseAND(F.lit(31)).cast("int")
+    one = lambda sign, k: F.when(F.floor(sign / PER_LONG) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), bits(sign))).otherwise(F.lit(0).cast("bigint"))
     entropy = lambda s: F.lit(math.log2(w)) - s / w
-
-    def slide(acc: Column, i: Column) -> Column:
-        """The window from i on, after that from i - 1: character i - 1 leaves, i + w - 1 enters."""
-        inner = F.lit(w - 1)
-        s = acc["sum"] - gain(times(at(i - 1), i, inner), F.lit(1)) + gain(times(at(i + (w - 1)), i, inner), F.lit(1))
-        over = entropy(s) >= limit
-        return F.struct(s.alias("sum"), F.greatest(acc["best"], entropy(s)).alias("best"), F.coalesce(acc["first"], F.when(over, i)).alias("first"), F.when(over, i).otherwise(acc["last"]).alias("last")).cast(kind)
-
-    begin = F.transform(F.array(whole), lambda s: F.struct(s.alias("sum"), entropy(s).alias("best"), F.when(entropy(s) >= limit, 1).alias("first"), F.when(entropy(s) >= limit, 1).alias("last")).cast(kind))[0]
-    rest = F.when(F.length(hit) > w, F.sequence(F.lit(2), F.length(hit) - (w - 1))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rest, begin, slide)
+    kind = "struct<counts:array<bigint>,sum:double,best:double,first:int,last:int>"
+    none = F.array(*[F.lit(0).cast("bigint")] * -(-len(ALPHABET) // PER_LONG))
+    begin = F.struct(none.alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("best"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")).cast(kind)
+
+    def step(own: Column, acc: Column, i: Column) -> Column:
+        """Character i (from 0) enters, character i - w leaves."""
+        enters, leaves = F.get(own["signs"], i), F.when(i >= w, F.get(own["signs"], i - w))
+        more = held(acc["counts"], enters)
+        up = acc["sum"] + F.get(n_log_n, more + 1) - F.get(n_log_n, more)
+        counts = F.transform(acc["counts"], lambda x, k: x + one(enters, k) - F.when(leaves.isNull(), F.lit(0).cast("bigint")).otherwise(one(leaves, k)))
+        # what leaves stood there n times before, the new one counted if it's the same
+        n = held(acc["counts"], leaves) + F.when(leaves == enters, 1).otherwise(0)
+        total = F.when(leaves.isNull(), up).otherwise(up - F.get(n_log_n, n) + F.get(n_log_n, n - 1))
+        full = i >= w - 1
+        over = full & (entropy(total) >= own["limit"])
+        at = i - (w - 2)  # the window's first character, from 1
+        return F.struct(
+            counts.alias("counts"), total.alias("sum"),
+            F.when(full, F.greatest(acc["best"], entropy(total))).otherwise(acc["best"]).alias("best"),
+            F.coalesce(acc["first"], F.when(over, at)).alias("first"), F.when(over, at).otherwise(acc["last"]).alias("last"),
+        ).cast(kind)
+
+    def fold(own: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(own["signs"]) - 1)
+        return F.aggregate(places, begin, lambda acc, i: step(own, acc, i), lambda acc: F.struct(acc["best"].alias("best"), acc["first"].alias("first"), acc["last"].alias("last")))
+
+    # bound to a name outside the fold: what a fold carries is copied at every step
+    return F.transform(F.array(F.struct(signs.alias("signs"), limit.alias("limit"))), fold)[0]
 
 
 def _entropy_spans(text: Column, how: Entropy) -> Column:
-    """Of each candidate that is not allowed, the stretch from its first to its last window at or over the limit."""
+    """Of each candidate, or piece of one, that is not allowed, the stretch from its first to its last window at or over the limit."""
     found = _places(text, CANDIDATE % how.window)
-    allowed = lambda s: F.lower(s).rlike("|".join(ALLOWED_PARTS)) | s.rlike("|".join(ALLOWED_WHOLE))
-    open_ = F.filter(found, lambda s: ~allowed(s["hit"]))
+    spans = "array<struct<start:int,end:int,hit:string>>"
+
+    def blanked(hit: Column) -> Column:
+        for part in ALLOWED_PARTS:
+            hit = F.regexp_replace(hit, f"(?i){part}", " " * len(part))
+        return hit
+
+    def pieces(s: Column) -> Column:
+        """A candidate; of one with an allowed part nothing, or, if it's long, what lies between such parts."""
+        between = F.transform(_places(blanked(s["hit"]), CANDIDATE % how.window), lambda p: F.struct((s["start"] + p["start"]).alias("start"), (s["start"] + p["end"]).alias("end"), p["hit"].alias("hit")))
+        return F.when(~F.lower(s["hit"]).rlike("|".join(ALLOWED_PARTS)), F.array(s)).when(F.length(s["hit"]) > how.long, between.cast(spans)).otherwise(F.array().cast(spans))
+
+    open_ = F.filter(F.flatten(F.transform(found, pieces)), lambda s: ~s["hit"].rlike("|".join(ALLOWED_WHOLE)))
     rated = F.transform(open_, lambda s: F.struct(s["start"].alias("start"), _peaks(s["hit"], how).alias("p")))
     rated = F.filter(rated, lambda s: s["p"]["first"].isNotNull())
     return F.transform(rated, lambda s: F.struct((s["start"] + s["p"]["first"] - 1).alias("start"), (s["start"] + s["p"]["last"] + (how.window - 1)).alias("end"), F.lit("").alias("hit")))

@@ -146,3 +146,14 @@ def test_every_copy_of_a_notice():
     damaged = " some code here ".join([whole, whole[:200] + " foo " + whole[200:], whole[:100], whole])
     assert [x[2] for x in s.scan(damaged)[2]] == ["mit"] * 3
     assert len(s.scan("Licensed under CC BY 4.0 " * 50)[2]) == 50
+
+
+def test_long_candidates_and_allowed_parts(spark):
+    """A candidate costs time in proportion to its length; a filler hides short candidates and its own place in long ones."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWYZabcdefghijklmnopqrstuvwyz23456789") for _ in range(n))
+    long, short = noise(100_000), noise(30)
+    letters = "qWzRkTbNmVcXhJgLpYdS"
+    texts = [long, "dummy" + short, noise(60) + "dummy" + noise(60), "thisIsOnlyAnIdentifierOfWords", letters]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: [(0, 100_000)], 1: [], 2: [(0, 60), (65, 125)], 3: [], 4: [(0, 20)]}
