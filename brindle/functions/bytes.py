@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .checksums import byte_values, crc_table
+from .checksums import _bind, byte_values, crc_table
 
 BUFFER = "struct<bi_buf:bigint,bi_valid:int,pending:array<int>>"
 
@@ -18,9 +18,12 @@ def byte_swap(word: Column) -> Column:
 
 def bit_reverse(code: Column, length: Column) -> Column:
     """The low `length` (modulo 32) bits of code in reverse; length 0 gives 0."""
-    n = F.pmod(length, F.lit(32))
-    turn = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("bigint"), lambda r, i: F.shiftleft(r, 1).bitwiseOR(F.getbit(code.cast("bigint"), i).cast("bigint")))
-    return F.when(n == 0, F.lit(0).cast("bigint")).otherwise(turn)
+
+    def turn(s: Column) -> Column:
+        bits = F.aggregate(F.sequence(F.lit(0), s["n"] - 1), F.lit(0).cast("bigint"), lambda r, i: F.shiftleft(r, 1).bitwiseOR(F.getbit(s["code"], i).cast("bigint")))
+        return F.when(s["n"] == 0, F.lit(0).cast("bigint")).otherwise(bits)
+
+    return _bind(F.struct(code.cast("bigint").alias("code"), F.pmod(length, F.lit(32)).cast("int").alias("n")), turn)
 
 
 def crc_word(word: Column) -> Column:
@@ -32,6 +35,31 @@ def crc_word(word: Column) -> Column:
     return F.transform(F.array(table), step)[0].bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def crc_word_big(word: Column) -> Column:
+    """Eight steps over a 64-bit word from its highest byte down, with the table's entries in reverse byte order; the
+    whole word, as hex (unsigned values outgrow bigint)."""
+    table = F.array(*[F.lit(int.from_bytes(x.to_bytes(4, "little"), "big")).cast("bigint") for x in crc_table()])
+    step = lambda t: F.aggregate(
+        F.sequence(F.lit(1), F.lit(8)), word.cast("bigint"), lambda w, _: F.call_function("shiftleft", w, F.lit(8)).bitwiseXOR(F.get(t, F.call_function("shiftrightunsigned", w, F.lit(56)).cast("int")))
+    )
+    return F.lpad(F.hex(F.transform(F.array(table), step)[0]), 16, "0")
+
+
+def gen_codes(lengths: Column) -> Column:
+    """Canonical Huffman codes (RFC 1951), lowest bit first, of an array of code lengths; null where the length is 0.
+
+    The first code of a length is the sum over all shorter codes of 2 to the power of what they are shorter by; the
+    symbols of a length follow it in order.
+    """
+
+    def code(s: Column) -> Column:
+        first = lambda n: F.aggregate(F.filter(s, lambda m: (m > 0) & (m < n)), F.lit(0).cast("bigint"), lambda a, m: a + F.call_function("shiftleft", F.lit(1).cast("bigint"), (n - m).cast("int")))
+        before = lambda n, i: F.size(F.filter(F.slice(s, 1, i), lambda m: m == n))
+        return F.transform(s, lambda n, i: F.when(n > 0, bit_reverse(first(n) + before(n, i), n)))
+
+    return _bind(lengths, code)
+
+
 def compress_bound_simple(n: Column) -> Column:
     """n + n // 1000 + 18; null beyond 64 bits."""
     total = n.cast("decimal(38,0)") + F.floor(n / 1000).cast("decimal(38,0)") + 18
@@ -63,7 +91,7 @@ def compare_bytes(a: Column, b: Column, n: Column) -> Column:
 
 def slide(values: Column, window: Column) -> Column:
     """Every element less the window, 0 at least."""
-    return F.transform(values, lambda h: F.greatest(h - window, F.lit(0)))
+    return _bind(F.struct(values.alias("v"), window.alias("w")), lambda s: F.transform(s["v"], lambda h: F.greatest(h - s["w"], F.lit(0))))
 
 
 def bit_buffer(bi_buf: Column, bi_valid: Column, pending: Column) -> Column:

@@ -21,7 +21,10 @@ def byte_values(data: Column) -> Column:
 
 
 def _bind(value: Column, use) -> Column:
-    """use(value) with value worked out once, also inside lambdas."""
+    """use(value) with value worked out once, also inside lambdas.
+
+    Columns of the caller belong into value: inside a lambda their names may find an alias of the same select instead.
+    """
     return F.transform(F.array(value), use)[0]
 
 
@@ -48,6 +51,14 @@ def fletcher16(data: Column) -> Column:
     return F.aggregate(byte_values(data), start, add, lambda s: s["b"] * 256 + s["a"])
 
 
+def fletcher32(words: Column) -> Column:
+    """Two sums modulo 65535 over an array of 16-bit words: the second weighs each word by its place from the end, so
+    neither is folded."""
+    place = lambda s: F.transform(s, lambda w, i: (F.size(s) - i).cast("bigint") % 65535 * w % 65535)
+    total = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: (a + x) % 65535)
+    return _bind(words, lambda s: total(place(s)) * 65536 + total(s))
+
+
 def adler32_combine(adler1: Column, adler2: Column, len2: Column) -> Column:
     """Adler-32 of two joined strings from their sums and the second's length."""
     a1, b1 = adler1 % 65536, F.floor(adler1 / 65536)
@@ -71,8 +82,8 @@ def crc_reflected(data: Column, seed: int = 0, poly: int = CRC_POLY) -> Column:
     """Reflected CRC-32 of any polynomial; seed as in running sums."""
     table = F.array(*[F.lit(x).cast("bigint") for x in crc_table(poly)])
     begin = F.lit(seed ^ MASK32).cast("bigint")
-    step = lambda t: F.aggregate(byte_values(data), begin, lambda c, x: F.shiftright(c, 8).bitwiseXOR(F.get(t, c.bitwiseXOR(x.cast("bigint")).bitwiseAND(F.lit(255)).cast("int"))))
-    return _bind(table, step).bitwiseXOR(F.lit(MASK32))
+    step = lambda s: F.aggregate(s["bytes"], begin, lambda c, x: F.shiftright(c, 8).bitwiseXOR(F.get(s["table"], c.bitwiseXOR(x.cast("bigint")).bitwiseAND(F.lit(255)).cast("int"))))
+    return _bind(F.struct(table.alias("table"), byte_values(data).alias("bytes")), step).bitwiseXOR(F.lit(MASK32))
 
 
 def crc32(data: Column) -> Column:
@@ -96,11 +107,15 @@ def crc32_msb(data: Column) -> Column:
 
 def multmodp(a: Column, b: Column) -> Column:
     """Product of two polynomials over GF(2) modulo the CRC-32 polynomial, bits reflected; 0 for a = 0."""
+    return _bind(F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")), lambda s: _multmodp(s["a"], s["b"]))
+
+
+def _multmodp(a: Column, b: Column) -> Column:
     kind = "struct<p:bigint,b:bigint>"
     start = F.struct(F.lit(0).alias("p"), b.alias("b")).cast(kind)
 
     def step(s: Column, i: Column) -> Column:
-        p = F.when(F.getbit(a.cast("bigint"), i) == 1, s["p"].bitwiseXOR(s["b"])).otherwise(s["p"])
+        p = F.when(F.getbit(a, i) == 1, s["p"].bitwiseXOR(s["b"])).otherwise(s["p"])
         half = F.shiftright(s["b"], 1)
         return F.struct(p.alias("p"), F.when(s["b"] % 2 == 1, half.bitwiseXOR(F.lit(CRC_POLY))).otherwise(half).alias("b")).cast(kind)
 
@@ -124,12 +139,12 @@ def x2nmodp(n: Column, k: Column | int) -> Column:
         value = _gf_product(value, value)
     table = F.array(*[F.lit(x).cast("bigint") for x in powers])
     k = k if isinstance(k, Column) else F.lit(k)
-    step = lambda t: F.aggregate(
+    step = lambda s: F.aggregate(
         F.sequence(F.lit(0), F.lit(62)),
         F.lit(1 << 31).cast("bigint"),
-        lambda p, i: F.when(F.getbit(n.cast("bigint"), i) == 1, multmodp(F.get(t, ((i + k) % 32).cast("int")), p)).otherwise(p),
+        lambda p, i: F.when(F.getbit(s["n"], i) == 1, _multmodp(F.get(s["table"], ((i + s["k"]) % 32).cast("int")), p)).otherwise(p),
     )
-    return _bind(table, step)
+    return _bind(F.struct(table.alias("table"), n.cast("bigint").alias("n"), k.alias("k")), step)
 
 
 def crc32_combine(crc1: Column, crc2: Column, len2: Column) -> Column:

@@ -27,7 +27,9 @@ def missing(expected: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
 
 
 def snake(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"))
+    """Lower case, with _ where an upper-case letter follows a lower-case one or a digit; no _ twice or at the ends."""
+    parted = F.lower(F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])", "_"))
+    return F.btrim(F.regexp_replace(parted, "_+", "_"), F.lit("_"))
 
 
 def name_variants(name: Column) -> Column:
@@ -44,7 +46,8 @@ def missing_names(expected: DataFrame, found: DataFrame, name: str = "name") ->
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One row of each key, the first by order."""
+    """One row of each key, the first by order. Spark limits each group to a row before the shuffle too, so a hot key
+    sends one row a task."""
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where("_n = 1").drop("_n")
 
@@ -60,15 +63,18 @@ def alias_lookup(names: DataFrame, aliases: DataFrame, name: str = "name") -> Da
     """names with canonical: the alias equal to the lower-cased name, else to the name without blanks, hyphens and
     underscores, else the longest alias that the squashed name starts with.
 
-    Prefixes of the squashed names are joined with the aliases by equality, one row for each alias length there is.
+    Prefixes of the squashed names are joined with the aliases by equality, one row for each alias length there is
+    (at most as many as the longest alias has characters).
     """
     squash = lambda c: F.regexp_replace(F.lower(c), r"[\s_\-/]", "")
     table = aliases.select(F.lower("alias").alias("_alias"), "canonical")
     # distinct names only: a lookup key repeats in data
+    sizes = sorted(r[0] for r in table.where("_alias <> ''").select(F.length("_alias")).distinct().collect())
+    sizes = F.array(*[F.lit(n) for n in sizes]).cast("array<int>")
     distinct = names.select(name).distinct().where(F.col(name).isNotNull())
-    tries = distinct.select(name, F.explode(F.concat(
+    tries = distinct.withColumn("_squashed", squash(F.col(name))).select(name, F.explode(F.concat(
         F.array(F.struct(F.lit(0).alias("rank"), F.lit(0).alias("less"), F.lower(name).alias("_alias")), F.struct(F.lit(1).alias("rank"), F.lit(0).alias("less"), squash(F.col(name)).alias("_alias"))),
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(squash(F.col(name))), F.lit(1))), lambda n: F.struct(F.lit(2).alias("rank"), (-n).alias("less"), F.substr(squash(F.col(name)), F.lit(1), n).alias("_alias"))),
+        F.transform(F.filter(sizes, lambda n: n <= F.length(F.col("_squashed"))), lambda n: F.struct(F.lit(2).alias("rank"), (-n).alias("less"), F.substr(F.col("_squashed"), F.lit(1), n).alias("_alias"))),
     )).alias("t")).select(name, "t.*")
     best = tries.join(table, "_alias").groupBy(name).agg(F.min_by("canonical", F.struct("rank", "less", "canonical")).alias("canonical"))
     return names.join(best, name, "left")

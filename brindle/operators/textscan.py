@@ -9,9 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What marks unfinished code.
-STUB_MACROS = ("todo!", "unimplemented!", "unreachable!")
-STUB_PHRASES = ("not implemented", "placeholder", "stub", "for now", "simplified", "left as an exercise", "todo")
 C_WORDS = ("if", "for", "while", "switch", "return", "sizeof", "else", "do", "case")
 #: C types and the Rust types of the same values.
 C_TYPES = {
@@ -61,12 +58,12 @@ def c_literal(value: Column) -> Column:
 
 def literal_type(value: Column) -> Column:
     """The Rust type of a C literal, by suffix and width."""
-    v, n = F.lower(F.trim(value)), c_literal(value)
-    return (
-        F.when(v.rlike("^\"") , "&str").when(v.rlike("^'"), "u8").when(v.rlike(r"^[-+]?[0-9]*\.[0-9]"), "f64")
-        .when(v.rlike("(ull|llu|ul|lu)$"), "u64").when(v.rlike("ll$|l$"), "i64").when(v.rlike("u$"), "u32")
-        .when(n.isNull(), None).when((n >= -(2**31)) & (n < 2**31), "i32").when((n >= 0) & (n < 2**32), "u32").otherwise("i64")
-    )
+    v = F.lower(F.trim(value))
+    digits, suffix = r"^[-+]?(0x[0-9a-f]+|0b[01]+|[0-9]+)([ul]*)$", F.regexp_extract(v, "([ul]*)$", 1)
+    wide = F.when(F.contains(suffix, F.lit("l")), F.when(F.contains(suffix, F.lit("u")), "u64").otherwise("i64")).when(F.contains(suffix, F.lit("u")), "u32")
+    bare = F.when(v.rlike("^[-+]?0x[0-9a-f]{9,}"), "u64").when(v.rlike("^-?0[xb]"), "u32").otherwise("i32")
+    text = v.rlike('(?s)^".*"$') & (F.length(v) >= 2)
+    return F.when(v.rlike(digits), F.coalesce(wide, bare)).when(text, "&'static [u8]").otherwise("u32")
 
 
 def c_type_to_rust(text: Column) -> Column:
@@ -89,15 +86,6 @@ def numbered_lines(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     return df.select(*keep, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "snippet")).withColumn("line", F.col("line") + 1)
 
 
-def find_stubs(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, line, pattern, snippet): unfinished macros outside comments, and phrases inside comments, once per line."""
-    lines = numbered_lines(df, [id_col], text)
-    code = F.regexp_replace("snippet", r"//.*$", "")
-    comment = F.lower(F.regexp_extract("snippet", r"(//.*|/\*.*|^\s*\*.*)$", 1))
-    found = F.concat(F.filter(F.array(*[F.when(F.contains(code, F.lit(m)), F.lit(m)) for m in STUB_MACROS]), lambda x: x.isNotNull()), F.filter(F.array(*[F.when(F.contains(comment, F.lit(p)), F.lit(p)) for p in STUB_PHRASES]), lambda x: x.isNotNull()))
-    return lines.select(id_col, "line", F.explode(found).alias("pattern"), F.trim("snippet").alias("snippet"))
-
-
 def find_unsafe(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, line, snippet): lines with an unsafe block, outside strings and comments."""
     clean = F.regexp_replace(F.regexp_replace(F.col(text), r'"(?:[^"\\\n]|\\.)*"', '""'), r"(?s)/\*.*?\*/", " ")

@@ -18,6 +18,8 @@ from brindle.operators import relational as R
 from brindle.operators import scoring as S
 from brindle.operators import textscan as T
 from brindle.operators.differential import byte_inputs, round_trip
+from brindle.operators.lints import lint_functions
+from brindle.operators.stubs import find_stubs
 from brindle.streaming.events import rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,13 +214,13 @@ def rank_best(spark, d):
     return R.best_of(rows, ["l_partkey"], [F.desc("l_quantity"), "l_orderkey", "l_linenumber"])
 
 
-#: Parts of lines that follow each other in an order, the first of large quantity: a graph of parts.
-_EDGES = """edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= 48)"""
+#: Parts of lines that follow each other in an order: a graph of parts.
+_EDGES = """edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"""
 
 
 def part_edges(spark, d) -> DataFrame:
     l = table(spark, d, "lineitem")  # noqa: E741
-    a = l.where("l_quantity >= 48").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
+    a = l.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
     return a.join(l.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst")), ["l_orderkey", "l_linenumber"]).select("src", "dst").distinct()
 
 
@@ -243,15 +245,16 @@ def coupling_pairs(spark, d):
     return G.coupling(part_edges(spark, d), table(spark, d, "part").select("p_partkey", "p_brand"))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, reach(a, b) AS (SELECT src, dst FROM edges UNION SELECT a, dst FROM reach JOIN edges ON src = b)
-SELECT x.a AS node, max(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a IN (SELECT x.a FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b) GROUP BY 1""")
+@query()
 def scc(spark, d):
+    """Recursive SQL is too slow on the whole graph: held against plain Python in the tests."""
     return G.strong_components(part_edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, lv(node, l) AS (SELECT p_partkey, 0 FROM part UNION SELECT dst, l + 1 FROM lv JOIN edges ON src = node WHERE src < dst) SELECT node, max(l) AS level FROM lv GROUP BY 1""")
+@query()
 def topo_levels(spark, d):
-    return G.levels(part_nodes(spark, d), part_edges(spark, d).where("src < dst"))
+    """The whole graph has cycles, whose parts come last; held against plain Python in the tests."""
+    return G.levels(part_nodes(spark, d), part_edges(spark, d))
 
 
 @query("""WITH s AS (SELECT l_partkey, l_returnflag, sum(CAST(l_quantity AS BIGINT)) + max(CASE WHEN l_returnflag = 'R' THEN 100 ELSE 0 END) AS w, min(l_orderkey) AS p, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1, 2)
@@ -352,17 +355,19 @@ def owner_majority(spark, d):
     return R.keep_first(sums, ["r_name"], [F.desc("customers"), "n_name"])
 
 
-@query("""WITH e AS (SELECT doc_id, lower(regexp_replace(source, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS name FROM documents) SELECT name, count(*) AS n FROM e GROUP BY 1""")
+@query("""WITH e AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(source, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '_+', '_', 'g'), '_') AS name FROM documents) SELECT name, count(*) AS n FROM e GROUP BY 1""")
 def snake_names(spark, d):
     return table(spark, d, "documents").select(R.snake(F.col("source")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT l_orderkey, block::BIGINT AS block, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM (SELECT l_orderkey, l_linenumber, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE UNBOUNDED PRECEDING) AS block FROM lineitem) WHERE block > 0 GROUP BY 1, 2""")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey AS at, CASE l_returnflag WHEN 'R' THEN 'error: ' WHEN 'A' THEN 'warning: ' ELSE ' at ' END || l_partkey AS t FROM lineitem),
+b AS (SELECT *, sum(CASE WHEN t LIKE 'error%' OR t LIKE 'warning%' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY at ROWS UNBOUNDED PRECEDING) AS block FROM l)
+SELECT l_orderkey, block::BIGINT AS block, string_agg(t, chr(10) ORDER BY at) AS message FROM b WHERE block > 0 GROUP BY 1, 2 HAVING first(t ORDER BY at) LIKE 'error%'""")
 def error_blocks(spark, d):
-    """Gaps and islands: runs of an order's lines from each returned one on."""
-    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(Window.unboundedPreceding, 0)
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).over(line).alias("block"))
-    return rows.where("block > 0").groupBy("l_orderkey", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
+    """An order as a log: returned lines start errors, accepted ones warnings."""
+    kind = F.when(F.col("l_returnflag") == "R", "error: ").when(F.col("l_returnflag") == "A", "warning: ").otherwise(" at ")
+    logs = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("bigint") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("at"), F.concat(kind, F.col("l_partkey").cast("string")).alias("t"))
+    return T.error_blocks(logs, "l_orderkey", "at", "t").select("l_orderkey", "block", "message")
 
 
 @query("""SELECT part.p_partkey, regexp_matches(p_brand || '/' || replace(p_type, ' ', '/'), '^Brand#[^/]*/(?:.*/)?[^/]*BRASS$') AS allowed FROM part""")
@@ -386,5 +391,97 @@ def deflate_round_trip(spark, d):
 
 @query()
 def stub_findings(spark, d):
-    """Phrases of unfinished work in comments of pages; no such phrase is in most data."""
-    return T.find_stubs(table(spark, d, "pages"), "page_id", "html")
+    """Stub macros and comments that give up, in pages; the tests hold the operator against sources that have them."""
+    return find_stubs(table(spark, d, "pages"), "page_id", "html")
+
+
+@query(f"""WITH {_CRC_TABLE}, big AS (SELECT list_transform(t, lambda x: ((x & 255) << 24) | ((x & 65280) << 8) | ((x >> 8) & 65280) | (x >> 24)) AS g FROM tab), w AS (SELECT p_partkey, p_partkey::BIGINT * 1000003000007 AS w FROM part)
+SELECT p_partkey, list_reduce(list_prepend(w, range(8)), lambda a, x: xor(a >> 8, t[(a & 255) + 1])) & 4294967295 AS little,
+ lpad(hex(list_reduce(list_prepend(w::UBIGINT, list_transform(range(8), lambda x: x::UBIGINT)), lambda a, x: xor((a & 72057594037927935::UBIGINT) << 8, g[(a >> 56)::INT + 1]::UBIGINT))), 16, '0') AS big FROM w, tab, big""")
+def crc_words(spark, d):
+    w = F.col("p_partkey").cast("bigint") * 1000003000007
+    return table(spark, d, "part").select("p_partkey", B.crc_word(w).alias("little"), B.crc_word_big(w).alias("big"))
+
+
+@query("""WITH w AS (SELECT p_partkey, list_transform(range(1, p_size::BIGINT + 1), lambda i: (p_partkey * 31 + i * 7919) % 65536) AS w FROM part)
+SELECT p_partkey, (list_sum(list_transform(range(1, len(w) + 1), lambda i: (len(w) - i + 1) * w[i]))::BIGINT % 65535) * 65536 + list_sum(w)::BIGINT % 65535 AS sum FROM w""")
+def fletcher32_words(spark, d):
+    words = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: (F.col("p_partkey").cast("bigint") * 31 + i * 7919) % 65536)
+    return table(spark, d, "part").select("p_partkey", C.fletcher32(words).alias("sum"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, list(l_quantity::BIGINT % 8 ORDER BY l_linenumber, l_quantity::BIGINT % 8) AS s FROM lineitem GROUP BY 1), e AS (SELECT l_orderkey, s, unnest(range(1, len(s) + 1)) AS i FROM l),
+c AS (SELECT l_orderkey, i, s[i] AS n, coalesce(list_sum(list_transform(list_filter(s, lambda m: m > 0 AND m < s[i]), lambda m: 1 << (s[i] - m))), 0)::BIGINT + len(list_filter(s[1:i - 1], lambda m: m = s[i])) AS code FROM e)
+SELECT l_orderkey, array_to_string(list(CASE WHEN n > 0 THEN list_sum(list_transform(range(n), lambda b: ((code >> b) & 1) << (n - 1 - b)))::BIGINT::VARCHAR ELSE '-' END ORDER BY i), ',') AS codes FROM c GROUP BY 1""")
+def huffman_codes(spark, d):
+    """Code lengths from the quantities of an order's lines."""
+    line = F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_quantity").cast("bigint") % 8).alias("n"))))
+    lengths = table(spark, d, "lineitem").groupBy("l_orderkey").agg(line.alias("l")).select("l_orderkey", F.col("l.n").alias("lengths"))
+    return lengths.select("l_orderkey", F.array_join(F.transform(B.gen_codes(F.col("lengths")), lambda c: c.cast("string")), ",", "-").alias("codes"))
+
+
+@query("""WITH b AS (SELECT p_partkey, p_partkey::BIGINT * 40503 % 65536 AS buf, p_size % 17 AS v FROM part)
+SELECT p_partkey, array_to_string(CASE WHEN v = 16 THEN [7, buf & 255, buf >> 8] WHEN v >= 8 THEN [7, buf & 255] ELSE [7] END, ',') AS flushed, CASE WHEN v = 16 THEN 0 WHEN v >= 8 THEN v - 8 ELSE v END::INT AS valid,
+ array_to_string(CASE WHEN v > 8 THEN [7, buf & 255, buf >> 8] WHEN v > 0 THEN [7, buf & 255] ELSE [7] END, ',') AS wound FROM b""")
+def bit_buffer_steps(spark, d):
+    s = B.bit_buffer(F.col("p_partkey").cast("bigint") * 40503 % 65536, F.col("p_size").cast("int") % 17, F.array(F.lit(7)))
+    flushed, wound = B.bi_flush(s), B.bi_windup(s)
+    joined = lambda x: F.array_join(F.transform(x["pending"], lambda v: v.cast("string")), ",")
+    return table(spark, d, "part").select("p_partkey", joined(flushed).alias("flushed"), flushed["bi_valid"].alias("valid"), joined(wound).alias("wound"))
+
+
+@query("""SELECT p_partkey, hex(encode(p_name[1:p_size % 9])) AS head, repeat('00', p_size % 9) AS zeros, CASE WHEN 1 + p_size % 31 IN (1, 2, 3, 4, 5, 6, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 28, 29, 30, 31) THEN 0 ELSE 1 END AS kind FROM part""")
+def byte_helpers(spark, d):
+    n = F.col("p_size").cast("int") % 9
+    return table(spark, d, "part").select("p_partkey", F.hex(B.first_bytes(F.col("p_name"), n)).alias("head"), F.hex(B.zero_bytes(n)).alias("zeros"), B.data_type(F.concat(F.char(F.lit(1) + F.col("p_size") % 31), "p_name")).alias("kind"))
+
+
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\\*.*?\\*/', ' ', 'g'), '//[^\\n]*', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS md5 FROM documents""")
+def canonical_bodies(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.canonical_body(F.col("text"))).alias("md5"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT (starts_with(x, '# ') AND contains(x, '"'))), chr(10))) AS md5 FROM documents""")
+def line_markers(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.strip_line_markers(F.col("text"))).alias("md5"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_partkey WHEN 1 THEN p_partkey WHEN 2 THEN -p_partkey WHEN 3 THEN NULL ELSE p_partkey END::BIGINT AS number, CASE p_partkey % 5 WHEN 0 THEN 'u32' WHEN 1 THEN 'u64' WHEN 2 THEN 'i32' WHEN 3 THEN '&''static [u8]' ELSE 'i64' END AS type,
+ [p_name] AS names FROM (SELECT p_partkey, 'f_' || replace(p_name, ' ', '_') AS p_name FROM part)""")
+def c_literals(spark, d):
+    """Literals of each part's key in hex, unsigned, negative, quoted and long form; functions of its name."""
+    k = F.col("p_partkey")
+    text = F.when(k % 5 == 0, F.concat(F.lit("0x"), F.hex(k))).when(k % 5 == 1, F.concat(k.cast("string"), F.lit("UL"))).when(k % 5 == 2, F.concat(F.lit("-"), k.cast("string"))).when(k % 5 == 3, F.concat(F.lit('"'), k.cast("string"), F.lit('"'))).otherwise(F.concat(k.cast("string"), F.lit("ll")))
+    name = F.concat(F.lit("f_"), F.replace("p_name", F.lit(" "), F.lit("_")))
+    source = F.concat(F.lit("// pub fn no() {}\npub fn "), name, F.lit("() {}\nfn own() {} /* pub fn no() */ pub const fn "), name, F.lit("() {}"))
+    return table(spark, d, "part").select("p_partkey", T.c_literal(text).alias("number"), T.literal_type(text).alias("type"), T.public_functions(source).alias("names"))
+
+
+_C_TYPES = [("const char *", "*mut i8"), ("unsigned  long", "u64"), ("static const uint8_t **", "*mut *mut u8"), ("struct node *", "*mut node"), ("size_t", "usize"), ("void", "()"), ("volatile unsigned int", "u32")]
+
+
+@query("SELECT p_partkey, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{r}'" for i, (_, r) in enumerate(_C_TYPES)) + " END AS rust FROM part")
+def c_types(spark, d):
+    text = F.get(F.array(*[F.lit(c) for c, _ in _C_TYPES]), (F.col("p_partkey") % 7).cast("int"))
+    return table(spark, d, "part").select("p_partkey", T.c_type_to_rust(text).alias("rust"))
+
+
+@query("""SELECT 'p' || p_partkey AS name, CASE p_size % 5 WHEN 0 THEN 'crc32_wrong_polynomial' WHEN 1 THEN 'adler32_wrong_base' WHEN 2 THEN 'sha256_missing_h0' WHEN 3 THEN 'aes_wrong_round_count' ELSE 'unused_input' END AS rule FROM part WHERE p_size % 2 = 0""")
+def lint_findings(spark, d):
+    """A function for each part, of one of five families by its size: wrong where the size is even."""
+    n, odd = F.col("p_size") % 5, F.col("p_size") % 2 == 1
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), n.cast("int"))
+    wrong = ["let p = 0x82f6_3b78; c >> 1; buf", "let base: u32 = 65_520;", "let h = [0x6a09_e668u32];", "const ROUNDS: u32 = 12;", "0"]
+    right = ["let p = 0xEDB8_8320; c >> 1; buf", "let base: u32 = 65_521;", "let h = [0x6a09_e667u32];", "const ROUNDS: u32 = 10;", "data.len()"]
+    source = F.concat(F.lit("pub fn f(buf: &[u8]) -> u32 { "), F.when(odd, pick(right)).otherwise(pick(wrong)), F.lit(" }"))
+    name = F.when(n == 0, "buf").when(n == 4, "data").otherwise("x")
+    rows = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("name"), pick(["crc32", "adler32", "sha256", "aes", "other"]).alias("family"), pick(["ieee_reflected", "", "", "aes128_ecb", ""]).alias("variant"), source.alias("source"), F.array(F.struct(name.alias("name"), F.lit("&[u8]").alias("type"))).alias("inputs"))
+    return lint_functions(rows).select("name", "rule")
+
+
+@query("""SELECT p_name AS name FROM part WHERE p_partkey % 3 = 0 GROUP BY 1 EXCEPT SELECT p_name FROM part WHERE p_partkey % 3 <> 0""")
+def missing_functions(spark, d):
+    """Names expected of every third part that no variant of the others' names covers."""
+    parts = table(spark, d, "part")
+    expected = parts.where("p_partkey % 3 = 0").select(F.col("p_name").alias("name")).distinct()
+    return R.missing_names(expected, parts.where("p_partkey % 3 <> 0").select(F.col("p_name").alias("name")))

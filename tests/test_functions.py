@@ -8,6 +8,7 @@ from brindle.functions import bytes as B
 from brindle.functions import checksums as C
 from brindle.operators import differential as D
 from brindle.operators import textscan as T
+from brindle.operators.stubs import find_stubs, findings, is_stub, stub_functions
 
 
 def one(spark, column):
@@ -98,7 +99,7 @@ def test_c_text(spark):
     df = spark.createDataFrame([(k,) for k in values], "v string")
     got = {r.v: r for r in df.select("v", T.c_literal(F.col("v")).alias("n"), T.literal_type(F.col("v")).alias("t")).collect()}
     assert {k: got[k].n for k in values} == values
-    assert (got["42u"].t, got["-7"].t, got["0x10"].t, got["1UL"].t) == ("u32", "i32", "i32", "u64")
+    assert (got["42u"].t, got["-7"].t, got["0x10"].t, got["1UL"].t, got["foo"].t) == ("u32", "i32", "u32", "u64", "u32")
     assert one(spark, T.c_type_to_rust(F.lit("const unsigned char *"))) == "*mut u8"
     code = "/* int no(void) { } */\nstatic int add(int a, int (*f)(int, int)) {\n  char *s = \"}\"; // }\n  return g(a) + add(a, f);\n}\nvoid main(void) { add(1, 2); if (x) { } }\n#define N 0x10\n#define F(x) x\n"
     files = spark.createDataFrame([("a.c", code), ("b.c", None)], "path string, text string")
@@ -106,7 +107,7 @@ def test_c_text(spark):
     assert set(fns) == {"add", "main"}
     assert fns["add"].calls == ["add", "g"] and fns["add"].is_static and fns["add"].line_count == 4 and len(fns["add"].params) == 2
     assert fns["main"].params == [] and fns["main"].calls == ["add"]
-    assert [tuple(r) for r in T.defines(files, "path", "text").collect()] == [("a.c", "N", "0x10", 16, "i32")]
+    assert [tuple(r) for r in T.defines(files, "path", "text").collect()] == [("a.c", "N", "0x10", 16, "u32")]
     assert T.split_top_level("a, f(b, c), [d, e], \"x,y\"") == ["a", "f(b, c)", "[d, e]", '"x,y"']
     assert T.matching_brace("{ '}' \"}\" /* } */ }", 0) == 18
 
@@ -114,7 +115,7 @@ def test_c_text(spark):
 def test_scanners(spark):
     rust = "// TODO: later\npub fn a() { todo!() }\nfn b() { unsafe { x() } } // unsafe { }\nlet s = \"unsafe {\";\npub const fn c() {}\n"
     df = spark.createDataFrame([(1, rust)], "id int, text string")
-    assert {(r.line, r.pattern) for r in T.find_stubs(df, "id", "text").collect()} == {(1, "todo"), (2, "todo!")}
+    assert {(r.line, r.pattern, r.fn_name) for r in find_stubs(df, "id", "text").collect()} == {(2, "todo_macro", "a")}
     assert [r.line for r in T.find_unsafe(df, "id", "text").collect()] == [3]
     assert df.select(T.public_functions(F.col("text")).alias("x")).first().x == ["a", "c"]
     paths = {"src/ffi.rs": True, "a/src/ffi.rs": False, "x/y/build.rs": True, "src/lib.rs": False, "gen/a/b.rs": True}
@@ -124,3 +125,40 @@ def test_scanners(spark):
     log = [(1, i, t) for i, t in enumerate(["note", "error: a", " at b", "warning: c", " at d", "error: e"])]
     blocks = T.error_blocks(spark.createDataFrame(log, "f int, n int, t string"), "f", "n", "t")
     assert sorted(r.message for r in blocks.collect()) == ["error: a\n at b", "error: e"]
+
+
+def test_stubs(spark):
+    code = """fn a(buf: &[u8]) -> Result<(), E> {
+    // Conceptually this is a
+    //   simple heuristic
+    Ok(())
+}
+fn b(data: &[u8]) -> Result<(), E> { let n = data.len(); Ok(()) }
+fn c() { let s = "todo!()"; panic!("not yet there") } /* we don't have the
+actual algorithm */
+#[cfg(test)]
+mod tests { fn t() { todo!() } }
+fn d() { let _ = x; unimplemented!("d") }
+static T: [u8; 3] = [1, // ... 253 more entries
+];
+"""
+    got = {(line, pattern, name) for line, pattern, _, name in findings(code)}
+    assert got == {
+        (1, "fn_ignores_inputs", "a"), (2, "comment_conceptually", "a"), (3, "comment_simple_heuristic", "a"), (7, "panic_not_impl", "c"),
+        (7, "comment_dont_have_algorithm", None), (7, "comment_dont_have_access", None), (11, "unimplemented_macro", "d"), (12, "comment_n_more_entries", None),
+    }
+    assert {(x[0], x[1]) for x in findings(code, skip_tests=False)} - {(x[0], x[1]) for x in findings(code)} == {(10, "todo_macro")}
+    assert is_stub(code, "d") and is_stub(code, "t") and not is_stub(code, "b") and findings(None) == []
+    files = spark.createDataFrame([(1, code), (2, None)], "id long, text string")
+    assert find_stubs(files, "id", "text").count() == len(findings(code))
+    names = spark.createDataFrame([(1, "d"), (1, "b"), (2, "d")], "id long, name string")
+    assert [tuple(r) for r in stub_functions(files, names, "id", "text").collect()] == [(1, "d")]
+
+
+def test_aliases_in_folds(spark):
+    """An alias that is named like an expression's input doesn't get into its folds."""
+    df = spark.createDataFrame([(bytearray(b"123456789"), 5, 6, [9, 3, 0])], "x binary, a bigint, b bigint, h array<int>")
+    plain = df.select(C.crc32c(F.col("x")).alias("c"), C.multmodp(F.col("a"), F.col("b")).alias("m"), C.x2nmodp(F.col("a"), F.col("b").cast("int")).alias("p"), B.bit_reverse(F.col("a"), F.col("b").cast("int")).alias("r"), B.slide(F.col("h"), F.col("a")).alias("s")).first()
+    odd = df.select(F.hex("x").alias("x"), (F.col("a") * 7).alias("a"), (F.col("b") * 3).alias("b"), F.array(F.lit(1)).alias("h"), C.crc32c(F.col("x")).alias("c"), C.multmodp(F.col("a"), F.col("b")).alias("m"), C.x2nmodp(F.col("a"), F.col("b").cast("int")).alias("p"), B.bit_reverse(F.col("a"), F.col("b").cast("int")).alias("r"), B.slide(F.col("h"), F.col("a")).alias("s")).first()
+    assert plain.c == 0xE3069283 and plain.s == [4, 0, 0] and plain.r == 0b101000
+    assert tuple(plain) == tuple(odd)[4:]

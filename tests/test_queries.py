@@ -2,10 +2,11 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import pytest
 
-from brindle.plans.queries import ORACLE_SQL, QUERIES
+from brindle.plans.queries import ORACLE_SQL, QUERIES, part_edges, part_nodes
 
 
 def plain(v):
@@ -40,6 +41,39 @@ def test_fuzz_digests(spark, sf_dir):
     assert next(r.crc32c for r in rows if bytes.fromhex(r.input) == b"123456789") == 0xE3069283
 
 
+def test_graph_queries(spark, sf_dir):
+    """scc and topo_levels over the whole graph, against depth-first search and peeling in plain Python."""
+    edges = {(r.src, r.dst) for r in part_edges(spark, sf_dir).collect() if r.src != r.dst}
+    nodes = [r.node for r in part_nodes(spark, sf_dir).collect()]
+    out, back = {n: [] for n in nodes}, {n: [] for n in nodes}
+    for a, b in edges:
+        out[a].append(b)
+        back[b].append(a)
+
+    def reach(n, to):
+        seen, todo = {n}, [n]
+        while todo:
+            for m in to[todo.pop()]:
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        return seen
+
+    component = {}
+    for n in nodes:
+        if n not in component:
+            for m in (same := reach(n, out) & reach(n, back)):
+                component[m] = max(same)
+    size = Counter(component.values())
+    assert {r.node: r.component for r in QUERIES["scc"](spark, sf_dir).collect()} == {n: c for n, c in component.items() if size[c] > 1}
+    level, left, k = {}, set(nodes), 0
+    while left:
+        ready = {n for n in left if not any(m in left for m in back[n])} or left
+        level |= dict.fromkeys(ready, k)
+        left, k = left - ready, k + 1
+    assert {r.node: r.level for r in QUERIES["topo_levels"](spark, sf_dir).collect()} == level
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
