@@ -360,9 +360,9 @@ def snake_names(spark, d):
     return table(spark, d, "documents").select(R.snake(F.col("source")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey AS at, CASE l_returnflag WHEN 'R' THEN 'error: ' WHEN 'A' THEN 'warning: ' ELSE ' at ' END || l_partkey AS t FROM lineitem),
-b AS (SELECT *, sum(CASE WHEN t LIKE 'error%' OR t LIKE 'warning%' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY at ROWS UNBOUNDED PRECEDING) AS block FROM l)
-SELECT l_orderkey, block::BIGINT AS block, string_agg(t, chr(10) ORDER BY at) AS message FROM b WHERE block > 0 GROUP BY 1, 2 HAVING first(t ORDER BY at) LIKE 'error%'""")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey AS pos, CASE l_returnflag WHEN 'R' THEN 'error: ' WHEN 'A' THEN 'warning: ' ELSE ' at ' END || l_partkey AS t FROM lineitem),
+b AS (SELECT *, sum(CASE WHEN t LIKE 'error%' OR t LIKE 'warning%' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block FROM l)
+SELECT l_orderkey, block::BIGINT AS block, string_agg(t, chr(10) ORDER BY pos) AS message FROM b WHERE block > 0 GROUP BY 1, 2 HAVING first(t ORDER BY pos) LIKE 'error%'""")
 def error_blocks(spark, d):
     """An order as a log: returned lines start errors, accepted ones warnings."""
     kind = F.when(F.col("l_returnflag") == "R", "error: ").when(F.col("l_returnflag") == "A", "warning: ").otherwise(" at ")
