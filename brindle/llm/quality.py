@@ -170,7 +170,7 @@ def _less(n: str, d: list[float]) -> Column:
 
 def _n_shards(texts: DataFrame, how: Quality) -> int:
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    return min(1 << 16, max(32, chars // how.shard_chars))
+    return min(1 << 16, max(16, chars // how.shard_chars))
 
 
 def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str, DataFrame]]:
@@ -182,10 +182,10 @@ def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str
     its weight of the lower order, so every distribution sums to one. All tables grow with the texts and stay distributed.
     """
     counts = staged(texts.mapInArrow(_blocks(shards), BLOCK).groupBy("shard").applyInArrow(_counted(how.least), COUNTS), "counts")
-    words = staged(counts.where("ord = 1").groupBy("c").agg(F.sum("n").alias("n"), F.sum("m").alias("total")), "words")
+    sums = staged(counts.where("ord = 1").groupBy("c").agg(F.sum("n").alias("n"), F.sum("m").alias("total")), "words")
     told = {(r.a, r.c): r.n for r in counts.where("ord = 0").groupBy("a", "c").agg(F.sum("n").alias("n")).collect()}  # eight rows
     d3, d2 = (_discounts([told.get((order, k), 0) for k in (1, 2, 3, 4)]) for order in (3, 2))
-    size, whole, *few = words.agg(F.sum((F.col("n") > 0).cast("long")), F.coalesce(F.sum("n"), F.lit(0)), *[F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]).first()
+    size, whole, *few = sums.agg(F.sum((F.col("n") > 0).cast("long")), F.coalesce(F.sum("n"), F.lit(0)), *[F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]).first()
     size, d1 = size or 0, _discounts(few)
     # the words seen and one for all others share what unigrams hold back
     floor = (d1[0] * few[0] + d1[1] * few[1] + d1[2] * (size - few[0] - few[1])) / whole / (size + 1) if whole else 1.0
@@ -194,23 +194,27 @@ def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str
     pairs = counts.where("ord = 2").select("b", "c", "n", F.col("m").alias("times"), _less("n", d2).alias("own"))
     held = pairs.groupBy("b").agg(F.sum("own").alias("held")).withColumnRenamed("b", "c")
     p1 = _less("n", d1) / F.lit(float(whole or 1)) + F.lit(floor)
-    words = words.join(held, "c", "left").select("c", "n", "total", p1.alias("p"), F.coalesce(1 - F.try_divide("held", "total"), F.lit(1.0)).alias("rest"))
+    words = sums.join(held, "c", "left").select("c", "n", "total", p1.alias("p"), F.coalesce(1 - F.try_divide("held", "total"), F.lit(1.0)).alias("rest"))
     words = staged(words, "words")
     after = words.select(F.col("c").alias("b"), "total", F.col("rest").alias("rest_b"))
     p2 = F.coalesce(F.try_divide("own", "total"), F.lit(0.0)) + F.col("rest_b") * F.col("below")
     pairs = pairs.join(after, "b").join(words.select("c", F.col("p").alias("below")), "c").withColumn("p", p2)
-    pairs = staged(pairs.select("b", "c", "n", "times", "p", (F.log("p") - F.log("rest_b") - F.log("below")).alias("gain")), "pairs")
+    pairs = staged(pairs.select("b", "c", "n", F.col("times").cast("int").alias("times"), F.col("p").cast("float").alias("p"), (F.log("p") - F.log("rest_b") - F.log("below")).cast("float").alias("gain")), "pairs")
 
     triples = counts.where("ord = 3").select("a", "b", "c", _less("n", d3).alias("own"))
     triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), "times"), ["a", "b"]).join(pairs.select("b", "c", F.col("p").alias("below")), ["b", "c"])
     triples = staged(triples.select("a", "b", "c", (F.col("own") / F.col("times")).alias("own"), "below"), "triples")
-    discard(counts)
+    discard(counts, sums)
+    steps = [words, pairs, triples]
     rest = triples.groupBy("a", "b").agg((1 - F.sum("own")).alias("rest"))
     p3 = F.col("own") + F.col("rest") * F.col("below")
     triples = triples.join(rest, ["a", "b"]).select("a", "b", "c", (F.log(p3) - F.log("rest") - F.log("below")).alias("gain"), F.lit(0.0).alias("gamma"))
     pairs = pairs.join(rest.toDF("b", "c", "rest"), ["b", "c"], "left").select("b", "c", "n", "gain", F.coalesce(F.log("rest"), F.lit(0.0)).alias("gamma"))
     words = words.select("c", "n", (F.log("p") - unseen).alias("gain"), F.log("rest").alias("gamma"))
-    return unseen, {"words": words, "pairs": pairs, "triples": triples}
+    # of 32 bits where they are kept and sent
+    out = {name: staged(df.withColumn("gain", F.col("gain").cast("float")).withColumn("gamma", F.col("gamma").cast("float")), name) for name, df in (("words", words), ("pairs", pairs), ("triples", triples))}
+    discard(*steps)
+    return unseen, out
 
 
 GRAMS = {"words": ("c",), "pairs": ("b", "c"), "triples": ("a", "b", "c")}
@@ -421,7 +425,6 @@ def losses(texts: DataFrame, trusted: DataFrame, how: Quality) -> DataFrame:
     """
     spark, shards = texts.sparkSession, _n_shards(texts, how)
     unseen, found = tables(trusted, how, shards)
-    found = {name: staged(df, name) for name, df in found.items()}
     top = [_arrays(found[x].orderBy(F.desc("n"), *GRAMS[x]).limit(how.hot).toArrow(), GRAMS[x]) for x in ("words", "pairs")]
     hot = [np.concatenate(x) for x in zip(*top, strict=True)]
     at = np.argsort(hot[0])
