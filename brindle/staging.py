@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,11 +35,20 @@ def staged(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Has the driver collect garbage: Spark deletes the shuffle files of plans that are done when it finds them unused,
+    which on a driver with room to spare would be long after the tables that they led to are written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing unwritten is read from any more."""
+    """Deletes staged tables that nothing unwritten is read from any more, and the shuffles that are done with."""
     for df in tables:
         path = getattr(df, "_staged", None)
         if path:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if tables:
+        reclaim(tables[0].sparkSession)
