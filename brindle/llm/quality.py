@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bitmap import Bitmap, bitmap
-from ._staging import bound_batches, discard, staged
+from ._staging import bound_batches, discard, reclaim, staged
 from ._words import STEP, WordHash, mix, rows
 
 START = np.uint64(1)
@@ -170,7 +170,7 @@ def _less(n: str, d: list[float]) -> Column:
 
 def _n_shards(texts: DataFrame, how: Quality) -> int:
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    return min(1 << 16, max(16, chars // how.shard_chars))
+    return min(1 << 16, max(32, chars // how.shard_chars))
 
 
 def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str, DataFrame]]:
@@ -183,6 +183,7 @@ def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str
     """
     counts = staged(texts.mapInArrow(_blocks(shards), BLOCK).groupBy("shard").applyInArrow(_counted(how.least), COUNTS), "counts")
     sums = staged(counts.where("ord = 1").groupBy("c").agg(F.sum("n").alias("n"), F.sum("m").alias("total")), "words")
+    reclaim(texts.sparkSession)
     told = {(r.a, r.c): r.n for r in counts.where("ord = 0").groupBy("a", "c").agg(F.sum("n").alias("n")).collect()}  # eight rows
     d3, d2 = (_discounts([told.get((order, k), 0) for k in (1, 2, 3, 4)]) for order in (3, 2))
     size, whole, *few = sums.agg(F.sum((F.col("n") > 0).cast("long")), F.coalesce(F.sum("n"), F.lit(0)), *[F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]).first()
@@ -201,6 +202,7 @@ def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str
     pairs = pairs.join(after, "b").join(words.select("c", F.col("p").alias("below")), "c").withColumn("p", p2)
     pairs = staged(pairs.select("b", "c", "n", F.col("times").cast("int").alias("times"), F.col("p").cast("float").alias("p"), (F.log("p") - F.log("rest_b") - F.log("below")).cast("float").alias("gain")), "pairs")
 
+    reclaim(texts.sparkSession)
     triples = counts.where("ord = 3").select("a", "b", "c", _less("n", d3).alias("own"))
     triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), "times"), ["a", "b"]).join(pairs.select("b", "c", F.col("p").alias("below")), ["b", "c"])
     triples = staged(triples.select("a", "b", "c", (F.col("own") / F.col("times")).alias("own"), "below"), "triples")
