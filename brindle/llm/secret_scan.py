@@ -22,7 +22,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 #: Parts of well-known examples and fillers, and whole strings that are no secrets.
 ALLOWED_PARTS = ("example", "placeholder", "changeme", "yourtoken", "your_", "your-", "dummy", "sample", "xxxx", "0123456789", "abcdefgh")
 ALLOWED_WHOLE = (
-    r"^([A-Z]?[a-z]{2,}|[A-Z]{2,}|A|I)+$",  # a word, or some: no other letter alone in its case
+    # a word, or some: no letter alone in its case but in short English words
+    r"^([A-Z]?[a-z]{2,}|[A-Z]{2,}|A|I|An|As|At|Be|By|Do|Go|Id|If|In|Is|It|My|No|Of|On|Or|So|To|Up|Us|We)+$",
     r"^[0-9]+$",  # a number
     r"^[A-Za-z]+([_/-][A-Za-z]+)+$",  # a path or an identifier of words
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # a UUID
