@@ -81,21 +81,23 @@ def _signer(how: NearDup):
     return sign
 
 
+def _digest(raw: bytes) -> list[int]:
+    import xxhash
+
+    return [int(np.uint64(xxhash.xxh3_64_intdigest(raw, seed)).astype(np.int64)) for seed in (1, 2)]
+
+
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig binary"
 
 
 def _sign(how: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         memo, sign = WordHash(), _signer(how)
         for part in rows(batches, "doc_id", "text"):
             out = []
             for doc_id, text in part:
                 found = np.unique(shingles(memo.of(blank_words(text)), how.width))
-                raw = found.tobytes()
-                a, b = (np.uint64(xxhash.xxh3_64_intdigest(raw, seed)).astype(np.int64) for seed in (1, 2))
-                out.append((doc_id, len(found), int(a), int(b), sign(found) if len(found) else None))
+                out.append((doc_id, len(found), *_digest(found.tobytes()), sign(found) if len(found) else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
 
     return run
@@ -106,7 +108,9 @@ def _sets(how: NearDup):
         memo = WordHash()
         for part in rows(batches, "doc_id", "text"):
             found = [(i, np.unique(shingles(memo.of(blank_words(t)), how.width)).tobytes()) for i, t in part]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["doc_id", "shingles"])
+            digests = [_digest(s) for _, s in found]
+            columns = [[i for i, _ in found], [a for a, _ in digests], [b for _, b in digests]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([s for _, s in found], pa.binary())], ["doc_id", "set_a", "set_b", "shingles"])
 
     return run
 
@@ -219,16 +223,25 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "do
     size dealt over all tasks. Signatures alone pass first; the sets of what they leave are joined and confirmed in
     the block, and only a link per member and component leaves it. Components are the closure of confirmed links.
 
-    Null and empty texts have the empty set, are linked with nothing and kept. Rows that repeat an id share its
-    component. Rows with a null id have a null component and are kept. An empty table gives no rows. Other columns
+    Null and empty texts have the empty set, are linked with nothing and kept. Rows that repeat an id with different
+    texts are linked with each other: of such texts all but the first in order of digest go by a hash of id and digest
+    until components are named by the smallest id again. Rows with a null id have a null component and are kept. An empty table gives no rows. Other columns
     are ignored. Two different texts are taken for equal only if 128 bits of digest agree.
     """
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(texts.mapInArrow(_sign(how), SIGNED), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = staged(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = full.join(classes, ["set_a", "set_b"]).where("doc_id = class_id").dropDuplicates(["doc_id", "set_a", "set_b"]).select("doc_id", "n_shingles", "sig")
+    several = full.groupBy("doc_id").agg(*[f(F.struct("set_a", "set_b")).alias(x) for f, x in ((F.min, "low"), (F.max, "high"))]).where("low <> high").select("doc_id", "low")
+    several = staged(several, "several")
+    repeated = not several.isEmpty()
+    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
+    node = F.col("class_id")
+    if repeated:
+        classes = classes.join(several.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
+        node = F.when(F.col("low") != F.struct("set_a", "set_b"), F.xxhash64("class_id", "set_a", "set_b")).otherwise(F.col("class_id"))
+    classes = staged(classes.select("set_a", "set_b", "class_id", node.alias("node")), "classes")
+    reps = full.join(classes, ["set_a", "set_b"]).where("doc_id = class_id").dropDuplicates(["doc_id", "set_a", "set_b"]).select(F.col("node").alias("doc_id"), "n_shingles", "sig")
     reps = staged(reps, "reps")
 
     width = how.band_rows * 2
@@ -247,13 +260,28 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "do
     stars = staged(near(members.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()), "stars")
     # any document of a bucket may come up in step 3, so the sets of all of them are kept
     wanted = members.select("doc_id").distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(how), "doc_id long, shingles binary")
+    found = "doc_id long, set_a long, set_b long, shingles binary"
+    single = texts.join(several, "doc_id", "left_anti") if repeated else texts
+    sets = single.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(how), found).select("doc_id", "shingles")
+    if repeated:
+        each = texts.join(several, "doc_id", "left_semi").mapInArrow(_sets(how), found).withColumnRenamed("doc_id", "class_id")
+        each = each.join(classes, ["set_a", "set_b", "class_id"]).select(F.col("node").alias("doc_id"), "shingles").dropDuplicates(["doc_id"])
+        sets = sets.unionByName(each.join(wanted, "doc_id", "left_semi"))
     sets = staged(sets, "sets")
-    links = staged(_confirmed(stars, sets, how), "links")
+    links = _confirmed(stars, sets, how)
+    if repeated:
+        own = full.join(several, "doc_id", "left_semi").join(classes, ["set_a", "set_b"]).select("doc_id", "node").distinct()
+        ends = own.join(own.groupBy("doc_id").agg(F.min("node").alias("v")), "doc_id").select(F.col("node").alias("u"), "v")
+        links = links.unionByName(ends.where("u <> v"))
+    links = staged(links, "links")
     links = staged(links.unionByName(_leftovers(reps, members, sets, links, how)), "links")
 
-    class_of = _components(classes.select(F.col("class_id").alias("doc_id")).distinct(), links)
-    named = classes.join(class_of.withColumnRenamed("doc_id", "class_id"), "class_id").select("set_a", "set_b", F.col("component").alias("component_id"))
+    class_of = _components(classes.select(F.col("node").alias("doc_id")).distinct(), links)
+    named = classes.join(class_of.withColumnRenamed("doc_id", "node"), "node").select("set_a", "set_b", "class_id", F.col("component").alias("component_id"))
+    if repeated:
+        lowest = named.groupBy("component_id").agg(F.min("class_id").alias("lowest")).where("lowest <> component_id")
+        named = named.join(lowest, "component_id", "left").withColumn("component_id", F.coalesce("lowest", "component_id"))
+    named = named.select("set_a", "set_b", "component_id")
     out = signed.drop("sig").join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -67,6 +67,16 @@ def test_edges(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, True), (5, 5, True), (5, 5, True), (9, 5, False)]
 
 
+def test_repeated_ids(spark):
+    a, b, c = ("".join(f"{x}{k} " for k in range(20)) for x in "abc")
+    docs = [(5, a), (5, b), (5, b), (9, a + "more"), (10, b + "more"), (3, c), (7, c + "more"), (7, b), (11, "one two"), (11, "")]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), NearDup(width=4)).collect()
+    assert len(got) == len(docs)
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 3), (9, 3), (10, 3), (3, 3), (7, 3), (11, 11)}
+    rows = near_duplicates(spark.createDataFrame([(5, a), (5, b), (9, a + "more"), (10, b + "more"), (12, c)], "doc_id long, text string"), NearDup(width=4)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {(5, 5, True), (9, 5, False), (10, 5, False), (12, 12, True)}
+
+
 def test_bounds():
     few = least_matches(128, 16, 0.8, 1e-6)
     assert list(few) == sorted(few) and few[-1] < 0.8 * 128
