@@ -312,8 +312,9 @@ def _keys(grams: tuple[str, ...]):
 
 
 def _entries(shared, shards: int, window: int):
-    """Each text's distinct grams outside the hot ones that may be known, a row for each shard and batch of texts; docs are
-    places in the batch, times is 2 * occurrences, plus 1 if one of them ends the text and so is no context. A row marked
+    """Each text's distinct grams outside the hot ones that may be known, a row for each shard and batch of texts: keys
+    the distinct grams, sizes how many texts have each; docs these texts' places in the batch, times 2 * occurrences, plus 1
+    if one of them ends the text and so is no context. A row marked
     whole has the batch's ids and word counts, what hot grams and unseen words add, and the worst window's share of it a word."""
 
     def grams(h: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray], known: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -348,13 +349,14 @@ def _entries(shared, shards: int, window: int):
         rid, counts, base, local, keys, times = zip(*held, strict=True)
         doc = np.repeat(np.arange(len(rid), dtype=np.uint32), [len(k) for k in keys])
         k, t = np.concatenate(keys), np.concatenate(times).astype(np.uint32)
-        shard = _shards(k, shards)
-        at = np.argsort(shard, kind="stable")
-        shard, k, t, doc = shard[at], k[at] & LOW, t[at], doc[at]
+        shard, k = _shards(k, shards), k & LOW
+        at = np.lexsort((k, shard))
+        shard, k, t, doc = shard[at], k[at], t[at], doc[at]
         out = [(batch % shards, batch, True, np.array(rid, np.int64).tobytes(), np.array(counts, np.int64).tobytes(), np.array(base).tobytes(), np.array(local).tobytes())]
         for i, j in _cuts(shard):
-            first = _runs(doc[i:j])
-            out.append((int(shard[i]), batch, False, _squeeze(doc[i:j][first]), _squeeze(np.diff(np.append(first, j - i)).astype(np.uint32)), _squeeze(k[i:j]), _squeeze(t[i:j])))
+            first = _runs(k[i:j])
+            sizes, step = np.diff(np.append(first, j - i)).astype(np.uint32), np.diff(k[i:j][first], prepend=np.uint64(0))
+            out.append((int(shard[i]), batch, False, _squeeze(doc[i:j]), _squeeze(sizes), _squeeze(step), _squeeze(t[i:j])))
         return _batch(out, ENTRIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,12 +393,15 @@ def _sums(entries: pa.Table, table: pa.Table) -> pa.Table:
         for row in part.to_pylist():
             docs, sizes, k, t = (row[c] for c in ("docs", "sizes", "keys", "times"))
             if not row["whole"]:
-                k, t, sizes = _loose(k, np.uint64), _loose(t, np.uint32).astype(np.int64), _loose(sizes, np.uint32).astype(np.int64)
-                found = np.zeros(len(k))
+                k, t, sizes = np.cumsum(_loose(k, np.uint64)), _loose(t, np.uint32).astype(np.int64), _loose(sizes, np.uint32)
+                found = np.zeros(len(t))
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                    found = np.where(keys[at] == k, (t >> 1) * gain[at] + ((t >> 1) - (t & 1)) * gamma[at], 0.0)
-                k, sizes, t = np.add.reduceat(found, np.concatenate(([0], np.cumsum(sizes)[:-1]))).astype(np.float32).tobytes(), None, None
+                    at, hit = np.repeat(at, sizes), np.repeat(keys[at] == k, sizes)
+                    found = np.where(hit, (t >> 1) * gain[at] + ((t >> 1) - (t & 1)) * gamma[at], 0.0)
+                docs, place = np.unique(_loose(docs, np.uint32), return_inverse=True)
+                k, sizes, t = np.bincount(place, weights=found).astype(np.float32).tobytes(), None, None
+                docs = _squeeze(np.diff(docs, prepend=np.uint32(0)))
             out.append({"batch": row["batch"], "whole": row["whole"], "docs": docs, "sizes": sizes, "keys": k, "times": t})
     kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 4]
     return pa.Table.from_pylist(out, schema=pa.schema([(c.split()[0], t) for c, t in zip(SUMS.split(", "), kinds, strict=True)]))
@@ -413,7 +418,7 @@ def _added(batch: pa.Table) -> pa.Table:
     loss = np.frombuffer(whole["keys"], np.float64).copy()
     for row in parts:
         if not row["whole"]:
-            loss[_loose(row["docs"], np.uint32)] -= np.frombuffer(row["keys"], np.float32)
+            loss[np.cumsum(_loose(row["docs"], np.uint32))] -= np.frombuffer(row["keys"], np.float32)
     return pa.table([pa.array(rid), pa.array(words), pa.array(loss), pa.array(np.frombuffer(whole["times"], np.float64), from_pandas=True)], names=[c.split()[0] for c in LOSSES.split(", ")])
 
 
