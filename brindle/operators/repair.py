@@ -39,13 +39,16 @@ def close_json(text: str) -> str | None:
         elif re.match(r"[0-9a-z]", c):
             cuts.append((i + 1, "".join(open_)))
         i += 1
-    for end, still in cuts[::-1][:400]:
+    wrong = len(text)  # what is wrong there is so in every longer start
+    for end, still in reversed(cuts):
+        if end > wrong:
+            continue
         whole = text[:end] + "".join(CLOSERS[c] for c in reversed(still))
         try:
             json.loads(whole)
             return whole
-        except ValueError:
-            continue
+        except json.JSONDecodeError as e:
+            wrong = min(wrong, e.pos)
     return None
 
 

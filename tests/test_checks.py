@@ -69,3 +69,9 @@ def test_variants(spark):
     catalog = spark.createDataFrame([("crc32", "616263", "352441c2"), ("crc32c", "616263", "364b3fb7")], "catalog string, input string, expected string")
     got = {r.name: (r.chosen, r.rationale) for r in resolve(algs, variants, vectors, catalog).collect()}
     assert got == {"crc_a": ("ieee", "one candidate"), "crc_b": (None, "ambiguous"), "crc_c": ("cast", "one candidate"), "crc_d": (None, "no fingerprint"), "md5": ("md5", "one candidate"), "zip": (None, "no family")}
+
+
+def test_close_json_after_long_tails():
+    assert P.close_json('{"a": [1, 2, ' + "x" * 5000) == '{"a": [1, 2]}'
+    assert P.close_json('{"a": 1, "b": ' + '"c" ' * 2000) == '{"a": 1, "b": "c"}'
+    assert P.close_json("]" + "1" * 1000) is None
