@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ._staging import staged
 
 BITS = 64
+#: A window as one long: start * PLACE + words.
+PLACE = 1 << 31
 
 
 @dataclass(frozen=True)
@@ -87,19 +89,20 @@ def _items(benchmark: DataFrame, how: Leaks) -> DataFrame:
 
 
 def _seeds(items: DataFrame, how: Leaks) -> DataFrame:
-    """Shingles (h, place, m) of each item of which any window at the threshold has one: the heaviest, to more than the
-    share of the item's weight that such a window may lack."""
+    """Shingles (h, and the words m of their item) of each item of which any window at the threshold has one: the heaviest,
+    to more than the share of the item's weight that such a window may lack."""
     each = items.select("item_id", "m", F.posexplode("item").alias("place", "s")).select("item_id", "m", "place", "s.h", "s.w")
     line = Window.partitionBy("item_id").orderBy(F.desc("w"), "h", "place")
     each = each.withColumn("_over", F.sum("w").over(line.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_all", F.sum("w").over(Window.partitionBy("item_id")))
-    return each.where(F.coalesce("_over", F.lit(0)) * how.den <= F.col("_all") * (how.den - how.num)).select("h", "place", "m").distinct()
+    return each.where(F.coalesce("_over", F.lit(0)) * how.den <= F.col("_all") * (how.den - how.num)).select("h", "m").distinct()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks()) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): the best window for each document and item that it leaks.
 
     1. Of an item's shingles the heaviest fifth are seeds: a window at 0.8 has one of them. Every shingle of every
-    whole text meets the seeds in a join; each meeting places an item-sized window. 2. Windows are fingerprinted by
+    whole text meets the seeds in a join; each meeting places every item-sized window that holds it, so words inserted,
+    deleted or moved before the seed hide no window. 2. Windows are fingerprinted by
     SimHash and meet the items of their size in a multi-index: fingerprints within the radius agree in one of eight
     blocks up to radius // 8 bits, and each item stands under all such keys. 3. Pairs within the radius are confirmed
     by the exact similarity of their shingle multisets, weighted by letters.
@@ -116,24 +119,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, how: Leaks = Leaks()) -> D
     row = F.xxhash64("text").alias("row")
     # words are a column of their own: a lambda would split the text again at every place
     every = texts.select("doc_id", row, words_of(F.col("text")).alias("_w")).select("doc_id", "row", F.posexplode(_shingles(F.col("_w"), how.width, False)).alias("pos", "h"))
-    windows = every.join(seeds, "h").select("doc_id", "row", F.greatest(F.col("pos") - F.col("place"), F.lit(0)).alias("start"), "m").distinct()
-    wanted = staged(windows.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "m")).alias("windows")), "windows")
-
-    found = texts.withColumn("row", row).join(wanted, ["doc_id", "row"])
-    found = found.select("doc_id", "row", "windows", words_of(F.col("text")).alias("_w")).select("doc_id", "row", "windows", _shingles(F.col("_w"), how.width, True).alias("s"))
-    cut = F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["m"].alias("m"), F.slice(F.col("s"), w["start"] + 1, w["m"] - (how.width - 1)).alias("shingles")))
-    cut = found.select("doc_id", "row", F.explode(cut).alias("w")).select("doc_id", "w.start", "w.m", "w.shingles").where("size(shingles) > 0")
-    prints = staged(cut.select("*", simhash(F.col("shingles")).alias("print")), "prints")
+    met = every.join(seeds, "h").groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "m")).alias("met"))
+    found = texts.withColumn("row", row).join(staged(met, "met"), ["doc_id", "row"])
+    found = found.select("doc_id", "row", "met", words_of(F.col("text")).alias("_w")).select("doc_id", "row", "met", _shingles(F.col("_w"), how.width, True).alias("s"))
+    found = staged(found, "found")
+    cut = lambda start, m: F.slice(F.col("s"), start + 1, m - (how.width - 1))
+    # a window is one long, start and size, so that equal ones are told by hash
+    places = lambda w: F.transform(F.sequence(F.greatest(w["pos"] - (w["m"] - how.width), F.lit(0)), w["pos"]), lambda at: at.cast("bigint") * PLACE + w["m"])
+    starts = found.select("doc_id", "row", "s", F.array_distinct(F.flatten(F.transform("met", places))).alias("windows"))
+    start, m = (lambda w: F.call_function("shiftright", w, F.lit(31)).cast("int")), (lambda w: w.bitwiseAND(F.lit(PLACE - 1)).cast("int"))
+    # in an array of one, so that a window is cut once and not for each bit
+    print_ = lambda w: F.struct(start(w).alias("start"), m(w).alias("m"), F.transform(F.array(cut(start(w), m(w))), simhash)[0].alias("print"))
+    prints = starts.select("doc_id", "row", F.explode(F.transform("windows", print_)).alias("w")).select("doc_id", "row", "w.start", "w.m", "w.print")
 
     size = BITS // how.blocks
     flips = F.array(*[F.lit(x) for x in _flips(size, how.radius // how.blocks)])
     block = lambda p: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), b.alias("v")) for i, b in enumerate(_blocks(F.col(p), how.blocks))])).alias("b")
     index = items.select("item_id", "m", "item", "item_print", block("item_print")).select("item_id", "m", "item", "item_print", "b.i", "b.v")
     index = index.select("item_id", "m", "i", "item_print", F.explode(F.transform(flips, lambda f: F.col("v").bitwiseXOR(f.cast("bigint")))).alias("v"))
-    asked = prints.select("doc_id", "start", "m", "print", block("print")).select("doc_id", "start", "m", "print", "b.i", "b.v")
+    asked = prints.select("*", block("print")).select("doc_id", "row", "start", "m", "print", "b.i", "b.v")
     near = asked.join(index, ["m", "i", "v"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= how.radius)
-    near = staged(near.select("doc_id", "start", "m", "print", "item_id").distinct(), "near")
-    pairs = near.join(prints, ["doc_id", "start", "m", "print"]).join(items.select("item_id", "item"), "item_id")
+    near = staged(near.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "m", "item_id")).alias("near")), "near")
+    sliced = F.transform("near", lambda w: F.struct(w["start"].alias("start"), w["m"].alias("m"), w["item_id"].alias("item_id"), cut(w["start"], w["m"]).alias("shingles")))
+    pairs = found.join(near, ["doc_id", "row"]).select("doc_id", F.explode(sliced).alias("w")).select("doc_id", "w.*").join(items.select("item_id", "item"), "item_id")
     shared, whole = weighted_similarity(F.col("shingles"), F.col("item"))
     sure = pairs.select("doc_id", "item_id", "start", "m", shared.alias("shared"), whole.alias("whole")).where(F.col("shared") * how.den >= F.col("whole") * how.num)
     sure = sure.withColumn("similarity", F.col("shared") / F.col("whole"))

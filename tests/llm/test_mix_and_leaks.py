@@ -127,6 +127,29 @@ def test_leaks(spark):
     assert find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_edited(spark):
+    """Words inserted, deleted and blocks moved: every window at the threshold is found."""
+    rnd = random.Random(12)
+    text = lambda n: [f"v{rnd.randrange(5000)}" for _ in range(n)]
+    items = [(k, " ".join(text(rnd.randint(30, 90)))) for k in range(12)]
+    docs = []
+    for i in range(240):
+        item = rnd.choice(items)[1].split()
+        for _ in range(rnd.randint(1, 2)):
+            at, n = rnd.randrange(len(item)), rnd.randint(1, 6)
+            item[at:at] = text(n) if rnd.random() < 0.5 else []
+            if rnd.random() < 0.5:
+                del item[at : at + n]
+        if i % 10 == 0:
+            at = rnd.randrange(len(item))
+            item = item[at:] + item[:at]
+        docs.append((i, " ".join(text(rnd.randint(0, 30)) + item + text(rnd.randint(0, 30)))))
+    want = leaks(docs, items)
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert 60 < len(want) < 240
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_leaks_whole_table(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
