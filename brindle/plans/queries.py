@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import bytes as B
 from brindle.functions import checksums as C
+from brindle.operators import ffi as X
 from brindle.operators import graph as G
 from brindle.operators import relational as R
 from brindle.operators import scoring as S
@@ -466,6 +467,20 @@ def c_types(spark, d):
     return table(spark, d, "part").select("p_partkey", T.c_type_to_rust(text).alias("rust"))
 
 
+_FFI_TYPES = [
+    ("const char *", "char", True, 1, "*const c_char"), ("unsigned  long", "unsigned long", False, 0, "c_ulong"), ("const Bytef **", "Bytef", True, 2, "*mut *const c_uchar"), ("void *", "void", False, 1, "*mut c_void"),
+    ("struct part_t *", "struct part_t", False, 1, "*mut part_t"), ("size_id", "size_id", False, 0, "c_int"), ("other *", "other", False, 1, "*mut c_void"), ("uint32_t [8]", "uint32_t", False, 1, "*mut u32"), ("void", "void", False, 0, "()"),
+]
+
+
+@query("SELECT p_partkey, t.* FROM part JOIN (VALUES " + ", ".join(f"({i}, '{b}', {c}, {n}, '{r}')" for i, (_, b, c, n, r) in enumerate(_FFI_TYPES)) + ") AS t(k, base, is_const, depth, rust) ON p_partkey % 9 = k")
+def ffi_types(spark, d):
+    """C types as those of a foreign function interface, with a typedef and an opaque type."""
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 9).cast("int").alias("k"))
+    rows = rows.withColumn("c", F.get(F.array(*[F.lit(x[0]) for x in _FFI_TYPES]), F.col("k")))
+    return rows.select("p_partkey", "k", X.c_type(F.col("c")).alias("t"), X.ffi_type(F.col("c"), {"size_id": "c_int"}, ["part_t"]).alias("rust")).select("p_partkey", "k", "t.base", "t.is_const", "t.depth", "rust")
+
+
 @query("""SELECT 'p' || p_partkey AS name, CASE p_size % 5 WHEN 0 THEN 'crc32_wrong_polynomial' WHEN 1 THEN 'adler32_wrong_base' WHEN 2 THEN 'sha256_missing_h0' WHEN 3 THEN 'aes_wrong_round_count' ELSE 'unused_input' END AS rule FROM part WHERE p_size % 2 = 0""")
 def lint_findings(spark, d):
     """A function for each part, of one of five families by its size: wrong where the size is even."""
