@@ -15,6 +15,7 @@ from .near_dedup import NearDup, near_duplicates
 from .quality import judge_quality
 from .secret_scan import scan_secrets, span_digest
 from .source_mix import mix_sources
+from .spelling import count_words, spelling_variants
 from .url_filter import Rule, judge_urls
 
 #: The contract's rules.
@@ -78,6 +79,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, one in 97 misspelt."""
+    return spelling_variants(count_words(table(spark, sf_dir, "documents"), misspell=97))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -91,6 +97,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling": op11_spelling,
 }
 
 
@@ -129,5 +136,24 @@ groups AS (SELECT a, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool
 SELECT page_id, host, path, {_rule_sql("text")} AS rule, coalesce({_rule_sql("verdict")}, g.verdict, 'allow') AS verdict FROM base LEFT JOIN groups g ON g.a = node"""
 
 
+_SPELLING_SQL = r"""WITH RECURSIVE folds(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM folds WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS entries FROM folds WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+lowered AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+raw AS (SELECT run, n, coalesce(doc_id::VARCHAR, '') || ':' || run AS keyed FROM lowered),
+bytes AS (SELECT run, n, list_transform(range(0, strlen(keyed)), lambda i: ('0x' || substr(hex(encode(keyed)), 2 * i + 1, 2))::BIGINT) AS b FROM raw),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, entries[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+edited AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS cut FROM (SELECT word, n, unnest(range(0, length(word))) AS p FROM words)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, min({'d': -m, 'w': other}) AS top FROM near GROUP BY 1),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.d >= 2 * words.n THEN top.w END AS form, CASE WHEN -top.d >= 2 * words.n THEN -top.d END AS form_n FROM words LEFT JOIN best USING (word)),
+follow(word, last) AS (SELECT word, form FROM forms WHERE form IS NOT NULL UNION ALL SELECT follow.word, form FROM follow JOIN forms ON forms.word = follow.last WHERE form IS NOT NULL),
+roots AS (SELECT follow.word, follow.last AS root FROM follow JOIN forms ON forms.word = follow.last WHERE form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN roots USING (word)"""
+
+
 #: The others rest on hashes, models or searches that SQL has no equal of; their tests hold them against plain Python.
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": _url_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": _url_sql(), "op11_spelling": _SPELLING_SQL}
