@@ -21,15 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again.
+def staged(df: DataFrame, name: str = "step", compression: str | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder, with the session's compression unless another is given, and reads it again.
 
     A lost executor then costs a read, not a recomputation, and joins see the true size of the table,
     so that Spark broadcasts it only if it is below the session's threshold.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/brindle-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
     return out
