@@ -16,6 +16,7 @@ from .quality import judge_quality
 from .secret_scan import scan_secrets, span_digest
 from .source_mix import mix_sources
 from .spelling import count_words, spelling_variants
+from .token_align import align_documents
 from .url_filter import Rule, judge_urls
 
 #: The contract's rules.
@@ -84,6 +85,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(count_words(table(spark, sf_dir, "documents"), misspell=97))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -98,6 +103,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling": op11_spelling,
+    "op13_token_align": op13_token_align,
 }
 
 
