@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.license_scan import PHRASES, TEMPLATES, Automaton, Scanner, scan_licenses
 from brindle.llm.queries import QUERIES, URL_RULES
-from brindle.llm.secret_scan import KINDS, Entropy, _peaks, scan_secrets, span_digest
+from brindle.llm.secret_scan import ALLOWED_UNLESS, KINDS, Entropy, _peaks, _running, scan_secrets, span_digest
 from brindle.llm.url_filter import judge_urls
 
 
@@ -149,11 +150,47 @@ def test_every_copy_of_a_notice():
 
 
 def test_long_candidates_and_allowed_parts(spark):
-    """A candidate costs time in proportion to its length; a filler hides short candidates and its own place in long ones."""
+    """A candidate costs time in proportion to its length; fillers hide their own place, whatever its length."""
     rng = random.Random(4)
     noise = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWYZabcdefghijklmnopqrstuvwyz23456789") for _ in range(n))
     long, short = noise(100_000), noise(30)
     letters = "qWzRkTbNmVcXhJgLpYdS"
-    texts = [long, "dummy" + short, noise(60) + "dummy" + noise(60), "thisIsOnlyAnIdentifierOfWords", letters]
+    texts = [long, "dummy" + short, noise(60) + "dummy" + noise(60), "thisIsOnlyAnIdentifierOfWords", letters, "resample_" + noise(40), "resample_" + noise(60)]
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got == {0: [(0, 100_000)], 1: [], 2: [(0, 60), (65, 125)], 3: [], 4: [(0, 20)]}
+    assert got == {0: [(0, 100_000)], 1: [(5, 35)], 2: [(0, 60), (65, 125)], 3: [], 4: [(0, 20)], 5: [(8, 49)], 6: [(8, 69)]}
+
+
+def test_texts_of_a_million_characters(spark):
+    """Paths, words, numbers and rules of any length are suppressed without a stack that grows; 100,000 matches keep their places."""
+    texts = ["qwertyuiop/" * 90_000 + "1", "ab/" * 330_000 + "cd", "GoIfIn" * 160_000, "Word" * 250_000, "7-" * 500_000, "=-" * 500_000, "ABCDE_" * 160_000 + "x", "token=abcdef1 " * 100_000]
+    rows = scan_secrets(spark.createDataFrame([(i, t, "y") for i, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(4)).collect()
+    got = {r.doc_id: [(s.start, s.rank, s.end) for s in r.spans] for r in rows}
+    assert [got[i] for i in range(7)] == [[]] * 7
+    assert got[7] == [(14 * i, 0, 14 * i + 13) for i in range(100_000)]
+
+
+def test_allowed_words_against_a_backtracking_pattern(spark):
+    """The tests without repeated groups allow what the readable pattern allows, which needs a stack."""
+    readable = re.compile(r"^([A-Z]?[a-z]{2,}|[A-Z]{2,}|A|I|An|As|At|Be|By|Do|Go|Id|If|In|Is|It|My|No|Of|On|Or|So|To|Up|Us|We)+$")
+    path = re.compile(r"^[A-Za-z]+([_/-][A-Za-z]+)+$")
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["A", "I", "X", "An", "Id", "Xq", "lo", "w", "Up", "QR", "B", "n", "_", "/"][: rng.choice([12, 14])]) for _ in range(rng.randint(1, 7))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", (~F.col("t").rlike(ALLOWED_UNLESS[0])).alias("w"), (~F.col("t").rlike(ALLOWED_UNLESS[2])).alias("p")).collect()
+    assert [r.w for r in got] == [bool(readable.match(t)) for t in texts]
+    assert [r.p for r in got] == [bool(path.match(t)) for t in texts]
+
+
+def test_entropy_spans_in_base_spans(spark):
+    """A span of the windows goes if a base span holds it, however long that is; places beyond U+FFFF count once."""
+    key = "K7dk39Sdk2Lq9ZxPw0vBn5Rt"
+    texts = ["token=" + key, "😀 " + key + " secret: '" + key + "=" + key + "' " + key, ("password=" + key + " ") * 3 + key, (key + " ") * 2]
+    got = {r.doc_id: [(s.start, s.rank, s.end) for s in r.spans] for r in scan_secrets(spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")).collect()}
+    assert got == {0: [(0, 0, 30)], 1: [(2, 3, 26), (27, 0, 85), (87, 3, 111)], 2: [(0, 0, 33), (34, 0, 67), (68, 0, 101), (102, 3, 126)], 3: [(0, 3, 24), (25, 3, 49)]}
+
+
+def test_running_sums(spark):
+    rng = random.Random(8)
+    lists = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 2, 3, 5, 16, 17, 100, 1000)]
+    got = spark.createDataFrame([(x,) for x in lists], "x array<int>").select(_running(F.col("x"), lambda a, b: a + b).alias("s"), _running(F.col("x"), F.greatest).alias("m")).collect()
+    assert [(r.s, r.m) for r in got] == [(list(itertools.accumulate(x)), list(itertools.accumulate(x, max))) for x in lists]
