@@ -1,13 +1,16 @@
 """op2 and op7: held-out accuracy and the model's own sums."""
 
 import math
+import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.llm._words import WordHash
-from brindle.llm.language_id import Fusion, from_pages, identify_languages
+from brindle.llm.language_id import SUFFIXES, Fusion, _trigrams, from_pages, identify_languages
 from brindle.llm.quality import Quality, judge_quality, log_probabilities, losses, train, trusted_documents
 from brindle.llm.queries import QUERIES
 
@@ -40,6 +43,95 @@ def test_language_pages(spark, sf_dir):
     assert len(got) == len(declared) and sum(declared[r.page_id] == r.language for r in got) >= 0.9 * len(got)
 
 
+def posteriors(rows, how):
+    """{row: (language, probability)} in plain Python, from dense vectors and dictionaries."""
+    declared = [None if r[2] is None else (re.match("[a-z]{2,3}", r[2].strip().lower()) or [None])[0] for r in rows]
+    declared = [None if d == "und" else d for d in declared]
+    count = Counter(d for d, r in zip(declared, rows, strict=True) if d and r[1] is not None)
+    count.update({d: 0 for d in declared if d})
+    most = sorted(sorted(count, key=lambda d: (-count[d], d))[: how.languages])
+    classes = most + ["und"] * (len(count) > len(most))
+    k = len(classes)
+    kind = lambda d: most.index(d) if d in most else k - 1
+    grams = [Counter(_trigrams(r[1], how.buckets).tolist()) if r[1] else Counter() for r in rows]
+    seen = [Counter() for _ in classes]
+    for d, g in zip(declared, grams, strict=True):
+        if d:
+            seen[kind(d)].update(g)
+    logs, soft = [], []
+    for g in grams:
+        n = sum(g.values())
+        own = [sum(c * math.log((seen[i][b] + 0.5) / (sum(seen[i].values()) + 0.5 * how.buckets)) for b, c in g.items()) / n * min(n, how.evidence) if n else 0.0 for i in range(k)]
+        logs.append(own)
+        top = max(own)
+        soft.append([math.exp(x - top) / sum(math.exp(y - top) for y in own) for x in own])
+    whole = lambda keep: [sum(s[i] for s, r in zip(soft, rows, strict=True) if keep(r)) for i in range(k)]
+    number = lambda keep: sum(1 for r in rows if keep(r))
+    root = [(x + 1) / (len(rows) + k) for x in whole(lambda r: True)]
+    out = []
+    for r, d, own in zip(rows, declared, logs, strict=True):
+        site = [(x + how.site * y) / (number(lambda o, r=r: o[4] == r[4]) + how.site) for x, y in zip(whole(lambda o, r=r: o[4] == r[4]), root, strict=True)]
+        at = lambda o, r=r: o[3] == r[3] and o[4] == r[4]
+        host = [(x + how.local * y) / (number(at) + how.local) for x, y in zip(whole(at), site, strict=True)]
+        end = SUFFIXES.get(r[3].lower().rsplit(".", 1)[1]) if r[3] and "." in r[3] else None
+        log = []
+        for i in range(k):
+            x = own[i] + math.log(host[i])
+            for said, sure in ((kind(d) if d else None, how.declared), (most.index(end) if end in most else None, how.suffix)):
+                if said is not None:
+                    x += math.log(sure if said == i else (1 - sure) / max(1, k - 1))
+            log.append(x)
+        top = max(log)
+        p = [math.exp(x - top) for x in log]
+        best = max(range(k), key=lambda i: (p[i], -i))
+        out.append((d if classes[best] == "und" and d and d not in most else classes[best], p[best] / sum(p)))
+    return out
+
+
+def test_posterior_against_brute_force(spark):
+    """Hosts, sites, suffixes, declarations, blank texts and rarer codes, each deciding some rows."""
+    rng = random.Random(3)
+    words = {"en": "the house garden of king and", "de": "der hund die katze nicht hier", "fr": "le chien la maison avec pas", "fi": "talo puutarha kaunis", "zz": "qox zub", "yy": "blik vorn"}
+    rows = []
+    for i in range(160):
+        lang = rng.choice(["en"] * 5 + ["de"] * 4 + ["fr"] * 3 + ["fi", "zz", "yy"])
+        text = rng.choice([None, "", "x", *[" ".join(rng.choice(words[lang].split()) for _ in range(rng.choice([1, 2, 8, 30])))] * 6])
+        host = rng.choice([None, f"a{rng.randint(1, 3)}.com", f"{lang}.{rng.choice(['de', 'fr', 'uk', 'com', 'museum'])}"])
+        rows.append((i, text, rng.choice([None, lang, lang.upper() + "-x", "und", rng.choice(list(words))]), host, None if host is None else host.rsplit(".", 1)[1]))
+    df = spark.createDataFrame([(*r, 1.5) for r in rows], "id long, text string, declared string, host string, site string, probability double")
+    for how in (Fusion(), Fusion(languages=3)):
+        got = {r.id: (r.language, r.probability) for r in identify_languages(df, how).collect()}
+        want = dict(zip([r[0] for r in rows], posteriors(rows, how), strict=True))
+        assert got.keys() == want.keys()
+        for i in want:
+            assert abs(got[i][1] - want[i][1]) < 1e-4, (i, got[i], want[i])
+            assert got[i][0] == want[i][0] or abs(want[i][1] - 0.5) < 1e-3, (i, got[i], want[i])
+    assert len({x for x, _ in want.values()}) > 4
+
+
+def test_pages_against_brute_force(spark, sf_dir):
+    rows = from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    given = [tuple(r) for r in rows.select("id", "text", "declared", "host", "site").collect()]
+    got = {r.page_id: (r.language, r.probability) for r in QUERIES["language_id_pages"](spark, sf_dir).collect()}
+    for (i, *_), (language, p) in zip(given, posteriors(given, Fusion()), strict=True):
+        assert abs(got[i][1] - p) < 1e-3 and (got[i][0] == language or p < 0.51), i
+
+
+def test_any_number_of_codes(spark):
+    """18,000 codes of wrong markup take no more than twice the time of ten, and the languages stay answers."""
+    english, german = "the house and the garden of the king ", "der hund und die katze sind nicht hier "
+    codes = [a + b + c for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for c in ["", *"abcdefghijklmnopqrstuvwxyz"]][:18_000]
+    took = []
+    for n in (10, 10, 18_000):
+        rows = [(i, (english if i % 2 else german) * 3, ("en" if i % 2 else "de") if i < 2_000 else codes[i % n], f"h{i % 50}.com", "com") for i in range(20_000)]
+        df = spark.createDataFrame(rows, "id long, text string, declared string, host string, site string").repartition(4)
+        began = time.time()
+        got = {r.id: r.language for r in identify_languages(df).collect()}
+        took.append(time.time() - began)
+        assert all(got[i] == ("en" if i % 2 else "de") for i in range(2_000))
+    assert took[2] < 2 * took[1] + 3
+
+
 def test_kneser_ney_sums_to_one(spark):
     rng = np.random.default_rng(3)
     words = [f"w{min(int(rng.geometric(0.2)), 12)}" for _ in range(600)]
