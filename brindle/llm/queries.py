@@ -17,6 +17,7 @@ from .secret_scan import scan_secrets, span_digest
 from .source_mix import mix_sources
 from .spelling import count_words, spelling_variants
 from .token_align import align_documents
+from .toxicity import score_toxicity
 from .url_filter import Rule, judge_urls
 
 #: The contract's rules.
@@ -85,6 +86,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(count_words(table(spark, sf_dir, "documents"), misspell=97))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents"))
 
@@ -103,6 +108,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling": op11_spelling,
+    "op12_toxicity": op12_toxicity,
     "op13_token_align": op13_token_align,
 }
 
