@@ -500,3 +500,5 @@ def missing_functions(spark, d):
     parts = table(spark, d, "part")
     expected = parts.where("p_partkey % 3 = 0").select(F.col("p_name").alias("name")).distinct()
     return R.missing_names(expected, parts.where("p_partkey % 3 <> 0").select(F.col("p_name").alias("name")))
+
+from brindle.plans import structures  # noqa: E402, F401  registers its queries

@@ -8,7 +8,7 @@ from brindle.functions import bytes as B
 from brindle.functions import checksums as C
 from brindle.operators import differential as D
 from brindle.operators import textscan as T
-from brindle.operators.stubs import find_stubs, findings, is_stub, stub_functions
+from brindle.operators.stubs import find_stubs, stub_functions
 
 
 def one(spark, column):
@@ -142,17 +142,17 @@ fn d() { let _ = x; unimplemented!("d") }
 static T: [u8; 3] = [1, // ... 253 more entries
 ];
 """
-    got = {(line, pattern, name) for line, pattern, _, name in findings(code)}
-    assert got == {
+    files = spark.createDataFrame([(1, code), (2, None)], "id long, text string")
+    rows = find_stubs(files, "id", "text").collect()
+    assert {(r.line, r.pattern, r.fn_name) for r in rows} == {
         (1, "fn_ignores_inputs", "a"), (2, "comment_conceptually", "a"), (3, "comment_simple_heuristic", "a"), (7, "panic_not_impl", "c"),
         (7, "comment_dont_have_algorithm", None), (7, "comment_dont_have_access", None), (11, "unimplemented_macro", "d"), (12, "comment_n_more_entries", None),
     }
-    assert {(x[0], x[1]) for x in findings(code, skip_tests=False)} - {(x[0], x[1]) for x in findings(code)} == {(10, "todo_macro")}
-    assert is_stub(code, "d") and is_stub(code, "t") and not is_stub(code, "b") and findings(None) == []
-    files = spark.createDataFrame([(1, code), (2, None)], "id long, text string")
-    assert find_stubs(files, "id", "text").count() == len(findings(code))
-    names = spark.createDataFrame([(1, "d"), (1, "b"), (2, "d")], "id long, name string")
-    assert [tuple(r) for r in stub_functions(files, names, "id", "text").collect()] == [(1, "d")]
+    assert len(rows) == 8 and {r.id for r in rows} == {1}
+    tests_too = {(r.line, r.pattern) for r in find_stubs(files, "id", "text", skip_tests=False).collect()}
+    assert tests_too - {(r.line, r.pattern) for r in rows} == {(10, "todo_macro")}
+    names = spark.createDataFrame([(1, "d"), (1, "b"), (1, "t"), (2, "d")], "id long, name string")
+    assert sorted(tuple(r) for r in stub_functions(files, names, "id", "text").collect()) == [(1, "d"), (1, "t")]
 
 
 def test_aliases_in_folds(spark):
