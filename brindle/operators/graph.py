@@ -34,16 +34,6 @@ def coupling(edges: DataFrame, owner: DataFrame, least: int = 5) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def merge_greedily(pairs: DataFrame) -> list[tuple]:
-    """Pairs taken in order of weight, then names, each only if neither side is taken: owners, so a driver's list."""
-    taken, out = set(), []
-    for a, b in ((r.a, r.b) for r in pairs.orderBy(F.desc("n"), "a", "b").toLocalIterator()):
-        if a not in taken and b not in taken:
-            taken |= {a, b}
-            out.append((a, b))
-    return out
-
-
 def _trim(edges: DataFrame) -> DataFrame:
     """Drops edges at nodes that nothing leads to or from, until none is left to drop: these lie on no cycle."""
     n = edges.count()

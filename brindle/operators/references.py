@@ -109,3 +109,18 @@ def citing_references(wanted: DataFrame, references: DataFrame) -> DataFrame:
     pairs = inside.unionByName(around).unionByName(by_word).distinct()
     out = texts.join(pairs, "text").join(cited, "cited")
     return out.groupBy("wanted", "algorithm", "variant").agg(F.max(F.length("cited")).alias("score"))
+
+
+def titled_references(wanted: DataFrame, references: DataFrame) -> DataFrame:
+    """Rows of references (algorithm, variant, title), one of each algorithm and variant, that a name of wanted (name) fits:
+    lower-cased, either holds the other, or all of the name's words of four or more letters stand in the title."""
+    names = staged(wanted.select(F.lower("name").alias("n")).where("length(n) > 0").distinct(), "names")
+    titles = staged(references.select(F.lower("title").alias("t")).where("length(t) > 0").distinct(), "titles")
+    as_part, as_whole = (lambda df, c: df.select(F.col(c).alias("part"))), (lambda df, c: df.select(F.col(c).alias("whole")))
+    inside = _holding(as_part(names, "n"), as_whole(titles, "t")).select(F.col("whole").alias("t"))
+    around = _holding(as_part(titles, "t"), as_whole(names, "n")).select(F.col("part").alias("t"))
+    words = names.select("n", F.array_distinct(F.filter(F.split("n", r"[^a-z0-9]+"), lambda w: F.length(w) > 3)).alias("w")).select("n", F.size("w").alias("k"), F.explode("w").alias("part"))
+    each = words.join(_holding(words.select("part"), as_whole(titles, "t")), "part")
+    by_word = each.groupBy("n", "whole").agg(F.count(F.lit(1)).alias("held"), F.max("k").alias("k")).where("held = k").select(F.col("whole").alias("t"))
+    fits = inside.unionByName(around).unionByName(by_word).distinct()
+    return references.join(fits, F.lower("title") == F.col("t"), "left_semi").groupBy("algorithm", "variant").agg(F.min("title").alias("title"))

@@ -126,15 +126,6 @@ def union_findings(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def references_for(wanted: DataFrame, references: DataFrame) -> DataFrame:
-    """Rows of references (algorithm, variant, title) matched with names (name): either holds the other, lower-cased, or
-    all of the name's words of four or more letters are in the title. Both sides are catalogues, not data tables."""
-    n, t = F.lower("name"), F.lower("title")
-    words = F.filter(F.split(n, r"[^a-z0-9]+"), lambda w: F.length(w) > 3)
-    fits = F.contains(t, n) | F.contains(n, t) | ((F.size(words) > 0) & F.forall(words, lambda w: F.contains(t, w)))
-    return references.join(wanted, fits).dropDuplicates(["algorithm", "variant"]).drop("name")
-
-
 def coupled_by_stem(sources: DataFrame, headers: DataFrame) -> DataFrame:
     """sources (path, stem) left-joined to headers (path, stem) whose stem is the same, <stem>_internal or <stem>s; as
     three equi-joins in one, by exploding the stems that fit."""

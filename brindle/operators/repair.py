@@ -53,26 +53,36 @@ def close_json(text: str) -> str | None:
 
 
 def find_json(text: str | None) -> str | None:
-    """The JSON of a noisy text, as compact JSON: the whole, a fenced block, or from the first brace, closed where it was cut."""
-    if text is None:
-        return None
-    text = re.sub(r"<think>.*?</think>", "", text, flags=re.S).strip()
-    tries = [text, *re.findall(r"```(?:json)?\s*\n(.*?)```", text, re.S)]
-    at = text.find("{")
-    if at >= 0:
-        tries.append(text[at:])
-    for t in tries:
-        try:
-            return json.dumps(json.loads(t), ensure_ascii=False)
-        except ValueError:
-            pass
-    if at >= 0:
+    """The JSON of a noisy text, as compact JSON: the text itself, or what stands at the first brace that opens an object.
+
+    One scan over the braces behind any <think> block: an object that is whole is the answer, one that the text's end
+    cuts is closed, and a brace of anything else is passed over. If none is either, the first one is closed as far as it is valid.
+    """
+    body = re.sub(r"<think>[\s\S]*?</think>", "", text or "").strip()
+    decoder = json.JSONDecoder()
+    found: object = None
+    braces = [m.start() for m in re.finditer(r"\{", body)]
+    try:
+        found, end = decoder.raw_decode(body)
+        if end == len(body):
+            return json.dumps(found, ensure_ascii=False)
+    except ValueError:
+        pass
+    past = -1
+    for at in braces:
+        if at < past:
+            continue
         try:
-            return json.dumps(json.JSONDecoder().raw_decode(text[at:])[0], ensure_ascii=False)
-        except ValueError:
-            closed = close_json(text[at:])
-            return json.dumps(json.loads(closed), ensure_ascii=False) if closed else None
-    return None
+            return json.dumps(decoder.raw_decode(body, at)[0], ensure_ascii=False)
+        except json.JSONDecodeError as e:
+            if e.pos >= len(body) or e.msg.startswith("Unterminated string"):
+                break
+            past = e.pos  # what stands before it was read as part of something that is no JSON
+    else:
+        at = braces[0] if braces else len(body)
+    closed = close_json(body[at:]) if braces else None
+    return json.dumps(json.loads(closed), ensure_ascii=False) if closed else None
+
 
 
 def balance(text: str) -> str:

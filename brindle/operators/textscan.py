@@ -23,6 +23,12 @@ def strip_comments(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", "")
 
 
+def strip_code_comments(text: Column) -> Column:
+    """strip_comments for sources with strings: what looks like a comment in a string or character stays."""
+    quoted = r"""\"(?:[^\"\\]|\\[\s\S])*+\"|'(?:[^'\\\n]|\\.)'"""
+    return F.regexp_replace(F.regexp_replace(text, rf"({quoted}|//[^\n]*)|/\*[\s\S]*?\*/", "$1 "), rf"({quoted})|//[^\n]*", "$1")
+
+
 def canonical_body(text: Column) -> Column:
     """Without comments and white space."""
     return F.regexp_replace(strip_comments(text), r"\s+", "")
@@ -38,8 +44,9 @@ def pattern_counts(text: Column, patterns: dict[str, str]) -> list[Column]:
 
 
 def public_functions(text: Column) -> Column:
-    """Sorted distinct names after `pub fn`, comments left out."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(strip_comments(text), F.lit(r"\bpub\s+(?:const\s+|unsafe\s+|async\s+)*fn\s+([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))))
+    """Sorted distinct names of functions that are public, be it to the crate or a part of it; comments are left out."""
+    head = r"\bpub(?:\s*\(\s*(?:crate|super|self|in\s+[^)]+)\s*\))?\s+(?:(?:const|unsafe|async|extern(?:\s+\"[^\"]*\")?)\s+)*+fn\s+([A-Za-z_][A-Za-z0-9_]*)"
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(strip_code_comments(text), F.lit(head), F.lit(1))))
 
 
 def c_literal(value: Column) -> Column:
@@ -93,15 +100,22 @@ def find_unsafe(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return lines.where(F.regexp_replace("snippet", r"//.*$", "").rlike(r"\bunsafe\s*\{")).select(id_col, "line", F.trim("snippet").alias("snippet"))
 
 
-def error_blocks(lines: DataFrame, group: str, position: str, text: str) -> DataFrame:
+def error_blocks(lines: DataFrame, group: str, position: str, text: str, chunk: int = 100_000) -> DataFrame:
     """Blocks of a compiler log that start with error; those that start with warning are dropped. A block runs to the
-    next start; blocks are numbered within each log by a running sum."""
+    next start; blocks are numbered within each log by a running sum.
+
+    A log is summed in chunks of positions, and a table with a row per chunk carries the sums on, so that a long log is as many tasks
+    as it has chunks. A block is gathered whole, as it is one message.
+    """
     from pyspark.sql import Window
 
     start = F.col(text).rlike(r"^(error|warning)")
-    line = Window.partitionBy(group).orderBy(position)
-    marked = lines.withColumn("block", F.sum(F.when(start, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = marked.where("block > 0").groupBy(group, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, text))), lambda x: x[text]), "\n").alias("message"))
+    marked = lines.select(group, position, text, F.floor(F.col(position) / chunk).alias("_chunk"), F.when(start, 1).otherwise(0).alias("_start"))
+    inside = Window.partitionBy(group, "_chunk").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy(group, "_chunk").agg(F.sum("_start").alias("_n")).select(group, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = marked.withColumn("_own", F.sum("_start").over(inside)).join(carried, [group, "_chunk"]).withColumn("block", F.col("_own") + F.col("_before"))
+    blocks = numbered.where("block > 0").groupBy(group, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, text))), lambda x: x[text]), "\n").alias("message"))
     return blocks.where(F.startswith("message", F.lit("error")))
 
 

@@ -9,11 +9,14 @@ from brindle.operators.fields import merge_fields
 from brindle.operators.fuzz import fuzz_inputs
 from brindle.operators.globals import classify_globals, constant_names
 from brindle.operators.intervals import enclosing
+from brindle.operators.lints import lint_functions
 from brindle.operators.metrics import collect_metrics
 from brindle.operators.modules import ALGORITHM_NAMES, API_NAMES, GLUE_NAMES, detect_modules, file_modules
 from brindle.operators.refactor import orphan_errors, relocations, type_definitions
 from brindle.operators.references import citing_references
+from brindle.operators.relational import missing_names
 from brindle.operators.specs import DEFLATE_MODULES, INFLATE_MODULES, LENGTH_NAMES, LENGTH_TYPES, TYPE_NAMES, matching_standards, normalize_specs, wrong_constants
+from brindle.operators.stubs import find_stubs
 from brindle.plans.queries import part_edges, query, table
 from brindle.sources.cavp import cavp_records
 
@@ -241,3 +244,38 @@ def vector_lines(spark, d) -> DataFrame:
     )
     lines = table(spark, d, "orders").select(F.concat(F.lit("f"), (F.col("o_custkey") % 5).cast("string")).alias("file"), F.floor(k / 500).alias("split"), k, F.explode(texts).alias("x"))
     return lines.where("x.value is not null").select("file", "split", (k * 8 + F.col("x.n")).alias("i"), F.col("x.value").alias("value"))
+
+
+@query("""SELECT 'z_fnKey' || p_partkey AS name FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 1""")
+def missing_variants(spark, d):
+    """Every third part's name is expected in another spelling than even numbers' names are found in."""
+    key = F.col("p_partkey")
+    expected = table(spark, d, "part").where(key % 3 == 0).select(F.concat(F.lit("z_fnKey"), key.cast("string")).alias("name"))
+    return missing_names(expected, table(spark, d, "part").select(F.concat(F.lit("fn_key"), (key * 2).cast("string")).alias("name")))
+
+
+@query("""SELECT 'p' || p_partkey AS name, CASE p_size % 5 WHEN 0 THEN 'crc32_traversal_direction_mismatch' WHEN 1 THEN 'adler32_s1_zero_init' WHEN 2 THEN 'sha256_le_length_padding' WHEN 3 THEN 'md5_be_length_padding' ELSE 'crc32_polynomial_mixed' END AS rule FROM part WHERE p_size % 2 = 0""")
+def lint_other_rules(spark, d):
+    """The rules of direction, seed, padding and mixed polynomials: wrong where the size is even."""
+    n, odd = F.col("p_size") % 5, F.col("p_size") % 2 == 1
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), n.cast("int"))
+    wrong = ["0xEDB88320; c << 1; buf", "let BASE = 65521; s1 = 0; buf", "0x6a09e667; bit_len.to_le_bytes(); buf", "bit_len.to_be_bytes(); buf", "0xEDB88320; 0x04C11DB7; c >> 1; buf"]
+    right = ["0xEDB88320; c >> 8; buf", "let BASE = 65521; s1 = 1; buf", "0x6a09e667; bit_len.to_be_bytes(); buf", "bit_len.to_le_bytes(); buf", "0xEDB88320; c >> 1; buf"]
+    source = F.concat(F.lit("pub fn f(buf: &[u8]) -> u32 { "), F.when(odd, pick(right)).otherwise(pick(wrong)), F.lit(" }"))
+    rows = table(spark, d, "part").select(
+        F.concat(F.lit("p"), "p_partkey").alias("name"), pick(["crc32", "adler32", "sha256", "md5", "crc32"]).alias("family"), pick(["ieee_reflected", "", "", "", "ieee_reflected"]).alias("variant"), source.alias("source"),
+        F.array(F.struct(F.lit("buf").alias("name"), F.lit("&[u8]").alias("type"))).alias("inputs"),
+    )
+    return lint_functions(rows).select("name", "rule")
+
+
+#: A file for each part, with a finding of each kind in turn or none.
+STUB_LINES = ("    todo!()", "    // Conceptually we go on", "    panic!(\"not yet there\")", "    buf.len()", "    /* simple\n heuristic */ buf")
+
+
+@query("""SELECT p_partkey, 2 AS line, CASE p_size % 5 WHEN 0 THEN 'todo_macro' WHEN 1 THEN 'comment_conceptually' WHEN 2 THEN 'panic_not_impl' ELSE 'comment_simple_heuristic' END AS pattern, 'f' || p_partkey AS fn_name FROM part WHERE p_size % 5 <> 3""")
+def stubs_of_parts(spark, d):
+    """A source file for each part, most of them with a stub."""
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("pub fn f"), k, F.lit("(buf: &[u8]) -> usize {\n"), F.get(F.array(*[F.lit(x) for x in STUB_LINES]), (F.col("p_size") % 5).cast("int")), F.lit("\n}\nfn g() -> &str { \"todo!()\" }\n"))
+    return find_stubs(table(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey", "text").select("p_partkey", "line", "pattern", "fn_name")

@@ -52,6 +52,7 @@ def test_repair(spark):
     texts = {
         '{"a": 1}': '{"a": 1}', '<think>{</think> ok ```json\n{"a": [1]}\n``` bye': '{"a": [1]}', 'so {"a": {"b": [1, 2': '{"a": {"b": [1, 2]}}',
         '{"a": "x", "b": "cut': '{"a": "x"}', "nothing": None, 'x {"a": 1} y': '{"a": 1}', '{"a": {"b": "c"}, "d': '{"a": {"b": "c"}}',
+        'set {x} is {"k": {"z": [1]}} or {}': '{"k": {"z": [1]}}', "[1, 2]": "[1, 2]", 'a {b} {"c": 1, "d": [2': '{"c": 1, "d": [2]}', "": None, "{": "{}",
     }
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.j for r in df.select("t", P.extract_json(F.col("t")).alias("j")).collect()} == texts

@@ -118,6 +118,8 @@ def test_scanners(spark):
     assert {(r.line, r.pattern, r.fn_name) for r in find_stubs(df, "id", "text").collect()} == {(2, "todo_macro", "a")}
     assert [r.line for r in T.find_unsafe(df, "id", "text").collect()] == [3]
     assert df.select(T.public_functions(F.col("text")).alias("x")).first().x == ["a", "c"]
+    more = 'pub(crate) fn d() { let u = "http://x"; } pub(super) unsafe fn e() {} pub extern "C" fn f() {}\n/* pub fn no() */ pub(in a::b) const fn g() {} let s = "/*"; pub fn h() {} // pub fn not()'
+    assert one(spark, T.public_functions(F.lit(more))) == ["d", "e", "f", "g", "h"]
     paths = {"src/ffi.rs": True, "a/src/ffi.rs": False, "x/y/build.rs": True, "src/lib.rs": False, "gen/a/b.rs": True}
     got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", T.allowed(F.col("p"), ["src/ffi.rs", "build.rs", "gen/**/*.rs"]).alias("ok")).collect()
     assert {r.p: r.ok for r in got} == paths
@@ -125,6 +127,8 @@ def test_scanners(spark):
     log = [(1, i, t) for i, t in enumerate(["note", "error: a", " at b", "warning: c", " at d", "error: e"])]
     blocks = T.error_blocks(spark.createDataFrame(log, "f int, n int, t string"), "f", "n", "t")
     assert sorted(r.message for r in blocks.collect()) == ["error: a\n at b", "error: e"]
+    small = T.error_blocks(spark.createDataFrame(log, "f int, n int, t string"), "f", "n", "t", chunk=2)
+    assert sorted((r.block, r.message) for r in small.collect()) == sorted((r.block, r.message) for r in blocks.collect())
 
 
 def test_stubs(spark):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from brindle.operators import graph as G
 from brindle.operators import relational as R
 from brindle.operators import scoring as S
+from brindle.operators.modules import greedy_matching
+from brindle.operators.references import titled_references
 from brindle.plans.registry import Plugin, Registry
 from brindle.sources import corpus
 from brindle.streaming import events as E
@@ -43,7 +45,7 @@ def test_levels(spark):
 
 def test_greedy_merge(spark):
     pairs = spark.createDataFrame([("a", "b", 9), ("b", "c", 8), ("c", "d", 7)], "a string, b string, n int")
-    assert G.merge_greedily(pairs) == [("a", "b"), ("c", "d")]
+    assert sorted((r.a, r.b) for r in greedy_matching(pairs).collect()) == [("a", "b"), ("c", "d")]
 
 
 def test_relational(spark):
@@ -67,7 +69,7 @@ def test_relational(spark):
     head = spark.createDataFrame([("t.h", "t"), ("ts.h", "ts"), ("t_internal.h", "t_internal")], "path string, stem string")
     assert {r.path: r.headers for r in R.coupled_by_stem(src, head).collect()} == {"t.c": ["t.h", "t_internal.h", "ts.h"], "u.c": None}
     refs = spark.createDataFrame([("md5", "a", "RFC 1321 message digest"), ("crc", "b", "RFC 1952")], "algorithm string, variant string, title string")
-    assert [r.algorithm for r in R.references_for(spark.createDataFrame([("RFC 1321",)], "name string"), refs).collect()] == ["md5"]
+    assert [r.algorithm for r in titled_references(spark.createDataFrame([("RFC 1321",)], "name string"), refs).collect()] == ["md5"]
 
 
 def test_scoring(spark):
