@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.arrays import running
+
 #: The kinds of base span in the order of ties: name, pattern, and what a match must pass.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -54,30 +55,6 @@ class Entropy:
     other_limit: float = 3.8
 
 
-def _running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
-    """array<int>: each value with all before it, `both` being a sum or a maximum.
-
-    An array that grows by one is copied whole, so the fold runs over blocks of the root of their number, and over the
-    blocks: n values take n times that root of cheap copies, 100,000 less than a second.
-    """
-    none = F.array().cast("array<int>")
-    at = lambda x, i: F.get(x, i)
-    last = lambda x: at(x, F.size(x) - 1)
-    fold = lambda x: F.aggregate(x, none, lambda acc, v: F.array_append(acc, F.when(F.size(acc) == 0, v).otherwise(both(last(acc), v))))
-
-    def blocks(own: Column) -> Column:
-        n = F.size(own["v"])
-        return F.transform(F.sequence(F.lit(0), ((n - 1) / own["b"]).cast("int")), lambda j: fold(F.slice(own["v"], j * own["b"] + 1, own["b"])))
-
-    def lifted(own: Column) -> Column:
-        return F.flatten(F.transform(own["parts"], lambda x, j: F.when(j == 0, x).otherwise(F.transform(x, lambda v: both(at(own["sums"], j - 1), v)))))
-
-    # arrays of one element bind what is used more than once to a name
-    cut = F.transform(F.array(F.struct(values.alias("v"), F.ceil(F.sqrt(F.size(values))).cast("int").alias("b"))), blocks)[0]
-    sized = F.transform(F.array(cut), lambda parts: F.struct(parts.alias("parts"), fold(F.transform(parts, last)).alias("sums")))
-    return F.when(F.size(values) == 0, none).otherwise(F.transform(sized, lifted)[0])
-
-
 def _places(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>>: leftmost non-overlapping matches, in code points, end exclusive.
 
@@ -88,7 +65,7 @@ def _places(text: Column, pattern: str) -> Column:
     spans = "array<struct<start:int,end:int,hit:string>>"
 
     def add_up(parts: Column) -> Column:
-        ends = _running(F.transform(parts["h"], lambda h, i: F.length(h) + F.get(parts["g"], i)), lambda a, b: a + b)
+        ends = running(F.transform(parts["h"], lambda h, i: F.length(h) + F.get(parts["g"], i)), lambda a, b: a + b)
         return F.transform(F.arrays_zip(parts["h"].alias("h"), ends.alias("e")), lambda x: F.struct((x["e"] - F.length(x["h"])).alias("start"), x["e"].alias("end"), x["h"].alias("hit")))
 
     # an array of one element binds hits and gaps to a name, or each step would search the text again
@@ -212,7 +189,7 @@ def scan_secrets(docs: DataFrame, how: Entropy = Entropy(), id_col: str = "doc_i
     # in order of start, base spans first: one that lies in a base span ends no later than any base span before it does
     flat = "array<struct<start:int,rank:int,end:int>>"
     one = one.select(id_col, "base_spans", F.array_sort(F.concat("base_spans", "_more")).cast(flat).alias("_all"))
-    reach = _running(F.transform("_all", lambda s: F.when(s["rank"] == KINDS.index("entropy"), -1).otherwise(s["end"])), F.greatest)
+    reach = running(F.transform("_all", lambda s: F.when(s["rank"] == KINDS.index("entropy"), -1).otherwise(s["end"])), F.greatest)
     one = one.select(id_col, "base_spans", "_all", reach.alias("_reach"))
     spans = F.filter("_all", lambda s, i: (s["rank"] != KINDS.index("entropy")) | (F.get("_reach", i) < s["end"]))
     return one.select(id_col, "base_spans", spans.alias("spans"))

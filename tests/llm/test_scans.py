@@ -9,9 +9,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from brindle.functions.arrays import running
 from brindle.llm.license_scan import PHRASES, TEMPLATES, Automaton, Scanner, scan_licenses
 from brindle.llm.queries import QUERIES, URL_RULES
-from brindle.llm.secret_scan import ALLOWED_UNLESS, KINDS, Entropy, _peaks, _running, scan_secrets, span_digest
+from brindle.llm.secret_scan import ALLOWED_UNLESS, KINDS, Entropy, _peaks, scan_secrets, span_digest
 from brindle.llm.url_filter import judge_urls
 
 
@@ -192,5 +193,5 @@ def test_entropy_spans_in_base_spans(spark):
 def test_running_sums(spark):
     rng = random.Random(8)
     lists = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 2, 3, 5, 16, 17, 100, 1000)]
-    got = spark.createDataFrame([(x,) for x in lists], "x array<int>").select(_running(F.col("x"), lambda a, b: a + b).alias("s"), _running(F.col("x"), F.greatest).alias("m")).collect()
+    got = spark.createDataFrame([(x,) for x in lists], "x array<int>").select(running(F.col("x"), lambda a, b: a + b).alias("s"), running(F.col("x"), F.greatest).alias("m")).collect()
     assert [(r.s, r.m) for r in got] == [(list(itertools.accumulate(x)), list(itertools.accumulate(x, max))) for x in lists]
