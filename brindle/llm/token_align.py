@@ -41,6 +41,12 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def strung(values: pa.Array, at: np.ndarray) -> bytes:
+    """The values at these places one behind the other: what Arrow lays out for them."""
+    data = values.take(pa.array(at)).buffers()[2]
+    return data.to_pybytes() if data else b""
+
+
 @dataclass
 class Pair:
     """Both tokenizers, the bytes of their tokens and the texts of their ids. One for each Python worker."""
@@ -70,7 +76,8 @@ class Pair:
         self.bytes_b = [self._piece(i) for i in range(n)]
         self.lengths_a, self.lengths_b = (np.array([len(x) for x in b], dtype=np.int64) for b in (self.bytes_a, self.bytes_b))
         ids_a, ids_b = [str(i) for i in range(size)], [str(i) for i in range(n)]
-        self.spelt = [i + "," for i in ids_a] + [i + "|" for i in ids_a] + [i + "," for i in ids_b] + [i + ";" for i in ids_b]
+        self.spelt = pa.array([i + "," for i in ids_a] + [i + "|" for i in ids_a] + [i + "," for i in ids_b] + [i + ";" for i in ids_b], pa.large_string())
+        self.raw_a, self.raw_b = (pa.array(b, pa.large_binary()) for b in (self.bytes_a, self.bytes_b))
 
     def _piece(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
@@ -82,11 +89,9 @@ class Pair:
         """A's ids of a space and text and B's of text; None unless both give back the bytes of a space and text."""
         whole = " " + text
         a = self.slow.encode_batch_fast([whole], add_special_tokens=False)[0].ids if LONG_BLANK.search(whole) else self.fast.encode_ordinary(whole)
-        b = self.pieces.encode(text, num_threads=1)
+        a, b = np.array(a, np.uint16), np.array(self.pieces.encode(text, num_threads=1), np.uint16)
         raw = whole.encode()
-        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
-            return None
-        return np.array(a, np.uint16), np.array(b, np.uint16)
+        return (a, b) if strung(self.raw_a, a) == raw and strung(self.raw_b, b) == raw else None
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ends of the groups, counted in tokens of A and of B. Texts may be strung together."""
@@ -95,17 +100,17 @@ class Pair:
         both = ends_b[np.minimum(at, len(ends_b) - 1)] == ends_a if len(b) else np.zeros(len(a), bool)
         return np.flatnonzero(both) + 1, at[both] + 1
 
-    def spell(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
+    def spell(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:
         """`a1,a2|b1;a3|b2,b3`."""
         shift_b = 2 * len(self.bytes_a)
-        ids_a, ids_b = a.astype(np.int64), b.astype(np.int64) + shift_b
+        ids_a, ids_b = a.astype(np.int32), b.astype(np.int32) + np.int32(shift_b)
         ids_a[ends_a - 1] += len(self.bytes_a)
         ids_b[ends_b - 1] += len(self.bytes_b)
         size_a, size_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
-        out = np.empty(len(a) + len(b), np.int64)
+        out = np.empty(len(a) + len(b), np.int32)
         out[np.arange(len(a)) + np.repeat(ends_b - size_b, size_a)] = ids_a
         out[np.arange(len(b)) + np.repeat(ends_a, size_b)] = ids_b
-        return "".join(map(self.spelt.__getitem__, out.tolist()))[:-1]
+        return strung(self.spelt, out)[:-1]
 
     def links(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         """The pairs of tokens of one group whose bytes overlap: n_a + n_b - 1, as no inner ends meet."""
@@ -187,7 +192,7 @@ def _tokenize(how: Tokenizers):
                     out.append((row, doc_id, 0, 0, 0, "", b"", b""))
                 else:
                     ends = pair.groups(*found)
-                    digest = hashlib.sha256(pair.spell(*found, *ends).encode()).hexdigest()
+                    digest = hashlib.sha256(pair.spell(*found, *ends)).hexdigest()
                     out.append((row, doc_id, len(found[0]), len(found[1]), len(ends[0]), digest, found[0].tobytes(), found[1].tobytes()))
             types = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in TOKENS.split(", ")])
