@@ -1,12 +1,14 @@
 """op5, op9, components and the whole pipeline against plain Python."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm._graph import connected_components
-from brindle.llm.decontaminate import find_leaks
+from brindle.llm.decontaminate import find_leaks, simhash, simhash_between, tallies, weighted_similarity
 from brindle.llm.queries import MIX, QUERIES
 from brindle.llm.source_mix import apportion, mix_sources
 
@@ -160,3 +162,41 @@ def test_leaks_whole_table(spark, sf_dir):
             wanted[s].add(j)
     near = [(i, t) for i, t in docs if any(s in wanted for s in shingle(t))]
     assert {(r.doc_id, r.item_id) for r in QUERIES["op9_decontaminate"](spark, sf_dir).collect()} == leaks(near, items)
+
+
+def test_long_items(spark):
+    """An item of 5,000 words, whole and edited, in texts of more: a step a window, not a step a word of each."""
+    rnd = random.Random(31)
+    text = lambda n: [f"u{rnd.randrange(20_000)}" for _ in range(n)]
+    item = text(5_000)
+    cut = item[:2_000] + text(300) + item[2_100:]
+    far = [w if rnd.random() < 0.9 else "x" for w in item]
+    docs = [(1, " ".join(text(700) + item + text(900))), (2, " ".join(text(50) + cut + text(50))), (3, " ".join(far)), (4, " ".join(text(8_000))), (5, " ".join(item[:2_500]))]
+    items = [(7, " ".join(item)), (8, " ".join(text(1_500)))]
+    began = time.time()
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 7), (2, 7)} and got[1, 7] == (700, 5_000, 1.0) and 0.8 < got[2, 7][2] < 1
+    assert time.time() - began < 60
+
+
+def test_short_items(spark):
+    """Items of fewer than five words are found where they stand whole."""
+    docs = [(1, "a Fine, red house!"), (2, "fine red"), (3, "red fine house"), (4, "house"), (5, None), (6, ""), (7, "the red house; fine red house"), (7, "red house")]
+    items = [(1, "fine red"), (2, "House"), (3, "fine red house here"), (4, "..."), (5, None), (6, "red house")]
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(*i, 1, 2) for i in items], "item_id long, text string, start int, doc_id int")).collect()}
+    assert got == {
+        (1, 1): (1, 2, 1.0), (1, 2): (3, 1, 1.0), (1, 6): (2, 2, 1.0), (2, 1): (0, 2, 1.0), (3, 2): (2, 1, 1.0), (4, 2): (0, 1, 1.0), (7, 1): (3, 2, 1.0), (7, 2): (1, 1, 1.0), (7, 6): (0, 2, 1.0),
+    }
+
+
+def test_tallied_fingerprints(spark):
+    """SimHash from tallies is that of the shingles themselves, and repeats count in similarities."""
+    rnd = random.Random(17)
+    lists = [[(rnd.choice([-1, 1]) * rnd.randrange(2**62), rnd.randint(1, 60)) for _ in range(40)] for _ in range(4)]
+    df = spark.createDataFrame([(x, a, b) for x in lists for a, b in ((0, 40), (0, 1), (7, 30), (39, 40), (12, 25))], "s array<struct<h:bigint,w:int>>, a int, b int")
+    got = df.select(simhash_between(tallies(F.col("s")), F.col("a"), F.col("b")).alias("x"), simhash(F.slice("s", F.col("a") + 1, F.col("b") - F.col("a"))).alias("y")).collect()
+    assert all(r.x == r.y for r in got)
+    multi = [([(1, 5), (1, 5), (2, 7), (3, 1)], [(1, 5), (2, 7), (2, 7), (1, 5), (1, 5)])]
+    shared, whole = weighted_similarity(F.col("x"), F.col("y"))
+    kind = "array<struct<h:bigint,w:int>>"
+    assert tuple(spark.createDataFrame(multi, f"x {kind}, y {kind}").select(shared, whole).first()) == (17, 30)
