@@ -181,7 +181,7 @@ def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str
     sums come from it. Grams seen fewer than `least` times are pruned there. What a context's kept grams don't hold is
     its weight of the lower order, so every distribution sums to one. All tables grow with the texts and stay distributed.
     """
-    counts = staged(texts.mapInArrow(_blocks(shards), BLOCK).groupBy("shard").applyInArrow(_counted(how.least), COUNTS), "counts")
+    counts = staged(texts.mapInArrow(_blocks(shards), BLOCK).groupBy("shard").applyInArrow(_counted(how.least), COUNTS), "counts", "zstd")
     sums = staged(counts.where("ord = 1").groupBy("c").agg(F.sum("n").alias("n"), F.sum("m").alias("total")), "words")
     reclaim(texts.sparkSession)
     told = {(r.a, r.c): r.n for r in counts.where("ord = 0").groupBy("a", "c").agg(F.sum("n").alias("n")).collect()}  # eight rows
@@ -196,16 +196,16 @@ def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str
     held = pairs.groupBy("b").agg(F.sum("own").alias("held")).withColumnRenamed("b", "c")
     p1 = _less("n", d1) / F.lit(float(whole or 1)) + F.lit(floor)
     words = sums.join(held, "c", "left").select("c", "n", "total", p1.alias("p"), F.coalesce(1 - F.try_divide("held", "total"), F.lit(1.0)).alias("rest"))
-    words = staged(words, "words")
+    words = staged(words, "words", "zstd")
     after = words.select(F.col("c").alias("b"), "total", F.col("rest").alias("rest_b"))
     p2 = F.coalesce(F.try_divide("own", "total"), F.lit(0.0)) + F.col("rest_b") * F.col("below")
     pairs = pairs.join(after, "b").join(words.select("c", F.col("p").alias("below")), "c").withColumn("p", p2)
-    pairs = staged(pairs.select("b", "c", "n", F.col("times").cast("int").alias("times"), F.col("p").cast("float").alias("p"), (F.log("p") - F.log("rest_b") - F.log("below")).cast("float").alias("gain")), "pairs")
+    pairs = staged(pairs.select("b", "c", "n", F.col("times").cast("int").alias("times"), F.col("p").cast("float").alias("p"), (F.log("p") - F.log("rest_b") - F.log("below")).cast("float").alias("gain")), "pairs", "zstd")
 
     reclaim(texts.sparkSession)
     triples = counts.where("ord = 3").select("a", "b", "c", _less("n", d3).alias("own"))
     triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), "times"), ["a", "b"]).join(pairs.select("b", "c", F.col("p").alias("below")), ["b", "c"])
-    triples = staged(triples.select("a", "b", "c", (F.col("own") / F.col("times")).alias("own"), "below"), "triples")
+    triples = staged(triples.select("a", "b", "c", (F.col("own") / F.col("times")).alias("own"), "below"), "triples", "zstd")
     discard(counts, sums)
     steps = [words, pairs, triples]
     rest = triples.groupBy("a", "b").agg((1 - F.sum("own")).alias("rest"))
@@ -214,7 +214,7 @@ def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str
     pairs = pairs.join(rest.toDF("b", "c", "rest"), ["b", "c"], "left").select("b", "c", "n", "gain", F.coalesce(F.log("rest"), F.lit(0.0)).alias("gamma"))
     words = words.select("c", "n", (F.log("p") - unseen).alias("gain"), F.log("rest").alias("gamma"))
     # of 32 bits where they are kept and sent
-    out = {name: staged(df.withColumn("gain", F.col("gain").cast("float")).withColumn("gamma", F.col("gamma").cast("float")), name) for name, df in (("words", words), ("pairs", pairs), ("triples", triples))}
+    out = {name: staged(df.withColumn("gain", F.col("gain").cast("float")).withColumn("gamma", F.col("gamma").cast("float")), name, "zstd") for name, df in (("words", words), ("pairs", pairs), ("triples", triples))}
     discard(*steps)
     return unseen, out
 
@@ -463,7 +463,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, how: Quality = Quality())
     is kept if its score is at most its language's threshold and its worst window within the same quantile of those. Medians and thresholds have a row per language.
 
     Null and empty texts have no words, a null perplexity, score m, and are kept. A null or rare language is measured
-    against all languages together. Without trusted documents everything is kept. Repeated rows are scored each, and counted each where trusted.
+    against all languages together. Without trusted documents everything is kept. Repeated rows are scored each, and counted each where trusted; of
+    a held-out id with several texts one, always the same, counts for medians and thresholds. Scores equal to a threshold are kept.
     Columns of docs that are named like the new ones are replaced. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
@@ -475,7 +476,9 @@ def judge_quality(docs: DataFrame, labels: DataFrame, how: Quality = Quality())
     ids = F.broadcast(ids) if ids.count() <= how.broadcast_ids else ids
     counted = narrow.join(ids, "doc_id", "left_semi").select("text")
     found = losses(known.select(F.col("_rid").alias("rid"), "text"), counted, how).withColumnsRenamed({"rid": "_rid", "worst": "_worst"})
-    usual = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "_rid").join(good.where("held"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # of rows that repeat an id the one of least digest stands for it
+    usual = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "_rid").join(good.where("held"), "doc_id", "left_semi")
+    usual = usual.groupBy("doc_id").agg(F.min(F.struct("_rid", "lang")).alias("_u")).select("doc_id", "_u.lang", "_u._rid")
     usual = staged(usual.join(found, "_rid").where("n_words > 0"), "usual")
     rate = F.col("loss") / F.col("n_words")
     blend = lambda m: (F.col("loss") + how.prior * m) / (F.col("n_words") + how.prior)
