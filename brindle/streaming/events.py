@@ -63,5 +63,15 @@ def null_sink(batch: DataFrame, epoch: int) -> None:
     batch.write.format("noop").mode("overwrite").save()
 
 
+def console_sink(rows: int = 20) -> Callable[[DataFrame, int], None]:
+    """Prints the first rows of each batch as JSON lines; a report for people, so a limit of the feature."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        for r in batch.limit(rows).select(F.to_json(F.struct("*")).alias("line")).collect():
+            print(r.line, flush=True)
+
+    return write
+
+
 def callback_sink(each: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     return lambda batch, epoch: each(batch)

@@ -18,11 +18,13 @@ from brindle.operators import modules as M
 from brindle.operators import references as RF
 from brindle.operators import refactor as RE
 from brindle.operators import specs as SP
+from brindle.operators import workspace as W
 from brindle.operators.code import code_tokens
 from brindle.operators.intervals import enclosing, pieces
 from brindle.operators.metrics import collect_metrics, summarize
 from brindle.plans.queries import QUERIES, part_edges
 from brindle.plans.structures import part_functions, vector_lines
+from brindle.streaming.events import console_sink, fan_out
 from brindle.sources.cavp import augment_vectors, cavp_records, read_lines
 
 
@@ -405,3 +407,37 @@ def test_tokens(spark):
     assert [(r.brace, r.paren) for r in rows if r.token in "{}()"] == [(0, 1), (0, 0), (1, 0), (1, 1), (1, 0), (0, 0)] and {r.id for r in rows} == {1}
     long = '"' + "\\n" * 200_000 + '" /*' + "*" * 200_000 + "*/ x"
     assert [len(r.token) for r in code_tokens(spark.createDataFrame([(1, long)], "id long, text string"), "id", "text").orderBy("i").collect()] == [400_002, 200_004, 1]
+
+
+def test_workspace(spark):
+    kind = "crate string, module string, algorithm string, name string"
+    expected = spark.createDataFrame([("a", "m", "x", "z_openFile"), ("a", "m", "y", "close"), ("b", "m", "z", "close"), ("c", "m", "w", "gone")], kind)
+    files = spark.createDataFrame([("a", "pub(crate) fn open_file() {}\nfn close() {}"), ("b", "pub fn close() {}"), ("c", None)], "crate string, text string")
+    checked = W.check_workspace(expected, files)
+    assert {(r.crate, r.name): r.found for r in checked.collect()} == {("a", "z_openFile"): True, ("a", "close"): False, ("b", "close"): True, ("c", "gone"): False}
+    assert {r.crate: (r.expected, r.found) for r in W.workspace_summary(checked).collect()} == {"a": (2, 1), "b": (1, 1), "c": (1, 0), None: (4, 2)}
+    log = ["note", "error[E1]: a", " --> /w/src/x.rs:1:2", "  |", "warning: b", " --> src\\y.rs:3:4", "error: lost", "error: c", " --> src/x.rs:9:9"]
+    lines = spark.createDataFrame([("l", i, t) for i, t in enumerate(log)], "log string, line long, text string")
+    for chunk in (2, 100_000):
+        got = {r.file: (r.n, r.message) for r in W.errors_by_file(lines, "/w", chunk).collect()}
+        assert got == {"src/x.rs": (2, "error[E1]: a\n --> /w/src/x.rs:1:2\n  |\n\nerror: c\n --> src/x.rs:9:9"), "src/y.rs": (1, "warning: b\n --> src\\y.rs:3:4")}
+
+
+def test_rewrite_rules(spark):
+    types = [("&mut S", "&S", True), ("&S", "&S", False), ("S", "&mut S", True), ("&T", "&S", False)]
+    df = spark.createDataFrame(types, "a string, b string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", W.only_mutability_differs(F.col("a"), F.col("b")).alias("got")).collect())
+    fixes = [("bool", "i32", None, True), (" u16", "i32", "", True), ("u32", "u64", None, False), ("u32", "u64", "z_word_t", True), ("Result<u32>", "()", None, False), ("i64", "()", None, True), ("i32", "i64", None, False), ("&u8", "i32", None, False)]
+    df = spark.createDataFrame(fixes, "a string, b string, c string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", W.safe_return_fix(F.col("a"), F.col("b"), F.col("c")).alias("got")).collect())
+    exprs = [("(1 << 15) - 1", True), ("0x1Fu | N", True), ("foo(42)", False), ("'a' + 1", True), ("a.b", False), ("", True), ('"s"', False), ("~0UL", True), ("f (1)", False)]
+    df = spark.createDataFrame(exprs, "a string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", W.safe_constant(F.col("a")).alias("got")).collect())
+    specs = [("m", [("main", "x"), ("gen_trees_header", None), ("my_Test", None), ("emit", "Generates  C source"), ("adler32", None)]), ("n", [("example", None)]), ("o", None)]
+    out = W.without_build_utilities(spark.createDataFrame(specs, "name string, algorithms array<struct<name:string,description:string>>"))
+    assert [(r.name, [a.name for a in r.algorithms]) for r in out.collect()] == [("m", ["adler32"])]
+
+
+def test_console_sink(spark, capsys):
+    fan_out([console_sink(2)])(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "n int, s string").coalesce(1), 0)
+    assert capsys.readouterr().out.splitlines() == ['{"n":1,"s":"a"}', '{"n":2,"s":"b"}']
