@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,31 +22,53 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: What the stages work on; other columns are carried along.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _carrying(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage for which columns other than OWN go by names of no one's, so that they clash with none of the operators'."""
+
+    @wraps(stage)
+    def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = {c: f"_carried{i}" for i, c in enumerate(docs.columns) if c not in OWN}
+        return stage(spark, docs.withColumnsRenamed(others), sf_dir).withColumnsRenamed({v: k for k, v in others.items()})
+
+    return run_
+
+
+@_carrying
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within their language's perplexity threshold."""
+    """Documents within their language's perplexity threshold and without a window beyond it; those at the threshold stay.
+    Null and empty texts and null languages stay as judge_quality says; repeated rows are judged each; columns stay as they are."""
     return judge_quality(docs, _read(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
+@_carrying
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; one that loses every word with them goes, and n_chars follows the text."""
+    """Documents without their repeated lines; one that loses every word with them goes, and n_chars follows the text. Null and
+    empty texts and rows with a null id stay; rows that repeat an id lose the same lines."""
     out = dedup_lines(docs).where(r"n_dropped = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@_carrying
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies."""
+    """The smallest doc_id of each group of near copies. Null and empty texts and rows with a null id are no one's copies and
+    stay; rows that repeat an id stay or go together."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_carrying
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item. Null texts and ids leak nothing; rows that repeat an id go if any of them leaks."""
     gone = find_leaks(docs, _read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes. Null texts have size 0; a null source is one of its own, the last."""
     return mix_sources(docs, **MIX).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
