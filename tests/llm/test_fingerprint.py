@@ -1,7 +1,11 @@
 """op6 against plain Python, and the search against all pairs."""
 
 import hashlib
+import math
 import random
+from collections import Counter
+
+import xxhash
 
 from brindle.llm.fingerprint import Signer, SimHash, edited_fingerprints, fingerprints, near_fingerprints
 from brindle.llm.queries import QUERIES
@@ -59,3 +63,40 @@ def test_search(spark):
         blocks = 8 if together == 2 else None
         got = {r.query_id: r.n_near for r in near_fingerprints(prints, prints.where("doc_id % 3 = 0"), radius, blocks, together, salt=7).collect()}
         assert got == {i: sum(j != i and bin(marks[i] ^ m).count("1") <= radius for j, m in marks.items()) for i in marks if i % 3 == 0}
+
+
+def plain_simhash(text, how):
+    """One vote after the other, in Python integers."""
+    whole = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & whole
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & whole
+        return x ^ (x >> 31)
+
+    words = [xxhash.xxh3_64_intdigest(w) for w in (text or "").encode().lower().split()]
+    runs = []
+    for i in range(len(words) - how.width + 1):
+        x = how.width
+        for w in words[i : i + how.width]:
+            x = mix((x * 0x9E3779B97F4A7C15 + w) & whole)
+        runs.append(x)
+    terms = [(t, 1 + math.log(n)) for t, n in Counter(words).items()] + [(t, how.run_weight * (1 + math.log(n))) for t, n in Counter(runs).items()]
+    out = []
+    for block in range(how.bits // 64):
+        seed = ((block + 1) * 0xD1342543DE82EF95) & whole
+        votes = [0.0] * 64
+        for t, weight in terms:
+            mark = mix(t ^ seed).to_bytes(8, "little")
+            for b in range(64):
+                votes[b] += weight if mark[b // 8] >> (7 - b % 8) & 1 else -weight
+        out.append(sum((votes[b] > 0) << (63 - b) for b in range(64)).to_bytes(8, "big"))
+    return b"".join(out)
+
+
+def test_fingerprints_against_plain_votes(spark):
+    rnd = random.Random(3)
+    texts = [None, "", "one", "one One ONE", "a b a b a b c"] + [" ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.randint(2, 90))) for _ in range(20)]
+    for how in (SimHash(), SimHash(bits=64, width=3, run_weight=0.5)):
+        rows = fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), how).collect()
+        assert all(bytes(r.fingerprint) == plain_simhash(texts[r.doc_id], how) for r in rows)
