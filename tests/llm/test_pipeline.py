@@ -1,6 +1,7 @@
 """The pipeline's stages, each against plain Python on its own input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -39,3 +40,20 @@ def test_stages(spark, sf_dir, tmp_path):
     check_mix(kept["mix"])
     assert set(ids["mix"]) == set(ids["decontaminate"])
     assert {r.doc_id: r.taken for r in corpus_pipeline.run(spark, sf_dir).collect()} == {r.doc_id: r.taken for r in kept["mix"]}
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in any column, empty and repeated rows, extra columns with names of the stages' own, and an empty table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    kind = docs.schema
+    odd = spark.createDataFrame([(None, "some words of a text without an id", "en", "src1", 35), (10**6, None, None, None, None), (10**6 + 1, "", "de", "src2", 0), (10**6 + 2, "twice the same row " * 9, "en", "src1", 171), (10**6 + 2, "twice the same row " * 9, "en", "src1", 171)], kind)
+    rows = docs.unionByName(odd).withColumn("kept", F.lit("k")).withColumn("component_id", F.lit(7)).withColumn("n_words", F.lit(None).cast("int"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, sf_dir)
+        assert out.columns == rows.columns, name
+        left = out.collect()
+        assert {10**6, 10**6 + 1, None} <= {r.doc_id for r in left} and len(left) <= 65, name
+        assert all(r.kept == "k" and r.component_id == 7 for r in left), name
+        assert stage(spark, rows.limit(0), sf_dir).count() == 0, name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, rows, sf_dir).count() == 65 and last(spark, rows.limit(0), sf_dir).count() == 0
