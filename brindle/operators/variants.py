@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,18 +12,24 @@ def plain_hex(value: Column) -> Column:
     return F.when(bare.rlike("^[0-9a-f]+$"), F.regexp_replace(bare, "^0+(?=.)", "")).otherwise("")
 
 
-def resolve(algorithms: DataFrame, variants: DataFrame, vectors: DataFrame, catalog: DataFrame) -> DataFrame:
+def resolve(algorithms: DataFrame, variants: DataFrame, vectors: DataFrame, catalog: DataFrame, most_families: int = 1_000) -> DataFrame:
     """(name, family, chosen, candidates, rationale) from algorithms (name, text), variants (family, family_pattern, variant,
     position, fingerprints array, catalog), vectors (name, input, expected) and catalog (catalog, input, expected).
 
     The first family whose pattern is in the name holds. Its variants with a fingerprint in the text are candidates;
     without any, the only variant of a family is taken. Several are narrowed to those that agree with the catalogue on
-    the inputs that both have, or else by leaving out those that disagree, if that leaves any. variants and catalog
-    are small catalogues; algorithms may be many.
+    the inputs that both have, or else by leaving out those that disagree, if that leaves any. Names are distinct.
+
+    Families are few, at most most_families, and their patterns become one expression: no join by pattern. All else is
+    joined by name, family or vector, however many algorithms, vectors or catalogue rows there are.
     """
     families = variants.groupBy("family", "family_pattern").agg(F.min("position").alias("at"), F.count(F.lit(1)).alias("n_variants"))
-    of = algorithms.join(F.broadcast(families), F.rlike(F.lower("name"), F.col("family_pattern")), "left")
-    of = of.withColumn("_k", F.row_number().over(Window.partitionBy("name").orderBy("at"))).where("_k = 1").select("name", "text", "family", "n_variants")
+    known = families.orderBy("at", "family").limit(most_families + 1).collect()
+    if len(known) > most_families:
+        raise ValueError(f"more than {most_families} families of variants")
+    none = F.lit(None).cast("struct<family:string,n_variants:bigint>")
+    first = F.coalesce(*[F.when(F.rlike(F.lower("name"), F.lit(r.family_pattern)), F.struct(F.lit(r.family).alias("family"), F.lit(r.n_variants).cast("bigint").alias("n_variants"))) for r in known], none)
+    of = algorithms.select("name", "text", first.alias("_f")).select("name", "text", "_f.family", "_f.n_variants")
     tried = of.join(variants.select("family", "variant", "position", "fingerprints", "catalog"), "family")
     hit = tried.withColumn("hit", F.exists("fingerprints", lambda f: F.contains(F.lower("text"), F.lower(f))))
     alone = hit.groupBy("name").agg(F.max(F.col("hit").cast("int")).alias("any"))
