@@ -203,10 +203,13 @@ def tables(texts: DataFrame, how: Quality, shards: int) -> tuple[float, dict[str
     pairs = staged(pairs.select("b", "c", "n", F.col("times").cast("int").alias("times"), F.col("p").cast("float").alias("p"), (F.log("p") - F.log("rest_b") - F.log("below")).cast("float").alias("gain")), "pairs", "zstd")
 
     reclaim(texts.sparkSession)
+    # two steps, so that neither join's shuffle nor the counts lie beside the other's
     triples = counts.where("ord = 3").select("a", "b", "c", _less("n", d3).alias("own"))
-    triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), "times"), ["a", "b"]).join(pairs.select("b", "c", F.col("p").alias("below")), ["b", "c"])
-    triples = staged(triples.select("a", "b", "c", (F.col("own") / F.col("times")).alias("own"), "below"), "triples", "zstd")
+    triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), "times"), ["a", "b"])
+    shares = staged(triples.select("a", "b", "c", (F.col("own") / F.col("times")).alias("own")), "shares", "zstd")
     discard(counts, sums)
+    triples = staged(shares.join(pairs.select("b", "c", F.col("p").alias("below")), ["b", "c"]).select("a", "b", "c", "own", "below"), "triples", "zstd")
+    discard(shares)
     steps = [words, pairs, triples]
     rest = triples.groupBy("a", "b").agg((1 - F.sum("own")).alias("rest"))
     p3 = F.col("own") + F.col("rest") * F.col("below")
