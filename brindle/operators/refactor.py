@@ -19,11 +19,13 @@ def orphan_errors(lines: DataFrame, root: str = "") -> DataFrame:
     name a type after `impl`. file and crate come from the first place that those lines give, the crate being the file's
     first folder below root, else its first folder at all; both empty without a place.
 
-    Each error asks for its REACH lines by number: an equi-join, so a log of any length is spread over all tasks.
+    Each error asks for its REACH lines by number, which say something: an equi-join, so a log of any length is spread over all tasks.
+    They are sorted and merged: the optimizer counts none of the rows that either side is exploded to, and would send them to all.
     """
     heads = lines.where(F.contains("text", F.lit("error[E0116]"))).select("log", F.col("line").alias("head"))
     asked = heads.withColumn("line", F.explode(F.sequence("head", F.col("head") + (REACH - 1))))
-    near = asked.join(lines.select("log", "line", "text"), ["log", "line"])
+    telling = lines.where(F.col("text").rlike(_IMPL) | F.col("text").rlike(_LOCATION)).select("log", "line", "text")
+    near = asked.hint("merge").join(telling, ["log", "line"])
     first = lambda pattern: F.min_by(F.regexp_extract("text", pattern, 1), F.when(F.col("text").rlike(pattern), F.col("line")))
     found = near.groupBy("log", "head").agg(first(_IMPL).alias("type_name"), first(_LOCATION).alias("impl_file")).where("type_name is not null")
     file = F.coalesce("impl_file", F.lit(""))

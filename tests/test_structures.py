@@ -309,6 +309,15 @@ def test_relocations(spark):
     assert {(r.path, r.line): r.name for r in RE.places_in_definitions(places, named).collect()} == {("p", 15): "inner", ("p", 30): "outer", ("p", 60): None, ("q", 15): None}
 
 
+def test_relocations_send_no_exploded_rows(spark):
+    """Errors and lines of a small table are many once exploded: neither goes whole to the driver and all executors."""
+    text = F.array(*[F.lit(x) for x in ("error[E0116]: x", " --> c1/src/x.rs:3:1", "impl Foo {", "", "note", "")])
+    lines = spark.range(300).select((F.col("id") % 7).alias("log"), F.posexplode(text).alias("i", "text"), F.floor(F.col("id") / 7).alias("k")).select("log", (F.col("k") * 10 + F.col("i")).alias("line"), "text")
+    errors = RE.orphan_errors(lines)
+    assert "Broadcast" not in errors._jdf.queryExecution().executedPlan().toString()
+    assert {(r.log, r.line, r.type_name, r.impl_crate) for r in errors.collect()} == {(i % 7, i // 7 * 10, "Foo", "c1") for i in range(300)}
+
+
 def plain_records(lines):
     """(section, fields) of one file's lines in order."""
     out, section, fields, first = [], None, {}, None
