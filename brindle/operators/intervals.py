@@ -1,4 +1,4 @@
-"""Points and the spans that hold them, by equi-joins on dyadic pieces: no pair is made that doesn't hold."""
+"""Points and the spans that hold them, by equi-joins on blocks and dyadic pieces of blocks."""
 
 from __future__ import annotations
 
@@ -36,18 +36,34 @@ def enclosing(points: DataFrame, spans: DataFrame, by: list[str], at: str, start
     where none does. points and spans share no column but `by`. Spans may nest or overlap: the innermost is the one
     that starts last, then the one that ends first.
 
-    A span is split into its dyadic pieces, some 2 log n of n places; a point asks for the log n pieces that can hold it. Both
-    meet in an equi-join, so each joined row is a span that does hold the point, whatever the length of a file, and
-    hot files are split by the join. Then a grouped minimum finds the innermost.
+    Places are cut into blocks of a power of two, twice the median length of a span or up to four times that. A span asks in the one or two
+    blocks where it begins and ends, and in the dyadic pieces, some 2 log n, of the n blocks between them; a point in its own block, and for
+    each size of piece that the longest span can have. Where spans are short that is a row for a point and less than two for
+    a span. Both meet in an equi-join: a joined row is a span that holds the point or one that ends in its block, of which, as half of the spans
+    are at least a quarter of a block long, there are a few times as many at most. Hot blocks are split by the join. Then a grouped minimum finds the innermost.
     """
     rest = [c for c in spans.columns if c not in by]
-    split = spans.where(f"`{start}` is not null and `{end}` is not null").withColumn("_p", F.explode(pieces(F.col(start), F.col(end)))).select(*by, *rest, F.col("_p.level").alias("_level"), F.col("_p.piece").alias("_piece"))
-    split = staged(split, "pieces")
-    top = split.agg(F.max("_level")).first()[0]  # 63 at most
-    if top is None:
+    split = staged(spans.where(f"`{start}` < `{end}`"), "spans")
+    length = (F.col(end) - F.col(start)).cast("bigint")
+    middle, longest = split.agg(F.percentile_approx(length, 0.5), F.max(length)).first()
+    if middle is None:
         return points.select(*points.columns, *[F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in rest])
-    asked = points.select(*by, at).distinct().where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    asked = asked.withColumn("_piece", F.call_function("shiftright", F.col(at).cast("bigint"), F.col("_level")))
+    bits = (2 * middle - 1).bit_length()
+    block = lambda c: F.call_function("shiftright", c.cast("bigint"), F.lit(bits))
+    top = (longest >> bits).bit_length() - 1  # size of the largest piece of whole blocks, 62 at most; -1 without any
+    first, last = block(F.col(start)), block(F.col(end) - 1)
+    kind = "array<struct<level:int,piece:bigint>>"
+    parts = F.transform(F.array_distinct(F.array(first, last)), lambda b: F.struct(F.lit(-1).alias("level"), b.alias("piece"))).cast(kind)
+    if top >= 0:
+        parts = F.concat(parts, F.when(last > first + 1, pieces(first + 1, last)).otherwise(F.array().cast(kind)))
+    split = split.withColumn("_p", F.explode(parts)).select(*by, *rest, F.col("_p.level").alias("_level"), F.col("_p.piece").alias("_piece"))
+    asked = points.select(*by, at).distinct().where(F.col(at).isNotNull())
+    # with one level, what meets in the join is grouped where it lies
+    asked = asked.withColumn("_level", F.explode(F.sequence(F.lit(-1), F.lit(top)))) if top >= 0 else asked.withColumn("_level", F.lit(-1))
+    asked = asked.withColumn("_piece", F.call_function("shiftright", block(F.col(at)), F.greatest("_level", F.lit(0))))
+    # sorted and merged: the optimizer counts none of the rows that are exploded here, and would send a small table's to all
+    holds = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
+    met = asked.hint("merge").join(split, [*by, "_level", "_piece"]).where(holds)
     inner = F.struct((-F.col(start)).alias("s"), F.col(end).alias("e"))
-    held = asked.join(split, [*by, "_level", "_piece"]).groupBy(*by, at).agg(F.min_by(F.struct(*rest), inner).alias("_b"))
+    held = met.groupBy(*by, at, *(["_level", "_piece"] if top < 0 else [])).agg(F.min_by(F.struct(*rest), inner).alias("_b"))
     return points.join(held, [*by, at], "left").select(*points.columns, *[F.col(f"_b.{c}").alias(c) for c in rest])

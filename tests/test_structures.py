@@ -294,6 +294,23 @@ def test_enclosing(spark):
     assert enclosing(spark.createDataFrame(points, "f long, at long"), spark.createDataFrame([], "f long, start long, end long, name string"), ["f"], "at").where("name is not null").count() == 0
 
 
+def test_enclosing_short_spans(spark):
+    """A point is one row where no span reaches over a whole block, whatever the places; results are those of brute force."""
+    rng = random.Random(5)
+    points = [(rng.randint(0, 2), rng.randint(0, 5000)) for _ in range(400)]
+    for lengths in ((1, 2, 3), (97, 40, 60), (1, 1, 3000), (1, 900, 900)):
+        spans = [(rng.randint(0, 2), s := rng.randint(0, 5000), s + rng.choice(lengths), i) for i in range(500)]
+        found = enclosing(spark.createDataFrame(points, "f long, at long"), spark.createDataFrame(spans, "f long, start long, end long, k long"), ["f"], "at")
+        if max(lengths) < 100:
+            assert "explode([0" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = found.collect()
+        assert len(got) == len(points)
+        for r in got:
+            held = [(s, -e) for f, s, e, _ in spans if f == r.f and s <= r.at < e]
+            assert (r.start, r.end) == ((max(held)[0], -max(held)[1]) if held else (None, None))
+            assert not held or (r.f, r.start, r.end) == spans[r.k][:3]
+
+
 def test_relocations(spark):
     log = ["error[E0116]: cannot", "  --> zlib-a/src/x.rs:3:1", "   |", "3  | impl <T> Foo {", "", "error[E0308]: other", "error[E0116]: again", " --> /w/b/src/y.rs:1:2", "impl Gone"]
     lines = spark.createDataFrame([("l", i, t) for i, t in enumerate(log)], "log string, line long, text string")
