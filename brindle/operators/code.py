@@ -30,11 +30,11 @@ def _kind(token: Column) -> Column:
     )
 
 
-def code_tokens(files: DataFrame, id_col: str, text: str) -> DataFrame:
+def code_tokens(files: DataFrame, id_col: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, i, pos, line, token, kind, brace, paren) of each text's tokens: i counts them, pos is the place of the first code
     point from 0, line counts from 1; brace and paren say how many braces and parentheses are open behind the token.
 
-    Null texts have no tokens. One row of a text makes them all; nothing is shuffled.
+    Null texts have no tokens. One row of a text makes them all; nothing is shuffled. Columns to keep stand in every row.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     cut = F.struct(F.regexp_extract_all(t, F.lit(PIECE), F.lit(0)).alias("t"), F.split(t, PIECE, -1).alias("g"))
@@ -57,7 +57,7 @@ def code_tokens(files: DataFrame, id_col: str, text: str) -> DataFrame:
 
     # arrays of one element bind what is used more than once to a name
     found = F.transform(F.transform(F.array(cut), measured), rows)[0]
-    return files.select(F.col(id_col).alias("id"), F.explode(found).alias("r")).select("id", "r.*")
+    return files.select(F.col(id_col).alias("id"), *keep, F.explode(found).alias("r")).select("id", *keep, "r.*")
 
 
 def brackets(tokens: DataFrame) -> DataFrame:
@@ -70,31 +70,44 @@ def brackets(tokens: DataFrame) -> DataFrame:
     return paired.where("token = sign and shut <> sign").select("id", "sign", F.col("i").alias("open"), "close", "line")
 
 
-def rust_functions(tokens: DataFrame, matched: DataFrame) -> DataFrame:
-    """(id, name, head, line, open, close, start, end) of functions with a body: places in tokens of `fn`, of the
-    parameters' parentheses and of the body's braces."""
-    plain = tokens.where("kind <> 'comment'")
-    order = Window.partitionBy("id").orderBy("i")
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
-    seen = plain.select(
-        "id", "i", "line", "token", "kind", F.lead("token").over(order).alias("next"), F.lead("kind").over(order).alias("next_kind"),
-        F.min(F.when((F.col("kind") == "sign") & (F.col("token") == "("), F.col("i"))).over(ahead).alias("paren_at"),
-        F.min(F.when((F.col("kind") == "sign") & F.col("token").isin("{", ";"), F.struct("i", "token"))).over(ahead).alias("body_at"),
+def looking_ahead(tokens: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """(id, i, line, token, next, open, paren_at, start) of tokens that more depends on: `fn` before a name, with the place of
+    the next parenthesis; closed parentheses before a body, with its place; calls name!( of names, with that of their parenthesis.
+
+    Texts are read from their end, so that what stands ahead is a running minimum: one sort, and no token is looked at
+    for each of those before it.
+    """
+    back = Window.partitionBy("id").orderBy(F.desc("i"))
+    ahead = back.rowsBetween(Window.unboundedPreceding, 0)
+    sign = F.col("kind") == "sign"
+    seen = tokens.where("kind <> 'comment'").select(
+        "id", "i", "line", "token", "kind", F.lag("token").over(back).alias("next"), F.lag("kind").over(back).alias("next_kind"), F.lag("token", 2).over(back).alias("after"), F.lag("i", 2).over(back).alias("open"),
+        F.min(F.when(sign & (F.col("token") == "("), F.col("i"))).over(ahead).alias("paren_at"),
+        F.min(F.when(sign & F.col("token").isin("{", ";"), F.col("i") * 2 + (F.col("token") == ";").cast("int"))).over(ahead).alias("body_at"),
     )
-    heads = seen.where("kind = 'name' and token = 'fn' and next_kind = 'name'").select("id", F.col("i").alias("head"), "line", F.col("next").alias("name"), F.col("paren_at").alias("open"))
+    head = (F.col("kind") == "name") & (F.col("token") == "fn") & (F.col("next_kind") == "name")
+    # a place doubled, and one for a semicolon
+    behind = sign & (F.col("token") == ")") & (F.col("body_at") % 2 == 0)
+    call = (F.col("kind") == "name") & F.col("token").isin(*names) & (F.col("next") == "!") & (F.col("after") == "(")
+    return seen.where(head | behind | call).select("id", "i", "line", "token", "next", "open", "paren_at", F.shiftright("body_at", 1).alias("start"))
+
+
+def rust_functions(seen: DataFrame, matched: DataFrame) -> DataFrame:
+    """(id, name, head, line, open, close, start, end) of functions with a body, from rows of looking_ahead: places in tokens
+    of `fn`, of the parameters' parentheses and of the body's braces."""
+    heads = seen.where("token = 'fn'").select("id", F.col("i").alias("head"), "line", F.col("next").alias("name"), F.col("paren_at").alias("open"))
     parens = matched.where("sign = '('").select("id", "open", "close")
     bodies = matched.where("sign = '{'").select("id", F.col("open").alias("start"), F.col("close").alias("end"))
-    behind = seen.select("id", F.col("i").alias("close"), "body_at").where("body_at.token = '{'").select("id", "close", F.col("body_at.i").alias("start"))
-    return heads.join(parens, ["id", "open"]).join(behind, ["id", "close"]).join(bodies, ["id", "start"]).select("id", "name", "head", "line", "open", "close", "start", "end")
+    behind = seen.where("token = ')'").select("id", F.col("i").alias("close"), "start")
+    return heads.hint("merge").join(parens, ["id", "open"]).hint("merge").join(behind, ["id", "close"]).hint("merge").join(bodies, ["id", "start"]).select("id", "name", "head", "line", "open", "close", "start", "end")
 
 
 def test_spans(tokens: DataFrame, matched: DataFrame) -> DataFrame:
     """(id, start, end) of what stands behind #[cfg(test)]: places in tokens of the next brace and its partner."""
-    plain = tokens.where("kind <> 'comment'")
-    order = Window.partitionBy("id").orderBy("i")
-    mark = F.concat_ws("", *[F.lead("token", k).over(order) for k in range(7)])
-    brace = F.min(F.when((F.col("kind") == "sign") & (F.col("token") == "{"), F.col("i"))).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = plain.select("id", mark.alias("mark"), "token", brace.alias("start")).where("token = '#' and mark = '#[cfg(test)]'")
+    back = Window.partitionBy("id").orderBy(F.desc("i"))
+    mark = F.concat_ws("", "token", *[F.lag("token", k).over(back) for k in range(1, 7)])
+    brace = F.min(F.when((F.col("kind") == "sign") & (F.col("token") == "{"), F.col("i"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    found = tokens.where("kind <> 'comment'").select("id", mark.alias("mark"), "token", brace.alias("start")).where("token = '#' and mark = '#[cfg(test)]'")
     return found.join(matched.where("sign = '{'").select("id", F.col("open").alias("start"), F.col("close").alias("end")), ["id", "start"]).select("id", "start", "end").distinct()
 
 
