@@ -1,7 +1,11 @@
-"""Checksums and digests of binary or string columns, as expressions that stay in the JVM."""
+"""Checksums and digests of binary or string columns, as expressions; Adler-32 and CRC-32C are worked out in Arrow batches."""
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,15 +33,14 @@ def _bind(value: Column, use) -> Column:
 
 
 def adler32(data: Column, seed: int = 1) -> Column:
-    """Adler-32 with the sums folded byte by byte, so that no intermediate outgrows a bigint."""
-    kind = "struct<a:bigint,b:bigint>"
-    start = F.struct(F.lit(seed & 0xFFFF).alias("a"), F.lit(seed >> 16).alias("b")).cast(kind)
+    """Adler-32; seed as in running sums. zlib reads the bytes, in Arrow batches: a fold of expressions takes half a microsecond
+    for each."""
 
-    def add(s: Column, x: Column) -> Column:
-        a = (s["a"] + x) % ADLER_BASE
-        return F.struct(a.alias("a"), ((s["b"] + a) % ADLER_BASE).alias("b")).cast(kind)
+    @F.pandas_udf("bigint")
+    def sums(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else zlib.adler32(v, seed) for v in values], dtype="Int64")
 
-    return F.aggregate(byte_values(data), start, add, lambda s: s["b"] * 65536 + s["a"])
+    return sums(data.cast("binary"))
 
 
 def fletcher16(data: Column) -> Column:
@@ -91,7 +94,35 @@ def crc32(data: Column) -> Column:
 
 
 def crc32c(data: Column) -> Column:
-    return crc_reflected(data, 0, CRC32C_POLY)
+    """CRC-32 with Castagnoli's polynomial: crc_reflected's fold, over bytes in Arrow batches."""
+    table = np.array(crc_table(CRC32C_POLY), np.uint32)
+
+    @F.pandas_udf("bigint")
+    def sums(values: pd.Series) -> pd.Series:
+        given = [v or b"" for v in values]
+        out = np.full(len(given), MASK32, np.uint32)
+        size = np.array([len(v) for v in given], np.int64)
+        order = np.argsort(-size, kind="stable")
+        # byte k of up to 4,096 rows at a time, the longest first; where few rows are left, a row at a time
+        for at in range(0, len(order), 4096):
+            rows = order[at : at + 4096]
+            k = int(size[rows[min(16, len(rows)) - 1]]) if len(rows) >= 16 else 0
+            for begin in range(0, k, 1024):
+                live = rows[: np.count_nonzero(size[rows] > begin)]
+                block = np.frombuffer(b"".join(given[r][begin : begin + 1024].ljust(1024, b"\0") for r in live), np.uint8).reshape(-1, 1024)
+                c, left = out[live], size[live] - begin
+                for x in range(min(1024, k - begin)):
+                    n = np.count_nonzero(left > x)
+                    c[:n] = c[:n] >> np.uint32(8) ^ table[(c[:n] ^ block[:n, x]) & np.uint32(255)]
+                out[live] = c
+            for r in rows[size[rows] > k].tolist():
+                c, plain = int(out[r]), table.tolist()
+                for x in given[r][k:]:
+                    c = c >> 8 ^ plain[(c ^ x) & 255]
+                out[r] = c
+        return pd.Series((out ^ np.uint32(MASK32)).astype(np.int64), dtype="Int64").mask(values.isna())
+
+    return sums(data.cast("binary"))
 
 
 def crc32_msb(data: Column) -> Column:
