@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._staging import table
+from ._staging import staged, table
 from .decontaminate import find_leaks
 from .fingerprint import SimHash, edited_fingerprints, fingerprints, near_fingerprints
 from .language_id import from_pages, identify_languages
@@ -60,7 +60,8 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fingerprint_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document whose id is divisible by 20, the documents within three bits of 64."""
-    prints = fingerprints(table(spark, sf_dir, "documents"), SimHash(bits=64))
+    # three readers: without staging each would fingerprint every text, as no filter passes below the operator
+    prints = staged(fingerprints(table(spark, sf_dir, "documents"), SimHash(bits=64)), "prints")
     return near_fingerprints(prints, prints.where("doc_id % 20 = 0"), radius=3)
 
 

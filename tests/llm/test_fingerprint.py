@@ -100,3 +100,9 @@ def test_fingerprints_against_plain_votes(spark):
     for how in (SimHash(), SimHash(bits=64, width=3, run_weight=0.5)):
         rows = fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), how).collect()
         assert all(bytes(r.fingerprint) == plain_simhash(texts[r.doc_id], how) for r in rows)
+
+
+def test_search_fingerprints_each_text_once(spark, sf_dir):
+    """Queries and entries come from one staged table: no text is fingerprinted again for them."""
+    found = QUERIES["fingerprint_search"](spark, sf_dir)
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
