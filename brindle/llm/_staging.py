@@ -6,9 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.staging import discard, reclaim, staged
+from brindle.staging import discard, reclaim, shuffles_removed, staged
 
-__all__ = ["bound_batches", "discard", "reclaim", "shuffle_partitions", "staged", "table"]
+__all__ = ["bound_batches", "discard", "reclaim", "shuffle_partitions", "shuffles_removed", "staged", "table"]
 
 
 #: Rows that cross to Python at a time at most: texts are long, and both sides hold a whole batch.

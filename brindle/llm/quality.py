@@ -337,7 +337,7 @@ def _entries(shared, shards: int, window: int):
         last = np.zeros(len(keys), np.int64)
         last[[m - 1, 2 * m - 1]] = 1
         keys, last = keys[maybe], last[maybe]
-        at = np.argsort(keys, kind="stable")
+        at = np.argsort(keys)
         keys, last = keys[at], last[at]
         start = _runs(keys)
         return add, weight, keys[start], 2 * np.diff(np.append(start, len(keys))) + (np.add.reduceat(last, start) if len(start) else 0)
@@ -353,7 +353,7 @@ def _entries(shared, shards: int, window: int):
         doc = np.repeat(np.arange(len(rid), dtype=np.uint32), [len(k) for k in keys])
         k, t = np.concatenate(keys), np.concatenate(times).astype(np.uint32)
         shard, k = _shards(k, shards), k & LOW
-        at = np.lexsort((k, shard))
+        at = np.argsort((shard.astype(np.uint64) << np.uint64(40)) | k)
         shard, k, t, doc = shard[at], k[at], t[at], doc[at]
         out = [(batch % shards, batch, True, np.array(rid, np.int64).tobytes(), np.array(counts, np.int64).tobytes(), np.array(base).tobytes(), np.array(local).tobytes())]
         for i, j in _cuts(shard):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,19 @@ def reclaim(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is queried in here deletes its shuffle files as soon as its result is there; the driver needn't collect garbage first,
+    which often finds the last query's plan still in use."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing unwritten is read from any more, and the shuffles that are done with."""
     for df in tables:

@@ -1,6 +1,7 @@
 """op2 and op7: held-out accuracy and the model's own sums."""
 
 import math
+import pickle
 import random
 import re
 import time
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from brindle.llm._bitmap import Bitmap, bitmap
 from brindle.llm._words import WordHash
 from brindle.llm.language_id import SUFFIXES, Fusion, _trigrams, from_pages, identify_languages
 from brindle.llm.quality import Quality, judge_quality, log_probabilities, losses, train, trusted_documents
@@ -240,6 +242,25 @@ def test_losses_of_all_trusted_words(spark):
     assert good.count() == 9_000 and 2_400 < good.where("held").count() < 3_000
 
 
+def test_bitmap_leaves_no_shuffle_behind(spark):
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, keys = files(), np.arange(0, 50_000, 7)
+    found = bitmap(spark.range(0, 50_000, 7).withColumnRenamed("id", "key"), 1 << 20)
+    until = time.time() + 5
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert found.has(keys.view(np.uint64)).all() and not found.has((keys + 1).view(np.uint64)).any()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_bitmap_is_sent_compressed():
+    bits = np.zeros(1 << 20, np.uint8)
+    bits[::50] = 4
+    raw = pickle.dumps(Bitmap(bits))
+    assert len(raw) < len(bits) // 8 and (pickle.loads(raw).bits == bits).all()
+
+
 def test_thresholds_cover_all_held_out(spark):
     """A rare language has its own threshold as soon as the whole table holds out least_docs documents of it."""
     common = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("the cat sat on the mat").alias("text"), F.lit("en").alias("lang"))
