@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +41,16 @@ def _without_union(t: Column) -> Column:
     return F.when(F.contains(t, F.lit("|")) & (F.size(parts) > 0), F.get(parts, F.size(parts) - 1)).otherwise(t)
 
 
+#: Texts of which each of TYPE_NAMES contains one.
+NAME_PARTS = [n for n in TYPE_NAMES if not any(o != n and o in n for o in TYPE_NAMES)]
+
+
 def _renamed(t: Column) -> Column:
+    out = t
     for name, rust in TYPE_NAMES.items():
-        t = F.regexp_replace(t, rf"\b{name}\b", rust)
-    return t
+        out = F.regexp_replace(out, rf"\b{name}\b", rust)
+    # most types hold none of the names: plain searches of bytes spare them eleven patterns
+    return F.when(reduce(Column.__or__, [F.contains(t, F.lit(n)) for n in NAME_PARTS]), out).otherwise(t)
 
 
 def _own_state(t: Column, state: Column) -> Column:
@@ -50,28 +58,35 @@ def _own_state(t: Column, state: Column) -> Column:
     return F.when(state.isNotNull(), F.replace(t, other, state)).otherwise(t)
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value under a name, so that it is evaluated once: a transform over one element. element_at, as
+    [0] would work out the type of all that is nested in it again for every row."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _steps(first: Column, rules: list) -> Column:
-    """array<struct<rule, before, after>>: each rule's result from the last one's; every step is bound to a name once."""
-    kind = "array<struct<rule:string,before:string,after:string>>"
-    out = F.array(F.struct(F.lit("").alias("rule"), first.alias("before"), first.alias("after"))).cast(kind)
-    last = lambda acc: F.get(acc, F.size(acc) - 1)["after"]
+    """array<string>: first, then each rule's result from the last one's; each is bound to a name once, the array is made once."""
 
-    def append(name: str, rule):
-        return lambda acc: F.array_append(acc, F.struct(F.lit(name).alias("rule"), last(acc).alias("before"), rule(last(acc)).alias("after")))
+    def after(done: list[Column]):
+        if len(done) > len(rules):
+            return F.array(*done)
+        return _bound(rules[len(done) - 1](done[-1]), lambda t: after([*done, t]))
 
-    for name, rule in rules:
-        # the transform over one element names what came before, or each rule would evaluate all those before it again
-        out = F.transform(F.array(out), append(name, rule))[0]
-    return out
+    return _bound(first, lambda t: after([t]))
 
 
 def _last(steps: Column) -> Column:
-    return F.get(steps, F.size(steps) - 1)["after"]
+    return F.get(steps, F.size(steps) - 1)
+
+
+def _changes(steps: Column, rules: tuple[str, ...], owner: Column, name: Column) -> Column:
+    pairs = [(rule, F.get(steps, F.lit(i)), F.get(steps, F.lit(i + 1))) for i, rule in enumerate(rules)]
+    real = [F.when(~before.eqNullSafe(after), F.struct(owner.alias("algorithm"), name.alias("parameter"), F.lit(rule).alias("rule"), before.alias("before"), after.alias("after"))) for rule, before, after in pairs]
+    return F.array_compact(F.array(*real))
 
 
-def _changes(steps: Column, owner: Column, name: Column) -> Column:
-    real = F.filter(steps, lambda s: ~s["before"].eqNullSafe(s["after"]))
-    return F.transform(real, lambda s: F.struct(owner.alias("algorithm"), name.alias("parameter"), s["rule"].alias("rule"), s["before"].alias("before"), s["after"].alias("after")))
+#: The rules of parameters and of results.
+RULES, RESULT_RULES = ("union", "alias", "module state", "state correction", "direction"), ("union", "alias", "module state", "length")
 
 
 def _parameter_steps(algorithm: Column, p: Column, state: Column) -> Column:
@@ -83,11 +98,11 @@ def _parameter_steps(algorithm: Column, p: Column, state: Column) -> Column:
         return t
 
     def by_direction(t: Column) -> Column:
-        vector = t.rlike(r"^Vec\s*<\s*u8\s*>$")
+        vector = F.startswith(t, F.lit("Vec")) & t.rlike(r"^Vec\s*<\s*u8\s*>$")
         length = name.isin(*LENGTH_NAMES) & (t.isin(*LENGTH_TYPES) & d.isin("inout", "output") | (t == "Option<usize>") & (d == "inout"))
         return F.when(vector & d.isin("inout", "output"), "&mut [u8]").when(vector & (d == "input"), "&[u8]").when(length, "&mut usize").otherwise(t)
 
-    return _steps(F.trim(F.coalesce(p["rust_type"], F.lit(""))), [("union", _without_union), ("alias", _renamed), ("module state", lambda t: _own_state(t, state)), ("state correction", fixed), ("direction", by_direction)])
+    return _steps(F.trim(F.coalesce(p["rust_type"], F.lit(""))), [_without_union, _renamed, lambda t: _own_state(t, state), fixed, by_direction])
 
 
 def normalize_specs(specs: DataFrame, changes: str = "changes") -> DataFrame:
@@ -101,7 +116,7 @@ def normalize_specs(specs: DataFrame, changes: str = "changes") -> DataFrame:
     Nothing is exploded or grouped: the arrays are rewritten by transform and withField, whatever other fields they have,
     in their order, so a row stays a row and no shuffle is made. Applied twice, it changes nothing more.
     """
-    state = module_state(F.col("name"))
+    state = F.col("_state")  # a column, so that a row finds it once
     kind = "array<struct<algorithm:string,parameter:string,rule:string,before:string,after:string>>"
 
     def one(a: Column) -> Column:
@@ -112,20 +127,20 @@ def normalize_specs(specs: DataFrame, changes: str = "changes") -> DataFrame:
             inputs = F.transform(done, lambda x: x["p"].withField("rust_type", _last(x["s"])))
             length = F.coalesce(F.exists(inputs, lambda p: p["rust_type"] == "&mut usize"), F.lit(False))
             sized = lambda t: F.when(length, F.regexp_replace(t, r"\bResult\s*<\s*u64\b", "Result<usize")).otherwise(t)
-            back = _steps(F.coalesce(a["return_type"], F.lit("")), [("union", _without_union), ("alias", _renamed), ("module state", lambda t: _own_state(t, state)), ("length", sized)])
+            back = _steps(F.coalesce(a["return_type"], F.lit("")), [_without_union, _renamed, lambda t: _own_state(t, state), sized])
 
             def whole(r: Column) -> Column:
-                of_inputs = F.flatten(F.transform(done, lambda x: _changes(x["s"], a["name"], x["p"]["name"])))
-                changed = F.concat(F.coalesce(of_inputs, F.array().cast(kind)), _changes(r, a["name"], F.lit(None).cast("string")))
+                of_inputs = F.flatten(F.transform(done, lambda x: _changes(x["s"], RULES, a["name"], x["p"]["name"])))
+                changed = F.concat(F.coalesce(of_inputs, F.array().cast(kind)), _changes(r, RESULT_RULES, a["name"], F.lit(None).cast("string")))
                 # a null result stays null where nothing rewrites it
                 result = F.when(a["return_type"].isNull() & (_last(r) == ""), a["return_type"]).otherwise(_last(r))
                 return F.struct(a.withField("inputs", inputs).withField("return_type", result).alias("spec"), changed.cast(kind).alias("changes"))
 
-            return F.transform(F.array(back), whole)[0]
+            return _bound(back, whole)
 
-        return F.transform(F.array(steps), with_inputs)[0]
+        return _bound(steps, with_inputs)
 
-    done = specs.withColumn("_done", F.transform("algorithms", one))
+    done = specs.withColumn("_state", module_state(F.col("name"))).withColumn("_done", F.transform("algorithms", one))
     return done.select(
         *[F.transform("_done", lambda x: x["spec"]).alias("algorithms") if c == "algorithms" else F.col(c) for c in specs.columns if c != changes],
         F.coalesce(F.flatten(F.transform("_done", lambda x: x["changes"])), F.array().cast(kind)).alias(changes),

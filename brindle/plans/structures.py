@@ -114,7 +114,7 @@ def normalized_specs(spark, d):
     line = table(spark, d, "lineitem").select(
         "l_orderkey", F.struct(F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("p"), pick(NAMES, F.col("l_suppkey") % 4).alias("name"), pick(KINDS, F.col("l_partkey") % 8).alias("rust_type"), pick(DIRECTIONS, F.col("l_linenumber") % 3).alias("direction")).alias("x")
     )
-    inputs = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("inputs"))
+    inputs = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("inputs"))
     algorithm = F.struct(F.lit("compress").alias("name"), F.lit("Result<u64, E>").alias("return_type"), "inputs")
     specs = inputs.select("l_orderkey", pick(MODULES, F.col("l_orderkey") % 3).alias("name"), F.array(algorithm).alias("algorithms"))
     out = normalize_specs(specs)

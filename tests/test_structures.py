@@ -203,6 +203,22 @@ def test_normalized_specs(spark):
     assert "Generate" not in plan and "Exchange" not in plan
 
 
+def test_normalized_specs_bind_by_element_at(spark):
+    plan = SP.normalize_specs(spark.createDataFrame([], SPECS))._jdf.queryExecution().optimizedPlan().toString()
+    # [0] on a nested transform works out its type for every row; a row finds its module's state once
+    assert plan.count("element_at(transform(") >= 10 and "transform(array(" in plan and ", false))[0]" not in plan
+    assert plan.count("RLIKE(lower(") == 2
+    names = list(SP.TYPE_NAMES) + [f"*{n}" for n in SP.TYPE_NAMES] + ["u8", "", "x_z_stream", "Zlib", "Option<ZStreamP>"]
+    rows = [("m", [("f", None, [("p", t, "input", 0) for t in names], None, None)])]
+    got = [p.rust_type for p in SP.normalize_specs(spark.createDataFrame(rows, SPECS)).first().algorithms[0].inputs]
+    want = []
+    for t in names:
+        for n, rust in SP.TYPE_NAMES.items():
+            t = re.sub(rf"\b{n}\b", rust, t)
+        want.append(t)
+    assert got == want
+
+
 def test_constants(spark):
     text = "BASE = 255 and POLY=0xEDB88320; N = 3; NM_AX = 99999999999999999999; base = 1; BASE =65521"
     got = spark.range(1).select(SP.constants_in(F.lit(text)).alias("c")).first().c
