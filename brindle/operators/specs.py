@@ -116,7 +116,8 @@ def normalize_specs(specs: DataFrame, changes: str = "changes") -> DataFrame:
     Nothing is exploded or grouped: the arrays are rewritten by transform and withField, whatever other fields they have,
     in their order, so a row stays a row and no shuffle is made. Applied twice, it changes nothing more.
     """
-    state = F.col("_state")  # a column, so that a row finds it once
+    held = "_state" + "_" * max(map(len, specs.columns))  # a column, so that a row finds it once, of a name that no other has
+    state = F.col(held)
     kind = "array<struct<algorithm:string,parameter:string,rule:string,before:string,after:string>>"
 
     def one(a: Column) -> Column:
@@ -140,7 +141,7 @@ def normalize_specs(specs: DataFrame, changes: str = "changes") -> DataFrame:
 
         return _bound(steps, with_inputs)
 
-    done = specs.withColumn("_state", module_state(F.col("name"))).withColumn("_done", F.transform("algorithms", one))
+    done = specs.withColumn(held, module_state(F.col("name"))).withColumn("_done", F.transform("algorithms", one))
     return done.select(
         *[F.transform("_done", lambda x: x["spec"]).alias("algorithms") if c == "algorithms" else F.col(c) for c in specs.columns if c != changes],
         F.coalesce(F.flatten(F.transform("_done", lambda x: x["changes"])), F.array().cast(kind)).alias(changes),

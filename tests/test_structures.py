@@ -217,6 +217,7 @@ def test_normalized_specs_bind_by_element_at(spark):
             t = re.sub(rf"\b{n}\b", rust, t)
         want.append(t)
     assert got == want
+    assert SP.normalize_specs(spark.createDataFrame(rows, SPECS).withColumn("_state", F.lit(7))).first()["_state"] == 7
 
 
 def test_constants(spark):
